@@ -1,36 +1,19 @@
 """Words as 64-bit hashes in numpy, for operators that work on runs of words inside Arrow batches.
 
 A word is a maximal run of characters other than space and \\x09-\\x0D. UTF-8 never uses those bytes
-inside a longer character, so splitting the encoded text at them is exact."""
+inside a longer character, so bytes.split(), which splits at exactly those six, is exact."""
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
 
-MASK = (1 << 64) - 1
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHasher:
-    """word (bytes) -> two independent 64-bit hashes; the memo is emptied at `limit` words."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.memo = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Shape (2, n), uint64."""
-        memo = self.memo
-        try:
-            rows = [memo[w] for w in words]
-        except KeyError:
-            if len(memo) > self.limit:
-                memo.clear()
-            for w in set(words).difference(memo):
-                memo[w] = xxhash.xxh3_128_digest(w)
-            rows = [memo[w] for w in words]
-        return np.frombuffer(b"".join(rows), dtype="<u8").reshape(-1, 2).T if rows else np.zeros((2, 0), np.uint64)
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,33 +28,40 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_ODD to the power 0..n-1 and the inverses, modulo 2**64."""
-    size = 1 << max(12, int(n).bit_length())
+    size = max([1 << max(12, int(n).bit_length()), *_powers])
     if size not in _powers:
         up = np.full(size, _ODD, np.uint64)
         up[0] = 1
-        down = np.full(size, pow(int(_ODD), -1, 1 << 64), np.uint64)
+        down = np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
         down[0] = 1
         _powers.clear()
         _powers[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
     return tuple(x[:n] for x in _powers[size])
 
 
-def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
-    """Hash of x[i:i+k] for every i, from one prefix sum: equal sequences have equal hashes."""
-    n = len(x) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(x))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64)])
-        return mix((total[k:] - total[:n]) * down[:n])
+class Spans:
+    """Hashes of any runs of a word sequence from one prefix sum; equal runs have equal hashes."""
+
+    def __init__(self, x: np.ndarray):
+        up, self.down = powers(len(x) + 1)
+        self.total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * up[: len(x)], out=self.total[1:])
+
+    def windows(self, k: int) -> np.ndarray:
+        """Of the runs i..i+k-1, for every i."""
+        n = max(0, len(self.total) - k)
+        return mix((self.total[k : k + n] - self.total[:n]) * self.down[:n])
+
+    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the runs start..end-1; their lengths are part of the hash."""
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """min(x[i:i+w]) for every i, in about log2(w) passes."""
-    done, out = 1, x
+def sliding(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
+    """f (np.minimum or np.maximum) over x[i:i+w] for every i, in about log2(w) passes."""
+    done = 1
     while done < w:
         step = min(done, w - done)
-        out = np.minimum(out[:-step], out[step:])
+        x = f(x[:-step], x[step:])
         done += step
-    return out
+    return x
