@@ -32,15 +32,15 @@ ORACLE_SQL: dict[str, str] = {
         ), rep AS (
             SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
         ), gone AS (
-            SELECT doc_id, list(DISTINCT i + j) AS at FROM rep, unnest(range(0, 35)) AS t(j) GROUP BY doc_id
+            SELECT doc_id, list(DISTINCT i + j) AS places FROM rep, unnest(range(0, 35)) AS t(j) GROUP BY doc_id
         ), flat AS (
-            SELECT w.doc_id, len(words) AS n, words, coalesce(at, []) AS at FROM w LEFT JOIN gone USING (doc_id)
+            SELECT w.doc_id, len(words) AS n, words, coalesce(places, []) AS places FROM w LEFT JOIN gone USING (doc_id)
         ), kept AS (
             SELECT doc_id, string_agg(words[i], ' ' ORDER BY i) AS t
             FROM (SELECT doc_id, words, unnest(range(1, n + 1)) AS i FROM flat) x
-            ANTI JOIN (SELECT doc_id, unnest(at) AS i FROM gone) g USING (doc_id, i) GROUP BY doc_id
+            ANTI JOIN (SELECT doc_id, unnest(places) AS i FROM gone) g USING (doc_id, i) GROUP BY doc_id
         )
-        SELECT doc_id, n::BIGINT AS n_words, len(at)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM flat LEFT JOIN kept USING (doc_id)
     """,
 }
