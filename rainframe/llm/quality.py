@@ -30,7 +30,7 @@ def _repeat_words(words: Column) -> Column:
     n = F.size(words)
     triples = F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c"))
     low = (1 << POSITION) - 1
-    keys = F.sort_array(F.slice(F.transform(triples, lambda t, i: F.xxhash64(t["0"], t["1"], t["2"]).bitwiseAND(~low).bitwiseOR(i.cast("long"))), F.lit(1), n - 2))
+    keys = F.sort_array(F.slice(F.transform(triples, lambda t, i: F.xxhash64(t["a"], t["b"], t["c"]).bitwiseAND(~low).bitwiseOR(i.cast("long"))), F.lit(1), n - 2))
     near = F.filter(
         F.zip_with(F.slice(keys, F.lit(1), n - 3), F.slice(keys, 2, n), lambda p, q: F.when(F.shiftright(p, POSITION) == F.shiftright(q, POSITION), F.struct(p.bitwiseAND(low).cast("int").alias("p"), q.bitwiseAND(low).cast("int").alias("q")))),
         lambda x: x.isNotNull(),
@@ -39,7 +39,7 @@ def _repeat_words(words: Column) -> Column:
     cover = lambda at: F.size(F.array_distinct(F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2)))).cast("long")
     fast = cover(F.concat(F.transform(near, lambda x: x["p"]), F.transform(near, lambda x: x["q"])))
 
-    texts = F.array_sort(F.transform(F.slice(triples, F.lit(1), n - 2), lambda t, i: F.struct(F.concat_ws(" ", t["0"], t["1"], t["2"]).alias("w"), i.alias("i"))))
+    texts = F.array_sort(F.transform(F.slice(triples, F.lit(1), n - 2), lambda t, i: F.struct(F.concat_ws(" ", t["a"], t["b"], t["c"]).alias("w"), i.alias("i"))))
     pairs = F.filter(F.zip_with(F.slice(texts, F.lit(1), n - 3), F.slice(texts, 2, n), lambda p, q: F.when(p["w"] == q["w"], F.struct(p["i"].alias("p"), q["i"].alias("q")))), lambda x: x.isNotNull())
     slow = cover(F.concat(F.transform(pairs, lambda x: x["p"]), F.transform(pairs, lambda x: x["q"])))
     return F.when(n < 4, 0).when((n > low) | ~F.forall(near, same), slow).otherwise(fast).cast("long")

@@ -8,19 +8,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import decontaminate, langid, packing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived with a Zstandard dictionary, and read back."""
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 35 words of all documents, cut wherever they occur."""
     return substring.digests(table(spark, sf_dir, "documents"), k=35, anchor=12)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup,)}
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens by deficit round-robin over sources."""
+    return packing.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose SimHash fingerprints differ in two bits or fewer."""
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_token_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits."""
+    return tokencount.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes."""
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in windows of 13 words of benchmark items."""
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by a conditional random field learned from three quarters of them."""
+    return langid.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base limits and robust outliers over all documents."""
+    return quality.digests(table(spark, sf_dir, "documents"))
+
+
+#: The rules that op10 judges by: fixed values.
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by listed hosts and paths."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_warc_archive, op2_substring_dedup, op3_mixture_packing, op4_simhash_dedup, op5_token_recount, op6_kd_sharding, op7_decontamination, op8_language_id, op9_quality_rules, op10_url_filter)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -43,4 +96,48 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM flat LEFT JOIN kept USING (doc_id)
     """,
+    "op1_warc_archive": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h,
+                first_value(page_id) OVER w AS head, row_number() OVER w AS turn
+            FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id, url)
+        )
+        SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::UBIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+            CASE WHEN turn = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN turn = 1 THEN NULL ELSE head END AS refers_to
+        FROM p
+    """,
+    "op7_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item_id, array_to_string(words[i:i + least(len(words), 13) - 1], ' ') AS win, least(len(words), 13) AS size
+            FROM b, unnest(range(1, greatest(len(words) - 11, 2))) AS t(i) WHERE len(words) > 0
+        ), dw AS (
+            SELECT doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS win
+            FROM d, (SELECT DISTINCT size FROM bw), unnest(range(1, greatest(len(words) - size + 2, 1))) AS t(i)
+        ), found AS (SELECT doc_id, i, dw.size, item_id FROM dw JOIN bw USING (win, size)),
+        hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM found, unnest(range(0, size)) AS t(j) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM found GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op10_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+        ), rules(rh, rp, rv) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ), best AS (
+            SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+            FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+        )
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
+    """,
 }

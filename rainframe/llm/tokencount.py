@@ -9,7 +9,6 @@ text's key and can be stored between runs."""
 from __future__ import annotations
 
 import base64
-import bisect
 from typing import NamedTuple
 
 import numpy as np
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 from .tokens import tokenizer_path
 
 LEAF = 64
-EDIT = "struct<start:bigint,length:bigint,text:string>"
-
 
 class Counter:
     """Pre-tokens of a text, and the number of tokens in a pre-token; the memo is emptied at `limit`."""
@@ -107,57 +104,105 @@ def build(to: Counter, text: str) -> tuple[list[int], list[int], int]:
 def apply_edits(to: Counter, text: str, chars: list[int], tokens: list[int], edits: list[dict]) -> Edited:
     """Edits one after the other, each in characters of the text that the ones before it left; what lies beyond the
     end counts as at the end."""
-    if not chars:
-        chars, tokens = [0], [0]
-    tree, remade = Sums(chars, tokens), 0
-    leaves = len(chars)
+    tree, remade = Sums(chars or [0], tokens or [0]), 0
     for e in edits:
         start = max(0, min(int(e["start"] or 0), len(text)))
         stop = max(start, min(start + int(e["length"] or 0), len(text)))
-        new = e["text"] or ""
-        low, low_at = tree.find(max(0, start - 1))
-        high, high_at = tree.find(stop)
-        edge = high_at + int(tree.sums[tree.width + high, 0])
-        shift = len(new) - (stop - start)
-        old = to.pattern.findall(text, low_at, edge)  # leaves end where pre-tokens end, but the last of these may see on
-        ends = (low_at + np.cumsum(np.fromiter(map(len, _bounded(to, text, low_at, edge)), np.int64))).tolist() if old else []
-        keep = bisect.bisect_left(ends, start)
-        begin = ends[keep - 1] if keep else low_at
-        text = text[:start] + new + text[stop:]
-        made, at, rest = [], begin, None
-        while rest is None:
-            for m in to.pattern.finditer(text, at):
-                made.append(m.group())
-                at = m.end()
-                i = bisect.bisect_left(ends, at - shift)
-                if at - shift >= stop and at >= start + len(new) and i < len(ends) and ends[i] == at - shift and (at - shift > stop or at == len(text)):
-                    rest = i + 1
-                    break
-            else:
-                rest = len(ends)
-            if rest is None:
+        added = e["text"] or ""
+        after, shift = text[:start] + added + text[stop:], len(added) - (stop - start)
+        leaf, first = tree.find(max(0, start - 1))
+        # pre-tokens that end before the edit cannot see it
+        front, begin = [], first
+        old = to.pattern.finditer(text, first)
+        old_end = first
+        for m in old:
+            old_end = m.end()
+            if old_end >= start:
+                break
+            front.append(m.group())
+            begin = old_end
+        made, met = [], len(text)
+        for m in to.pattern.finditer(after, begin):
+            made.append(m.group())
+            there = m.end() - shift  # in the old text, if behind the edit
+            while old_end < max(there, stop) and (o := next(old, None)):
+                old_end = o.end()
+            if old_end == there >= stop:
+                met = there
                 break
-            if at < len(text) and rest == len(ends) and (not ends or at - shift != ends[-1]):
-                high += 1  # no common end in these leaves: look on in the next
-                more = _bounded(to, text, edge + shift, edge + shift + int(tree.sums[tree.width + high, 0])) if high < leaves else []
-                for p in more:
-                    ends.append((ends[-1] if ends else edge) + len(p))
-                edge += int(tree.sums[tree.width + high, 0]) if high < leaves else 0
-                rest = None if more else len(ends)
+        last, last_at = tree.find(met)
+        edge = last_at + int(tree.sums[tree.width + last, 0])
+        back = []
+        if met <= last_at and last > leaf:  # the two meet where a leaf begins: it is untouched
+            edge = last_at
+            last -= 1
+        elif met < edge:
+            for m in to.pattern.finditer(text, met):
+                back.append(m.group())
+                if m.end() >= edge:
+                    break
+        for k in range(leaf + 1, last + 1):
+            tree.put(k, 0, 0)
+        tree.put(leaf, edge - first + shift, sum(to.count(front)) + sum(to.count(made)) + sum(to.count(back)))
+        text = after
         remade += len(made)
-        front = _bounded(to, text, low_at, begin)
-        back = _bounded(to, text, at, edge + shift) if at < edge + shift else []
-        tree.put(low, edge + shift - low_at, sum(to.count(front)) + sum(to.count(made)) + sum(to.count(back)))
-        for leaf in range(low + 1, min(high, leaves - 1) + 1):
-            tree.put(leaf, 0, 0)
     return Edited(text, int(tree.sums[1, 1]), remade)
 
 
-def _bounded(to: Counter, text: str, start: int, stop: int) -> list[str]:
-    """The pre-tokens of the whole text between two of their ends."""
-    out = []
-    for m in to.pattern.finditer(text, start):
-        if m.start() >= stop:
-            break
-        out.append(m.group())
-    return out
+TREE = "n_chars bigint, n_tokens bigint, n_pieces bigint, leaf_chars array<bigint>, leaf_tokens array<bigint>"
+
+
+def build_trees(docs: DataFrame, ranks: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs' columns (none named like a tree's) with n_chars, n_tokens, n_pieces and the tree's leaves. Null texts are empty."""
+    ranks = ranks or tokenizer_path("byte_bpe_50k.tiktoken")
+    kept = [c for c in docs.columns if c not in {f.split()[0] for f in TREE.split(", ")}]
+
+    def run(batches):
+        to = Counter.get(ranks)
+        longs = pa.list_(pa.int64())
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            trees = [build(to, t) for t in texts]
+            cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(t[1]) for t in trees], pa.int64()), pa.array([t[2] for t in trees], pa.int64()), pa.array([t[0] for t in trees], longs), pa.array([t[1] for t in trees], longs)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], [*kept, "n_chars", "n_tokens", "n_pieces", "leaf_chars", "leaf_tokens"])
+
+    rows = docs.select(*kept)
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), TREE]))
+
+
+def recount(trees: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """id, n_edits, n_tokens_before, n_tokens_after, n_pieces, n_remade and the edited text of rows with a tree and edits (an array
+    of start, length and text; null: none)."""
+    ranks = ranks or tokenizer_path("byte_bpe_50k.tiktoken")
+
+    def run(batches):
+        to = Counter.get(ranks)
+        for b in batches:
+            edits = [e or [] for e in b.column("edits").to_pylist()]
+            done = [apply_edits(to, t or "", c, k, e) for t, c, k, e in zip(*(b.column(n).to_pylist() for n in ("text", "leaf_chars", "leaf_tokens")), edits)]
+            longs = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), longs([len(e) for e in edits]), b.column("n_tokens"), longs([d.tokens for d in done]), b.column("n_pieces"), longs([d.remade for d in done]), pa.array([d.text for d in done], pa.string())], ["id", "n_edits", "n_tokens_before", "n_tokens_after", "n_pieces", "n_remade", "text"])
+
+    rows = trees.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "n_tokens", "n_pieces", "leaf_chars", "leaf_tokens", F.col(edits_col).alias("edits"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_edits bigint, n_tokens_before bigint, n_tokens_after bigint, n_pieces bigint, n_remade bigint, text string")
+
+
+def gather_edits(edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per id with its edits in order, from rows (id, seq, start, length, text), to be joined to trees by id."""
+    one = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "text")
+    listed = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    return listed.select(id_col, F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length"), e["text"].alias("text"))).alias("edits"))
+
+
+def sample_edits(text_col: str = "text"):
+    """Three edits for any text: a few characters replaced at a quarter, words inserted at the middle of what is left then, a
+    dozen characters deleted at three quarters."""
+    n = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    edit = lambda at, size, text: F.struct(F.floor(at).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), F.lit(text).alias("text"))
+    return F.array(edit(n / 4, 5, "edited "), edit(n / 2, 0, " two new words, 42"), edit(n * 3 / 4, 12, ""))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_edits, n_tokens_before, n_tokens_after, n_pieces and n_remade of every row, after sample_edits."""
+    trees = build_trees(docs.select("doc_id", "text", sample_edits().alias("edits")))
+    return recount(trees).drop("text").withColumnRenamed("id", "doc_id")
