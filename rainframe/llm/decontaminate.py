@@ -1,6 +1,6 @@
 """Benchmark decontamination over a positional inverted index that is distributed by document.
 
-A segment indexes the documents of one Arrow batch: its terms, and for each term the sorted positions
+A segment indexes a few megabytes of documents: its terms, and for each term the sorted positions
 where it stands (a posting list over all texts of the segment, with a gap after each text, so that no
 match runs over an end). Segments are rows of a DataFrame; they can be written and searched again. A
 search takes a block of test phrases to every segment: lists are shifted by the term's place in the
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 #: Bytes that stand in words: 0-9, a-z and all of other characters; A-Z count as a-z.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
@@ -85,8 +87,16 @@ def _both(at: np.ndarray, other: np.ndarray, shift: int) -> np.ndarray:
     return at[other[i] == at + shift]
 
 
-def _index(batches, only: frozenset | None):
+def _parts(batches, segment_bytes: int):
     for b in batches:
+        at = 0
+        for part in slices(b.column("text"), segment_bytes):
+            yield b.slice(at, len(part))
+            at += len(part)
+
+
+def _index(batches, only: frozenset | None, segment_bytes: int):
+    for b in _parts(batches, segment_bytes):
         lists = [words_of(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         starts = np.concatenate([[0], np.cumsum(n + 1)[:-1]]).astype(np.int64)
@@ -111,10 +121,10 @@ def _index(batches, only: frozenset | None):
         )
 
 
-def build_index(docs: DataFrame, only: frozenset[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per segment. only: index no other terms, where the tests to come are known."""
+def build_index(docs: DataFrame, only: frozenset[bytes] | None = None, segment_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per segment of about segment_bytes of text, or one text. only: index no other terms, where the tests to come are known."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _index(it, only), SEGMENT.format(id=docs.schema[id_col].dataType.simpleString()))
+    return rows.mapInArrow(lambda it: _index(it, only, segment_bytes), SEGMENT.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
 def segments(batches):
@@ -199,7 +209,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shar
     of_id = docs.schema[id_col].dataType.simpleString()
     blocks = list(test_blocks(bench, window, block_words)) if bench is not None else []
     one = blocks[0] if len(blocks) == 1 else None
-    index = build_index(docs, frozenset(w for p in one.phrases for w in p) if one else None, id_col, text_col)
+    index = build_index(docs, frozenset(w for p in one.phrases for w in p) if one else None, id_col=id_col, text_col=text_col)
     schema = SEGMENT.format(id=of_id) + ", hits binary, found array<array<string>>"
     for tests in blocks or [Tests([], [])]:
         index = index.mapInArrow(lambda it, tests=tests: _search(it, tests), schema)
@@ -220,7 +230,7 @@ def find_near(docs: DataFrame, phrases: dict[str, str], slop: int, id_col: str =
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["id", "phrase", "first", "last"])
 
-    index = build_index(docs, frozenset(w for ws in asked.values() for w in ws), id_col, text_col)
+    index = build_index(docs, frozenset(w for ws in asked.values() for w in ws), id_col=id_col, text_col=text_col)
     return index.mapInArrow(search, f"id {docs.schema[id_col].dataType.simpleString()}, phrase string, first bigint, last bigint")
 
 

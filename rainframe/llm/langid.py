@@ -195,15 +195,15 @@ def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 4, words: int = 4
 
 def label(model: Model, texts: list[str | None]):
     """For each text its words' marginals, (n, L), over the words that hold a letter, and those words."""
-    lists = [WORD.findall((t or "").lower()) for t in texts]
-    i = 0
-    while i < len(lists):
-        j, n = i, 0
-        while j < len(lists) and (j == i or n + len(lists[j]) <= AT_ONCE):
-            n += len(lists[j])
-            j += 1
-        yield from _label(model, lists[i:j])
-        i = j
+    held, n = [], 0
+    for t in texts:
+        held.append(WORD.findall((t or "").lower()))
+        n += len(held[-1])
+        if n >= AT_ONCE:
+            yield from _label(model, held)
+            held, n = [], 0
+    if held:
+        yield from _label(model, held)
 
 
 def _label(model: Model, lists: list[list[str]]):

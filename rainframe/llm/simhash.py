@@ -116,9 +116,10 @@ class Forest:
 
 def _solve(batches, budget: int):
     """Rows (rot, depth, pa, pb, used, side, v) of whole cells -> (a, b): each fingerprint and the least linked to it here."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     rot, depth, pa_, pb, used, side, v = (table.column(c).to_numpy() for c in ("rot", "depth", "pa", "pb", "used", "side", "v"))
     u = v.view(np.uint64)
     first = np.array([a for a, _ in _blocks(budget)], np.uint64)[rot]
