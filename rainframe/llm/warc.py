@@ -88,7 +88,7 @@ class Writer:
 
     def _open(self) -> None:
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out = self.fs.open_output_stream(f"{self.path}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.path}/{self.name}", compression=None)
         book = train(self.waiting, self.size)
         self.records = self.bytes = 0
         self.book_bytes = len(book or b"")
@@ -119,7 +119,7 @@ class Writer:
 def read_records(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, one after the other; never more than one and a chunk in memory."""
     where, path = fs.FileSystem.from_uri(uri)
-    with where.open_input_stream(path) as f:
+    with where.open_input_stream(path, compression=None) as f:
         rest = f.read(chunk)
         kind = {}
         if rest[:4] == struct.pack("<I", SKIPPABLE):
