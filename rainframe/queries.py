@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from .operators import align, charts, drought, evaluate, extremes, fusion, learn, ranking, regions, regrid, resample, select, windows
 from .plans import views as v
+from .plans.views import OFF_TIES
 from .sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-OFF_TIES = 3.1e-9
-
 PAIRS = "pairs AS (SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS obs, sum(l_quantity * (1 - l_discount) * (1 + l_tax)) AS sim FROM lineitem GROUP BY 1, 2)"
 PRODUCTS = "prods AS (SELECT l_returnflag AS product, l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS d, sum(l_quantity * (1 - l_discount) * (1 + l_tax)) AS value FROM lineitem GROUP BY 1, 2, 3)"
 PPAIRS = f"{PAIRS}, {PRODUCTS}, pp AS (SELECT product, cell_id, d, obs, value AS sim FROM prods JOIN pairs USING (cell_id, d))"

@@ -18,7 +18,8 @@ def save_cube(df: DataFrame, path: str, by: tuple[str, ...] = ("product", "year"
     by = tuple(c for c in by if c in out.columns)
     if "value" in out.columns:
         out = out.withColumn("value", F.col("value").cast("float"))
-    out.repartition(*by).write.mode("overwrite").option("compression", compression).partitionBy(*by).parquet(path)
+    out = out.repartition(*by) if by else out
+    out.write.mode("overwrite").option("compression", compression).partitionBy(*by).parquet(path)
 
 
 def save_blocks(df: DataFrame, path: str) -> None:
