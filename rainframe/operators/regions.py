@@ -89,7 +89,7 @@ def zone_table(cells: DataFrame, regions: DataFrame, field: str | None = None) -
     named = regions if field is None else regions.withColumn("name", F.col("attrs")[field]).where("name is not null")
     labels = named.select(F.col("name").alias("zone_name")).distinct()
     ids = labels.select("zone_name", F.row_number().over(Window.orderBy("zone_name")).alias("zone_id"))
-    held = containment(cells, named).select("cell_id", F.col("name").alias("zone_name")).join(F.broadcast(ids), "zone_name")
+    held = containment(cells, named).select("cell_id", F.col("name").alias("zone_name")).join(ids, "zone_name")
     return held.groupBy("cell_id").agg(F.min(F.struct("zone_id", "zone_name")).alias("z")).select("cell_id", "z.zone_id", "z.zone_name")
 
 
