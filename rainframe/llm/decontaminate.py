@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .tokens import slices
 
 #: Bytes that stand in words: 0-9, a-z and all of other characters; A-Z count as a-z.
@@ -190,14 +191,16 @@ def _verdicts(batches, share: int):
         )
 
 
-def test_blocks(bench: DataFrame, window: int, block_words: int, id_col: str = "item_id", text_col: str = "text"):
-    """Tests of the benchmark, block by block; a block holds about block_words words, or a single item."""
+def block_count(bench: DataFrame, block_words: int, text_col: str = "text") -> int:
+    """Blocks of about block_words words (of six bytes) that the benchmark makes."""
+    return 1 + (bench.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // (6 * block_words)
+
+
+def test_block(bench: DataFrame, window: int, k: int, n: int, id_col: str = "item_id", text_col: str = "text") -> Tests:
+    """Tests of the k-th of n blocks of the benchmark; items go to blocks by a hash."""
     rows = bench.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // (6 * block_words)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield test_windows(((r.id, r.text) for r in part.toLocalIterator()), window)
+    part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+    return test_windows(((r.id, r.text) for r in part.toLocalIterator()), window)
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, share: int = 20, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,12 +210,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shar
     Null or wordless texts are clean and have no hits; null item texts have no window; an empty benchmark leaves
     all clean; items that repeat an id are one item; other columns are ignored."""
     of_id = docs.schema[id_col].dataType.simpleString()
-    blocks = list(test_blocks(bench, window, block_words)) if bench is not None else []
-    one = blocks[0] if len(blocks) == 1 else None
-    index = build_index(docs, frozenset(w for p in one.phrases for w in p) if one else None, id_col=id_col, text_col=text_col)
+    n = block_count(bench, block_words)
     schema = SEGMENT.format(id=of_id) + ", hits binary, found array<array<string>>"
-    for tests in blocks or [Tests([], [])]:
-        index = index.mapInArrow(lambda it, tests=tests: _search(it, tests), schema)
+    first = test_block(bench, window, 0, n)
+    index = build_index(docs, frozenset(w for p in first.phrases for w in p) if n == 1 else None, id_col=id_col, text_col=text_col)
+    index = index.mapInArrow(lambda it: _search(it, first), schema)
+    for k in range(1, n):  # one block at a time is held and sent; the index with its hits so far is kept
+        tests = test_block(bench, window, k, n)
+        index = materialize(index, "decontaminate-index").mapInArrow(lambda it, tests=tests: _search(it, tests), schema)
     return index.mapInArrow(lambda it: _verdicts(it, share), f"id {of_id}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean")
 
 
