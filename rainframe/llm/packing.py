@@ -23,7 +23,8 @@ GROUP = 1024  # buckets in a block of the running sums
 
 
 def encode(docs: DataFrame, vocabulary: str, ranks: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, n and ids (little-endian unsigned 32-bit, in zlib's fastest form) of every row; null texts are empty."""
+    """id, source, row (tells repeated rows apart), n and ids (little-endian, in two bytes each where the vocabulary
+    allows) of every row; null texts are empty."""
 
     def run(batches):
         to = Encoder.get(vocabulary, ranks)
@@ -36,14 +37,14 @@ def encode(docs: DataFrame, vocabulary: str, ranks: str, end_id: int, id_col: st
                 all_ids = [np.concatenate([ids[e - c : e], end]) for e, c in zip(ends.tolist(), count.tolist())]
                 narrow = np.uint16 if max(end_id, int(to.size.shape[0])) < 1 << 16 else np.uint32
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(at, len(part)), b.column("source").slice(at, len(part)), pa.array(count + 1, pa.int64()), pa.array([x.astype(narrow).tobytes() for x in all_ids], pa.binary())],
-                    ["id", "source", "n", "ids"],
+                    [*(b.column(c).slice(at, len(part)) for c in ("id", "source", "row")), pa.array(count + 1, pa.int64()), pa.array([x.astype(narrow).tobytes() for x in all_ids], pa.binary())],
+                    ["id", "source", "row", "n", "ids"],
                 )
                 at += len(part)
 
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(source, F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, n bigint, ids binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(source, F.lit("")).alias("source"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, row bigint, n bigint, ids binary")
 
 
 def shares(want: np.ndarray, left: np.ndarray, weight: np.ndarray, room: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, length: int = 2048, weights: dict[str, float] | None =
     kind = rows.schema["id"].dataType.simpleString()
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + total // bucket_tokens
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "n"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "row"), F.lit(buckets)))
     sums = materialize(rows.groupBy("bucket", "source").agg(F.sum("n").alias("n")), "packing-sums")
     wide = rows.limit(1).select((F.length("ids") / F.col("n")).cast("int")).first()
     narrow = np.dtype("<u4" if wide and wide[0] == 4 else "<u2")
