@@ -15,34 +15,37 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 GAP = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 POSITION = 20  # bits of a packed long that hold a word's number
 BINS = 64  # of squared distance in each doubling
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in windows of three words that the text has twice or more.
+def _repeat_words(rows: DataFrame, words: str, name: str) -> DataFrame:
+    """rows with the number of words in windows of three words that the text has twice or more.
 
     Windows are packed as 44 bits of hash and 20 of position and sorted as plain longs. Neighbours with the same hash are
     compared word by word; should two different windows ever share a hash, or the text have over 2**20
-    words, the windows are sorted as text instead."""
-    n = F.size(words)
-    triples = F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c"))
+    words, the windows are sorted as text instead. Steps that a later one reads more than once are columns of
+    their own, so that each is worked out once."""
+    w = F.col(words)
+    n = F.size(w)
+    triples = F.arrays_zip(w.alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c"))
     low = (1 << POSITION) - 1
-    keys = F.sort_array(F.slice(F.transform(triples, lambda t, i: F.xxhash64(t["a"], t["b"], t["c"]).bitwiseAND(~low).bitwiseOR(i.cast("long"))), F.lit(1), n - 2))
-    near = F.filter(
-        F.zip_with(F.slice(keys, F.lit(1), n - 3), F.slice(keys, 2, n), lambda p, q: F.when(F.shiftright(p, POSITION) == F.shiftright(q, POSITION), F.struct(p.bitwiseAND(low).cast("int").alias("p"), q.bitwiseAND(low).cast("int").alias("q")))),
-        lambda x: x.isNotNull(),
-    )
-    same = lambda x: (words[x["p"]] == words[x["q"]]) & (words[x["p"] + 1] == words[x["q"] + 1]) & (words[x["p"] + 2] == words[x["q"] + 2])
-    cover = lambda at: F.size(F.array_distinct(F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2)))).cast("long")
-    fast = cover(F.concat(F.transform(near, lambda x: x["p"]), F.transform(near, lambda x: x["q"])))
+    packed = F.transform(triples, lambda t, i: F.xxhash64(t["a"], t["b"], t["c"]).bitwiseAND(~low).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_keys", F.when(n > 3, F.sort_array(F.slice(packed, F.lit(1), n - 2))))
+    keys = F.col("_keys")
+    joint = F.zip_with(keys, F.slice(keys, 2, n), lambda p, q: F.when(F.shiftright(p, POSITION) == F.shiftright(q, POSITION), F.struct(p.bitwiseAND(low).cast("int").alias("p"), q.bitwiseAND(low).cast("int").alias("q"))))
+    rows = rows.withColumn("_near", F.filter(joint, lambda x: x.isNotNull()))
+    same = lambda x: (w[x["p"]] == w[x["q"]]) & (w[x["p"] + 1] == w[x["q"] + 1]) & (w[x["p"] + 2] == w[x["q"] + 2])
+    fast = F.concat(F.col("_near.p"), F.col("_near.q"))
 
     texts = F.array_sort(F.transform(F.slice(triples, F.lit(1), n - 2), lambda t, i: F.struct(F.concat_ws(" ", t["a"], t["b"], t["c"]).alias("w"), i.alias("i"))))
-    pairs = F.filter(F.zip_with(F.slice(texts, F.lit(1), n - 3), F.slice(texts, 2, n), lambda p, q: F.when(p["w"] == q["w"], F.struct(p["i"].alias("p"), q["i"].alias("q")))), lambda x: x.isNotNull())
-    slow = cover(F.concat(F.transform(pairs, lambda x: x["p"]), F.transform(pairs, lambda x: x["q"])))
-    return F.when(n < 4, 0).when((n > low) | ~F.forall(near, same), slow).otherwise(fast).cast("long")
+    pairs = F.filter(F.zip_with(texts, F.slice(texts, 2, n), lambda p, q: F.when(p["w"] == q["w"], F.array(p["i"], q["i"]))), lambda x: x.isNotNull())
+    rows = rows.withColumn("_at", F.when(F.size("_near") == 0, F.array().cast("array<int>")).when((n > low) | ~F.forall("_near", same), F.flatten(pairs)).otherwise(fast))
+    at = F.col("_at")
+    cover = F.size(F.array_distinct(F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2))))
+    return rows.withColumn(name, F.when(n > 3, cover).otherwise(0).cast("long")).drop("_keys", "_near", "_at")
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,14 +53,14 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(k).alias(f"_{k}") for k in keep), text.alias("_t"))
     rows = rows.withColumn("_w", F.filter(F.split("_t", GAP), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return rows.select(
+    return _repeat_words(rows, "_w", "n_repeat_words").select(
         "id",
         *(F.col(f"_{k}").alias(k) for k in keep),
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_w")).alias("n_repeat_words"),
+        "n_repeat_words",
     )
 
 
@@ -86,9 +89,9 @@ def _estimates(rows: DataFrame, dims: list[str], floor: dict[str, float], scale:
     return est.select("g", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j in pairs))
 
 
-def _distances(rows: DataFrame, est: DataFrame, dims: list[str]) -> DataFrame:
+def _distances(rows: DataFrame, est: DataFrame, dims: list[str], send) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's estimate."""
-    out = rows.join(est, "g")
+    out = rows.join(send(est), "g")
     for i, c in enumerate(dims):
         out = out.withColumn(f"y_{i}", sum((-F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.col(c) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}"))
     return out.select(*rows.columns, sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, len(dims))), F.col("y_0") * F.col("y_0")).alias("d2"))
@@ -106,6 +109,8 @@ def _quantile_bins(rows: DataFrame, share: float) -> DataFrame:
     return cum.where(F.col("cum") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("last"))
 
 
+#: Groups whose estimates (some 150 bytes each) are sent to all tasks; of more, they are joined by a shuffle.
+MOST_SENT = 100_000
 #: Median of the chi-squared distribution with four degrees of freedom: a fixed value.
 CHI2_MEDIAN_4 = 3.3567
 
@@ -114,7 +119,8 @@ def outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 60.0, steps: int
     """stats with d2 and outlier.
 
     stats: id, lang, source, BASE; rows that failed the base limits (base_failed) take no part and have null d2. Groups under
-    `least` rows are judged within their language, languages under that within all rows. floors: what a
+    `least` rows are judged together with the others of their language, what is under that too all together, and what is
+    then left not at all. floors: what a
     dimension's deviation is at least, so that a group in which a statistic hardly varies has no
     outliers by a hair. cutoff: of the squared distance, where covariance is scaled so that its median is that
     of four normal dimensions."""
@@ -124,21 +130,26 @@ def outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 60.0, steps: int
     tag = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     rows = stats.where(~F.col("base_failed")).select("row", F.concat_ws("\x01", tag("lang"), tag("source")).alias("g2"), tag("lang").alias("g1"), *(c.alias(k) for k, c in vector.items()))
     sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"))
-    sizes = sizes.select("g2", "n", "g1", F.sum("n").over(Window.partitionBy("g1")).alias("n1"))
-    named = sizes.select("g2", F.when(F.col("n") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).otherwise("").alias("g"))
-    rows = materialize(rows.join(named, "g2").select("row", "g", *dims), "quality-vectors")
+    small = F.when(F.col("n") < least, F.col("n"))
+    sizes = sizes.withColumn("n1", F.coalesce(F.sum(small).over(Window.partitionBy("g1")), F.lit(0)))
+    rest = F.when((F.col("n") < least) & (F.col("n1") < least), F.col("n"))
+    sizes = sizes.withColumn("n0", F.coalesce(F.sum(rest).over(Window.partitionBy(F.lit(0))), F.lit(0)))
+    named = sizes.select("g2", F.when(F.col("n") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).when(F.col("n0") >= least, F.lit("")).alias("g"))
+    named = materialize(named.where("g is not null"), "quality-groups")
+    send = F.broadcast if named.count() <= MOST_SENT else (lambda df: df)
+    rows = materialize(rows.join(send(named), "g2").select("row", "g", *dims), "quality-vectors")
 
     mids = rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m_{i}") for i, c in enumerate(dims)))
-    spread = rows.join(mids, "g").groupBy("g").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(dims))), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 1000).alias(f"a_{i}") for i, c in enumerate(dims)))
+    spread = rows.join(send(mids), "g").groupBy("g").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(dims))), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 1000).alias(f"a_{i}") for i, c in enumerate(dims)))
     est = spread.select("g", *(f"m_{i}" for i in range(len(dims))), *((F.greatest(1.4826 * F.col(f"a_{i}"), F.lit(floor[c])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, c in enumerate(dims) for j in range(i + 1)))
     est = materialize(est, "quality-start")
     for _ in range(steps):
-        far = _distances(rows, est, dims)
-        core = far.withColumn("bin", _bin(F.col("d2"))).join(_quantile_bins(far, h), "g").where("bin <= last")
+        far = _distances(rows, est, dims, send)
+        core = far.withColumn("bin", _bin(F.col("d2"))).join(send(_quantile_bins(far, h)), "g").where("bin <= last")
         est = materialize(_estimates(core, dims, floor), "quality-estimate")
-    far = _distances(rows, est, dims)
+    far = _distances(rows, est, dims, send)
     middle = _quantile_bins(far, 0.5).select("g", F.greatest(F.pow(F.lit(2.0), (F.col("last") + 0.5) / BINS) / CHI2_MEDIAN_4, F.lit(1.0)).alias("scale"))
-    judged = far.join(middle, "g").select("row", (F.col("d2") / F.col("scale")).alias("d2"))
+    judged = far.join(send(middle), "g").select("row", (F.col("d2") / F.col("scale")).alias("d2"))
     return stats.join(judged, "row", "left").withColumn("outlier", F.coalesce(F.col("d2") > cutoff, F.lit(False)))
 
 
