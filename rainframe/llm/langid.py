@@ -20,10 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 WORD = re.compile(r"[^\W\d_]+")
 NGRAMS, BUCKETS = (2, 3, 4), 1 << 16
 SEQUENCE = 64  # words in a chain
-AT_ONCE = 200_000  # words scored together
+AT_ONCE = 100_000  # words scored together
+SLICE = 4 << 20  # bytes of text that are Python strings together
 UND = "und"
 
 
@@ -238,26 +241,27 @@ def _label(model: Model, lists: list[list[str]]):
         yield out[end - len(x) : end], (names, x)
 
 
+def verdicts(model: Model | None, texts: pa.Array):
+    """For each text its language and that language's share of the posterior mass."""
+    for part in slices(texts, SLICE):
+        for post, _ in label(model, part.to_pylist()) if model else (((), None) for _ in part):
+            if len(post):
+                mass = post.mean(axis=0)
+                best = int(mass.argmax())
+                yield model.langs[best], min(1.0, float(mass[best]))
+            else:
+                yield UND, 0.0
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (its share of the posterior mass) of every row, repeated rows alike. Texts that are null or
     have no letter are `und` with score 0; so are all where there is no model. Only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
         for b in batches:
-            names, shares = [], []
-            texts = b.column("text").to_pylist()
-            for post, _ in label(m, texts) if m else ((np.zeros((0, 0)), None) for _ in texts):
-                if not len(post):
-                    names.append(UND)
-                    shares.append(0.0)
-                    continue
-                mass = post.mean(axis=0)
-                best = int(mass.argmax())
-                names.append(m.langs[best])
-                shares.append(min(1.0, float(mass[best])))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["id", "lang_pred", "score"])
+            found = list(verdicts(sent.value, b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
@@ -287,14 +291,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without the rows that are `und` or whose language has under `least` of the posterior mass."""
+    """docs without the rows that are `und` or whose language has under `least` of the posterior mass. Only texts go to
+    Python, and only verdicts come back."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
-    schema = docs.schema
 
-    def run(batches):
-        m = sent.value
-        for b in batches:
-            ok = [bool(len(p)) and float(p.mean(axis=0).max()) >= least for p, _ in label(m, b.column("text").to_pylist())] if m else [False] * b.num_rows
-            yield b.filter(pa.array(ok, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([lang != UND and share >= least for lang, share in verdicts(sent.value, texts)], pa.bool_())
 
-    return docs.mapInArrow(run, schema)
+    return docs.where(known("text"))
