@@ -25,6 +25,7 @@ from .tokens import slices
 #: Bytes that stand in words: 0-9, a-z and all of other characters; A-Z count as a-z.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
+SEGMENT_BYTES = 4 << 20  # of text in a segment, or one text
 SEGMENT = "ids array<{id}>, starts array<bigint>, n_words array<bigint>, terms array<binary>, ends array<bigint>, places binary"
 
 
@@ -122,7 +123,7 @@ def _index(batches, only: frozenset | None, segment_bytes: int):
         )
 
 
-def build_index(docs: DataFrame, only: frozenset[bytes] | None = None, segment_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, only: frozenset[bytes] | None = None, segment_bytes: int = SEGMENT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per segment of about segment_bytes of text, or one text. only: index no other terms, where the tests to come are known."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _index(it, only, segment_bytes), SEGMENT.format(id=docs.schema[id_col].dataType.simpleString()))
@@ -212,13 +213,17 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shar
     of_id = docs.schema[id_col].dataType.simpleString()
     n = block_count(bench, block_words)
     schema = SEGMENT.format(id=of_id) + ", hits binary, found array<array<string>>"
+    verdict = f"id {of_id}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean"
     first = test_block(bench, window, 0, n)
-    index = build_index(docs, frozenset(w for p in first.phrases for w in p) if n == 1 else None, id_col=id_col, text_col=text_col)
-    index = index.mapInArrow(lambda it: _search(it, first), schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if n == 1:  # an index that is asked once need not leave the task
+        only = frozenset(w for p in first.phrases for w in p)
+        return rows.mapInArrow(lambda it: _verdicts(_search(_index(it, only, SEGMENT_BYTES), first), share), verdict)
+    index = rows.mapInArrow(lambda it: _search(_index(it, None, SEGMENT_BYTES), first), schema)
     for k in range(1, n):  # one block at a time is held and sent; the index with its hits so far is kept
         tests = test_block(bench, window, k, n)
         index = materialize(index, "decontaminate-index").mapInArrow(lambda it, tests=tests: _search(it, tests), schema)
-    return index.mapInArrow(lambda it: _verdicts(it, share), f"id {of_id}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean")
+    return index.mapInArrow(lambda it: _verdicts(it, share), verdict)
 
 
 def find_near(docs: DataFrame, phrases: dict[str, str], slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
