@@ -20,6 +20,7 @@ from .shared import materialize
 from .tokens import Encoder, slices, tokenizer_path
 
 GROUP = 1024  # buckets in a block of the running sums
+SLICE = 2 << 20  # bytes of text that are encoded together
 
 
 def encode(docs: DataFrame, vocabulary: str, ranks: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -31,7 +32,7 @@ def encode(docs: DataFrame, vocabulary: str, ranks: str, end_id: int, id_col: st
         end = np.array([end_id], np.uint32)
         for b in batches:
             at = 0
-            for part in slices(b.column("text")):
+            for part in slices(b.column("text"), SLICE):
                 ids, count = to.batch(part)
                 ends = np.cumsum(count)
                 all_ids = [np.concatenate([ids[e - c : e], end]) for e, c in zip(ends.tolist(), count.tolist())]
