@@ -18,12 +18,15 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .substring import document_key
+from .words import Spans, hash_words
 
 BITS = 64
+FLAT = 32  # values in a node from which on pairs are compared directly, where the budget ends none of them before the leaves
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -82,7 +85,17 @@ def walk(v: np.ndarray, pairs: list[np.ndarray], budget: int, chunk: int = 1 <<
             i, j = alo[single], blo[single]
             near = (i != j) & (np.bitwise_count(v[i] ^ v[j]) <= budget)
             yield i[near], j[near]
-            alo, ahi, blo, bhi, used = now[:, ~single]
+            now = now[:, ~single]
+            alo, ahi, blo, bhi, used = now
+        most = np.maximum(ahi - alo, bhi - blo)
+        flat = (np.minimum(ahi - alo, bhi - blo) >= FLAT) & (most <= np.left_shift(1, np.maximum(budget - used, 0)))
+        if flat.any():  # the budget outlasts the levels that are left, so no step down would end a pair
+            for a, b, c, d, _ in now[:, flat].T.tolist():
+                i, j = np.nonzero(np.bitwise_count(v[a:b, None] ^ v[None, c:d]) <= budget)
+                apart = i + a != j + c
+                yield i[apart] + a, j[apart] + c
+            now = now[:, ~flat]
+            alo, ahi, blo, bhi, used = now
         if depth == BITS or not len(alo):
             continue  # all values differ, so at the last depth every node is single
         if depth not in zeros:
@@ -235,3 +248,117 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "
     found = groups(docs, shingle, budget, id_col=id_col, text_col=text_col)
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stay")).distinct()
     return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])
+
+
+def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of n words; a shorter text with words is one run. A-Z count as a-z."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(Spans(hash_words(words)).windows(min(n, len(words))) ^ np.uint64(max(0, n - len(words))))
+
+
+def similar(sets: list[np.ndarray], percent: int = 80, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of sets whose Jaccard similarity is percent / 100 or more, from exact counts."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, term, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = times[term] > 1
+    _, term = np.unique(term[shared], return_inverse=True)
+    owner = owner[shared]
+    order = np.argsort(term, kind="stable")
+    term, owner = term[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(term[-1]) + 1 if len(term) else 0, columns):
+        lo, hi = np.searchsorted(term, [at, at + columns])
+        has = np.zeros((len(sets), min(columns, int(term[-1]) + 1 - at)), np.float32)
+        has[owner[lo:hi], term[lo:hi] - at] = 1
+        both += (has @ has.T).astype(np.int64)
+    near = (both > 0) & (100 * both >= percent * (size[:, None] + size[None] - both))
+    i, j = np.nonzero(near)
+    return i[i < j], j[i < j]
+
+
+def _check(batches, shingle: int, percent: int):
+    """Rows (root, bi, bj, th, text) sorted by the first three -> (a, b): each text and the least linked to it in its cell."""
+
+    def solve(cell: pa.Table):
+        th = cell.column("th").to_numpy()
+        forest = Forest(len(th))
+        order = np.argsort(th)
+        texts = cell.column("text").cast(pa.binary()).to_pylist()
+        i, j = similar([shingles(texts[k], shingle) for k in order], percent)
+        forest.join(i, j)
+        linked = np.flatnonzero(forest.root != np.arange(len(th)))
+        return th[order][linked], th[order][forest.root[linked]]
+
+    held = None
+    for b in (*batches, None):
+        now = pa.Table.from_batches([b]) if b is not None else None
+        now = held if now is None else now if held is None else pa.concat_tables([held, now])
+        if now is None or not now.num_rows:
+            continue
+        cell = np.stack([now.column(c).to_numpy() for c in ("root", "bi", "bj")])
+        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist()]
+        if b is None:
+            cuts.append(now.num_rows)
+        held = now.slice(cuts[-1]) if b is not None else None
+        made = [solve(now.slice(lo, hi - lo)) for lo, hi in zip(cuts, cuts[1:])]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], ["a", "b"])
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's id and the hashes of its id and text; null ids come last."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *document_key(id_col, text_col))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget: int = 10, print_shingle: int = 3, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (row_key) and component_id (the least row_key of its group) of every row. Groups are what chains of texts with a
+    Jaccard similarity of percent / 100 on `shingle` words connect, among texts that chains of fingerprints within `budget` bits connect.
+
+    The fingerprints' groups are candidates only: in each, texts are compared exactly, all with all, in pairs of blocks
+    of about `block` texts, so that no group is one task. Texts with the same words (A-Z as a-z, by a 64-bit hash)
+    are one; wordless and null texts are alike."""
+    rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+
+    def scan(batches):
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            th = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([fingerprint(t, print_shingle) for t in texts], pa.int64()), pa.array(np.array(th, np.uint64).view(np.int64))], ["id", "fp", "th"])
+
+    prints = materialize(rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, th bigint"), "similar-prints")
+    texts = materialize(prints.groupBy("th").agg(F.first("fp").alias("fp"), F.min("id").alias("id")), "similar-texts")
+    tied = components(links(texts.select("fp").distinct(), budget)).select(F.col("node").alias("fp"), "root")
+    rooted = texts.join(tied, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "th", F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))
+    rooted = materialize(rooted, "similar-candidates")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    asked = rooted.join(sizes, "root").select("root", "th", "k1", "k2", n_blocks.alias("nb"), F.pmod(F.xxhash64("th"), n_blocks.cast("long")).cast("int").alias("own"))
+    keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
+    found = keyed.join(asked, ["k1", "k2"]).dropDuplicates(["th"])
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
+    cells = found.select("root", "th", "text", "own", other).select("root", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "th", "text")
+    cells = cells.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    edges = cells.mapInArrow(lambda it: _check(it, shingle, percent), "a bigint, b bigint")
+    tied = components(edges).select(F.col("node").alias("th"), "root")
+    rooted = materialize(texts.join(tied, "th", "left").select("th", "id", F.coalesce("root", "th").alias("root")), "similar-roots")
+    names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = rooted.select("root", "th").join(names, "root").select("th", "component_id")
+    return prints.join(named, "th").select("id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """Of each of similar_groups the row with the least id; rows alike in id and text are one."""
+    found = similar_groups(docs, id_col=id_col, text_col=text_col, **rule)
+    return _rows_named(docs, found, id_col, text_col)
+
+
+def _rows_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each of the row keys found.id that name their group."""
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id.k1", "id.k2").distinct()
+    k1, k2 = document_key(id_col, text_col)
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    kept = keyed.join(stay, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(docs.columns)
