@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .substring import document_key
 from .tokens import slices
 
 #: Bytes that stand in words: 0-9, a-z and all of other characters; A-Z count as a-z.
@@ -252,6 +253,7 @@ def digests(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows."""
-    bad = find_contamination(docs, bench, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("id").alias("_bad"))
-    return docs.join(bad.distinct(), docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the contaminated rows. A row is known by the hashes of its id and text, as ids can be null or repeated."""
+    keyed = docs.withColumn("_row", F.concat_ws(":", *document_key(id_col, text_col)))
+    bad = find_contamination(keyed, bench, id_col="_row", text_col=text_col).where("contaminated").select(F.col("id").alias("_row"))
+    return keyed.join(bad.distinct(), "_row", "left_anti").select(docs.columns)

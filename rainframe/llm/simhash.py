@@ -244,10 +244,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each group; of rows alike in that id, one."""
-    found = groups(docs, shingle, budget, id_col=id_col, text_col=text_col)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])
+    """The row with the least id of each group; rows alike in id and text are one."""
+    found = groups(docs.withColumn("_row", row_key(id_col, text_col)), shingle, budget, id_col="_row", text_col=text_col)
+    return _rows_named(docs, found, id_col, text_col)
 
 
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
@@ -357,8 +356,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _rows_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs for each of the row keys found.id that name their group."""
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id.k1", "id.k2").distinct()
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.k1").alias("_k1"), F.col("id.k2").alias("_k2")).distinct()
     k1, k2 = document_key(id_col, text_col)
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    kept = keyed.join(stay, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(docs.columns)

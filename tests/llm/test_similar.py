@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from rainframe.llm import simhash
+from rainframe.llm import decontaminate, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +58,23 @@ def test_large_budgets_find_all_pairs():
     got = {tuple(sorted(p)) for i, j in simhash.walk(v, [np.array([x]) for x in (0, 0, len(v), 0, len(v), 0)], 12) for p in zip(i.tolist(), j.tolist())}
     i, j = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= 12, 1))
     assert got == set(zip(i.tolist(), j.tolist())) and len(got) > 20
+
+
+ODD = [(None, "a"), (None, "b"), (None, "c"), (1, "d"), (1, "e"), (2, "f")]
+
+
+def texts(seed):
+    return " ".join(f"{seed}{k}" for k in range(60))
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(i, texts(s)) for i, s in ODD] + [(9, texts("a")), (2, texts("f"))]
+    want = sorted([(9, texts("a"))] + [(i, texts(s)) for i, s in ODD[1:]], key=str)
+    for keep in (simhash.keep_one, simhash.keep_one_similar):
+        assert sorted(((r.doc_id, r.text) for r in keep(frame(spark, rows)).collect()), key=str) == want
+
+
+def test_one_contaminated_row_takes_no_other(spark):
+    bench = spark.createDataFrame([(1, texts("b")), (2, texts("d"))], "item_id long, text string")
+    kept = decontaminate.clean(frame(spark, [(i, texts(s)) for i, s in ODD]), bench).collect()
+    assert sorted((r.text for r in kept)) == [texts(s) for s in "acef"]
