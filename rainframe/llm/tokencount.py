@@ -1,7 +1,7 @@
 """Edit-aware token counts: a segment tree over each text's pre-tokens.
 
 Leaves are runs of LEAF pre-tokens; nodes hold the characters and tokens below them. An edit finds its
-leaves by descending the sums of characters. Only pre-tokens from the last one before the edit on are made anew,
+leaves by descending the sums of characters. Only pre-tokens that could see the edit (the white space before it and two characters more) are made anew,
 until one ends where an old one ended behind the edit; from there on the text is as before, so are its
 pre-tokens. The sums above the touched leaves are updated. Trees are columns of numbers beside the
 text's key and can be stored between runs."""
@@ -110,14 +110,15 @@ def apply_edits(to: Counter, text: str, chars: list[int], tokens: list[int], edi
         stop = max(start, min(start + int(e["length"] or 0), len(text)))
         added = e["text"] or ""
         after, shift = text[:start] + added + text[stop:], len(added) - (stop - start)
-        leaf, first = tree.find(max(0, start - 1))
-        # pre-tokens that end before the edit cannot see it
+        # a pre-token sees to the end of the white space behind it, and two characters on where it is a contraction
+        unseen = max(0, len(text[:start].rstrip()) - 2)
+        leaf, first = tree.find(unseen)
         front, begin = [], first
         old = to.pattern.finditer(text, first)
         old_end = first
         for m in old:
             old_end = m.end()
-            if old_end >= start:
+            if old_end > unseen:
                 break
             front.append(m.group())
             begin = old_end
