@@ -236,6 +236,12 @@ def masked_outside_zones(spark, d):
     return regions.clip(select.time_range(v.obs(spark, d), None, "1995"), some, drop=False).select("cell_id", F.to_date("time").alias("time"), "value")
 
 
+@query(f"WITH {PAIRS}, {ZONES} SELECT cell_id, d AS time, CASE WHEN cell_id IN (SELECT cell_id FROM zones WHERE zone_name IN ('ASIA', 'EUROPE')) THEN round(obs, 6) END AS value FROM pairs")
+def masked_outside_zones_all_days(spark, d):
+    some = v.zones(spark, d).where("zone_name in ('ASIA', 'EUROPE')")
+    return regions.clip(v.obs(spark, d), some, drop=False).select("cell_id", F.to_date("time").alias("time"), "value")
+
+
 @query(f"WITH {CELLS}, p(name, x1, y1, x2, y2, x3, y3) AS (VALUES (1, 0, 0, 0, 0, 0, 0)) SELECT cell_id, CASE WHEN lat < 31.3 AND lon < 102.3 THEN 1 ELSE 2 END AS zone_id, CASE WHEN lat < 31.3 AND lon < 102.3 THEN 'a' ELSE 'b' END AS zone_name FROM cells WHERE (lat < 31.3 AND lon < 102.3) OR (lat > 31.3 AND lat < 33.7 AND lon > 101.2 AND lon < 103.8)")
 def cells_in_polygons(spark, d):
     box = lambda x1, y1, x2, y2: [[(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]]
@@ -476,8 +482,8 @@ def fused_by_ridge(spark, d):
 
 @query()
 def fused_in_two_stages(spark, d):
-    cfg = learn.TwoStageConfig(wet=100.0, trees=8, depth=5, least=100)
-    return learn.fuse_two_stage(v.monthly_wide(spark, d), v.FLAGS, v.zones(spark, d).where("zone_id <= 2"), cfg=cfg).withColumn("time", F.to_date("time"))
+    cfg = learn.TwoStageConfig(wet=100.0, least=100)
+    return learn.fuse_two_stage(v.monthly_wide(spark, d), v.FLAGS, v.zones(spark, d), cfg=cfg).withColumn("time", F.to_date("time"))
 
 
 @query(f"WITH {PAIRS}, s AS (SELECT cell_id, month(d) AS mon, CASE WHEN sum(sim) < 0.1 AND sum(obs) < 0.1 THEN 1 ELSE least(greatest(sum(obs) / (sum(sim) + 1e-6), 0.3), 3) END AS k FROM pairs GROUP BY 1, 2) SELECT d AS time, cell_id, round(sim * k, 6) AS value FROM pairs JOIN s ON pairs.cell_id = s.cell_id AND month(d) = mon".replace("SELECT d AS time, cell_id,", "SELECT d AS time, pairs.cell_id,"))
