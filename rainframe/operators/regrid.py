@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,31 +113,40 @@ def resample(cube: DataFrame, cells: DataFrame, target_resolution: float | None
     return interpolate(cube, cells, *to, method, value)
 
 
-def idw(samples: DataFrame, cells: DataFrame, power: float = 2.0, eps: float = 1e-12, keys: tuple[str, ...] = (), value: str = "value", most_samples: int = 100_000) -> DataFrame:
+def _in_blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str]) -> DataFrame:
+    """keys, and the columns of about `size` rows of a key as arrays."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("_n")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    dealt = rows.join(n, met).withColumn("_b", F.pmod(F.xxhash64(*columns), F.col("_n")))
+    held = dealt.groupBy(*keys, "_b").agg(F.collect_list(F.struct(*columns)).alias("_s"))
+    return held.select(*keys, *(F.col(f"_s.{c}").alias(c) for c in columns))
+
+
+def idw(samples: DataFrame, cells: DataFrame, power: float = 2.0, eps: float = 1e-12, keys: tuple[str, ...] = (), value: str = "value", block: int = 4096) -> DataFrame:
     """Inverse-distance weighting in planar degrees of samples (keys, lat, lon, value) at cells, over all samples of a key.
 
-    Samples are a stated, bounded set (fits draw a fixed number per zone and month): they are sent to the tasks,
-    and every cell sums over them there. More than most_samples is an error."""
-    rows = samples.where(finite(value).isNotNull()).select(*keys, "lat", "lon", value)
-    if (n := rows.count()) > most_samples:
-        raise ValueError(f"{n} samples; at most {most_samples} are taken")
-    pdf = rows.toPandas()
-    own = list(pdf.groupby(list(keys))) if keys else [((), pdf)]
-    kind = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name in keys)
+    Blocks of samples meet blocks of cells in the tasks; numerators and denominators of each cell are summed over a key's
+    blocks. Cells without coordinates are NULL."""
+    rows = samples.select(*keys, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), finite(value).alias("_v")).where("_v is not null and _lat is not null and _lon is not null")
+    points = _in_blocks(rows, list(keys), block, ["_lat", "_lon", "_v"])
+    at = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    targets = _in_blocks(at, [], block, ["cell_id", "lat", "lon"])
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keys)
 
     def spread(batches):
-        import pandas as pd
-
         for b in batches:
-            x = b[["lat", "lon"]].to_numpy(float)
-            for key, s in own:
-                p, v = s[["lat", "lon"]].to_numpy(float), s[value].to_numpy(float)
+            for i in range(b.num_rows):
+                ids, lat, lon, p_lat, p_lon, v = (b.column(c)[i].values for c in ("cell_id", "lat", "lon", "_lat", "_lon", "_v"))
+                x, y, p, q, w_of = (c.to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon, p_lat, p_lon, v))
                 top, low = np.zeros(len(x)), np.zeros(len(x))
-                for i in range(0, len(p), 512):
-                    d = ((x[:, None, :] - p[None, i : i + 512]) ** 2).sum(axis=2)
-                    w = 1 / (d + eps) ** (power / 2)
-                    top += w @ v[i : i + 512]
+                for j in range(0, len(p), 512):
+                    w = 1 / ((x[:, None] - p[None, j : j + 512]) ** 2 + (y[:, None] - q[None, j : j + 512]) ** 2 + eps) ** (power / 2)
+                    top += w @ w_of[j : j + 512]
                     low += w.sum(axis=1)
-                yield pd.DataFrame({**dict(zip(keys, key)), "cell_id": b["cell_id"], value: top / low})
+                own = [pa.array([b.column(k)[i].as_py()] * len(x), b.column(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, ids, pa.array(top), pa.array(low)], [*keys, "cell_id", "_top", "_low"])
 
-    return cells.select("cell_id", "lat", "lon").mapInPandas(spread, f"{kind}cell_id bigint, {value} double")
+    parts = targets.crossJoin(points).mapInArrow(spread, f"{kind}cell_id bigint, _top double, _low double")
+    return parts.groupBy(*keys, "cell_id").agg(finite(F.sum("_top") / F.nullif(F.sum("_low"), F.lit(0.0))).alias(value))

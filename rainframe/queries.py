@@ -276,6 +276,13 @@ def inverse_distance(spark, d):
     return regrid.idw(means.join(cells, "cell_id"), cells)
 
 
+@query(f"WITH {PAIRS}, {CELLS}, s AS (SELECT cell_id, lat, lon, avg(obs) AS v FROM pairs JOIN cells USING (cell_id) GROUP BY 1, 2, 3) SELECT c.cell_id, round(sum(s.v / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)) / sum(1 / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)), 6) AS value FROM cells c, s GROUP BY 1")
+def inverse_distance_all_cells(spark, d):
+    cells = v.cells(spark, d)
+    means = v.obs(spark, d).groupBy("cell_id").agg(F.avg("value").alias("value"))
+    return regrid.idw(means.join(cells, "cell_id"), cells)
+
+
 # ---- extremes
 
 def _extreme(name: str, body: str, f) -> None:
