@@ -62,7 +62,7 @@ class Segment:
 
     def near(self, words: list[bytes], slop: int) -> np.ndarray:
         """Rows (first, last position) where the words stand in order with at most `slop` words between them in all;
-        for each first position the earliest such last one."""
+        for each first position the earliest such last one. Both are in the same text."""
         terms = [self.term.get(w, -1) for w in words]
         if min(terms) < 0:
             return np.zeros((0, 2), np.int64)
@@ -78,7 +78,8 @@ class Segment:
             first, last = first[ok], own[i[ok]]
             ok = last - first < reach
             first, last = first[ok], last[ok]
-        return np.stack([first, last], axis=1)
+        own = self.text_of(first) == self.text_of(last)
+        return np.stack([first[own], last[own]], axis=1)
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
