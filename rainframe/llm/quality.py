@@ -120,7 +120,7 @@ def outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 60.0, steps: int
 
     stats: id, lang, source, BASE; rows that failed the base limits (base_failed) take no part and have null d2. Groups under
     `least` rows are judged together with the others of their language, what is under that too all together, and what is
-    then left not at all. floors: what a
+    then left by the estimate of all rows of its language, or of all rows where the language has under `least`. floors: what a
     dimension's deviation is at least, so that a group in which a statistic hardly varies has no
     outliers by a hair. cutoff: of the squared distance, where covariance is scaled so that its median is that
     of four normal dimensions."""
@@ -134,10 +134,19 @@ def outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 60.0, steps: int
     sizes = sizes.withColumn("n1", F.coalesce(F.sum(small).over(Window.partitionBy("g1")), F.lit(0)))
     rest = F.when((F.col("n") < least) & (F.col("n1") < least), F.col("n"))
     sizes = sizes.withColumn("n0", F.coalesce(F.sum(rest).over(Window.partitionBy(F.lit(0))), F.lit(0)))
-    named = sizes.select("g2", F.when(F.col("n") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).when(F.col("n0") >= least, F.lit("")).alias("g"))
-    named = materialize(named.where("g is not null"), "quality-groups")
+    named = sizes.select("g2", F.when(F.col("n") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).when(F.col("n0") >= least, F.lit("")).alias("g"), "g1", F.sum("n").over(Window.partitionBy("g1")).alias("n_lang"))
+    named = materialize(named, "quality-groups")
     send = F.broadcast if named.count() <= MOST_SENT else (lambda df: df)
-    rows = materialize(rows.join(send(named), "g2").select("row", "g", *dims), "quality-vectors")
+    left = named.where("g is null")
+    whole = F.when(F.col("n_lang") >= least, F.concat(F.lit("\x02"), F.col("g1"))).otherwise("\x02")
+    judged_by = named.select("g2", F.coalesce("g", whole).alias("g"), F.lit(True).alias("own"))
+    langs = left.where(F.col("n_lang") >= least).select("g1").distinct()
+    besides = named.where("g is not null")
+    others = besides.join(langs, "g1").select("g2", F.concat(F.lit("\x02"), F.col("g1")).alias("g"), F.lit(False).alias("own"))
+    if not left.where(F.col("n_lang") < least).isEmpty():  # all rows, whether or not their own language is judged by itself
+        apart = named.where(~(F.col("g").isNull() & (F.col("n_lang") < least)))
+        others = others.unionByName(apart.select("g2", F.lit("\x02").alias("g"), F.lit(False).alias("own")))
+    rows = materialize(rows.join(send(judged_by.unionByName(others)), "g2").select("row", "g", "own", *dims), "quality-vectors")
 
     mids = rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m_{i}") for i, c in enumerate(dims)))
     spread = rows.join(send(mids), "g").groupBy("g").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(dims))), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 1000).alias(f"a_{i}") for i, c in enumerate(dims)))
@@ -149,7 +158,7 @@ def outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 60.0, steps: int
         est = materialize(_estimates(core, dims, floor), "quality-estimate")
     far = _distances(rows, est, dims, send)
     middle = _quantile_bins(far, 0.5).select("g", F.greatest(F.pow(F.lit(2.0), (F.col("last") + 0.5) / BINS) / CHI2_MEDIAN_4, F.lit(1.0)).alias("scale"))
-    judged = far.join(send(middle), "g").select("row", (F.col("d2") / F.col("scale")).alias("d2"))
+    judged = far.where("own").join(send(middle), "g").select("row", (F.col("d2") / F.col("scale")).alias("d2"))
     return stats.join(judged, "row", "left").withColumn("outlier", F.coalesce(F.col("d2") > cutoff, F.lit(False)))
 
 
