@@ -121,10 +121,17 @@ ORACLE_SQL: dict[str, str] = {
             FROM d, (SELECT DISTINCT size FROM bw), unnest(range(1, greatest(len(words) - size + 2, 1))) AS t(i)
         ), found AS (SELECT doc_id, i, dw.size, item_id FROM dw JOIN bw USING (win, size)),
         hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM found, unnest(range(0, size)) AS t(j) GROUP BY doc_id),
-        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM found GROUP BY doc_id)
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM found GROUP BY doc_id),
+        gap AS (
+            SELECT doc_id, size, array_to_string(words[i:i + g - 1], ' ') || ' ' || array_to_string(words[i + g + 1:i + size], ' ') AS win
+            FROM d, (SELECT DISTINCT size FROM bw WHERE size > 1), unnest(range(1, greatest(len(words) - size + 1, 1))) AS t(i), unnest(range(1, size)) AS o(g)
+        ), near AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_near
+            FROM (SELECT doc_id, item_id FROM found UNION ALL SELECT doc_id, item_id FROM gap JOIN bw USING (win, size)) GROUP BY doc_id
+        )
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op10_url_filter": r"""
         WITH u AS (

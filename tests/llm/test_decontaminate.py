@@ -21,30 +21,35 @@ def brute(docs, items):
             wins.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
     for d, t in docs:
         w = words(t)
-        hit, found = [False] * len(w), set()
+        hit, found, near = [False] * len(w), set(), set()
         for size in {len(x) for x in wins}:
             for k in range(len(w) - size + 1):
                 if tuple(w[k : k + size]) in wins:
                     hit[k : k + size] = [True] * size
                     found |= wins[tuple(w[k : k + size])]
-        yield d, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w)
+            for k in range(len(w) - size):
+                for g in range(1, size):
+                    near |= wins.get(tuple(w[k : k + g] + w[k + g + 1 : k + size + 1]), set())
+        yield d, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w), len(found | near)
 
 
 @pytest.fixture(scope="module")
 def items(corpus):
     texts = [r[1] for r in corpus if r[1] and len(words(r[1])) > 15]
-    return [(10, texts[0]), (9, " ".join(words(texts[3])[4:24]).upper()), (2, " ".join(words(texts[5])[:5])), (3, None), (4, " .. "), (5, "never found phrase"), (2, texts[8]), (6, "a b a b")]
+    spread = words(texts[2])[:30]
+    return [(10, texts[0]), (9, " ".join(words(texts[3])[4:24]).upper()), (2, " ".join(words(texts[5])[:5])), (3, None), (4, " .. "), (5, "never found phrase"), (2, texts[8]), (6, "a b a b"), (7, "ing"), (8, " ".join(spread[:9] + spread[10:])), (11, "one three"), (12, "negative id")]
 
 
 @pytest.mark.parametrize("block_words,segment_bytes", [(10**6, 4 << 20), (20, 500)])
-def test_matches_brute_force(spark, docs, corpus, items, block_words, segment_bytes, monkeypatch):
-    build = decontaminate.build_index
-    monkeypatch.setattr(decontaminate, "build_index", lambda d, only=None, **k: build(d, only, segment_bytes, **k))
-    found = decontaminate.find_contamination(docs, spark.createDataFrame([(*i, "x") for i in items], ITEM), block_words=block_words)
-    got = [(r.id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in found.collect()]
+def test_matches_brute_force(spark, docs, corpus, items, block_words, segment_bytes):
+    bench = spark.createDataFrame([(*i, "x") for i in items], ITEM)
+    if block_words < 100:
+        assert decontaminate.block_count(bench, block_words) > 5
+    found = decontaminate.find_contamination(docs, bench, block_words=block_words, segment_bytes=segment_bytes)
+    got = [(r.id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated, r.n_near) for r in found.collect()]
     want = sorted(brute([r[:2] for r in corpus], items))
     assert sorted(got) == want
-    assert any(w[5] for w in want)
+    assert any(w[5] for w in want) and any(w[6] > w[3] for w in want)
 
 
 def test_query_and_clean(spark, docs, corpus, items):
@@ -56,12 +61,27 @@ def test_query_and_clean(spark, docs, corpus, items):
     assert sorted(r.doc_id for r in left.collect()) == sorted(w[0] for w in want if not w[5])
 
 
-def test_stored_index_answers_again(spark, docs, tmp_path):
-    decontaminate.build_index(docs).write.parquet(str(tmp_path / "index"))
-    index = spark.read.parquet(str(tmp_path / "index"))
-    tests = decontaminate.Tests([(b"one", b"two"), (b"seven", b"one")], [["x"], ["y"]])
-    out = index.mapInArrow(lambda it: decontaminate._search(it, tests), index._jdf.schema().toDDL() + ", hits binary, found array<array<string>>")
-    assert sorted({i for r in out.collect() for f in r.found for i in f}) == ["x", "y"]
+def test_stored_index_answers_again(spark, docs):
+    index = decontaminate.build_index(docs)
+    for item in ("one two", "seven one"):
+        found = decontaminate.find_hits(index, [("x", item.encode().split())], 2).collect()
+        assert [r["items"] for r in found] == [["x"]]
+    assert index.where("term is not null").select("term").distinct().count() > 100
+
+
+def test_rows_without_or_with_the_same_id_are_judged_each(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", "r"), (1, "quite another text here", "r"), (None, "alpha beta gamma delta", "r"), (None, "one more unlike text", "r"), (None, None, "r")], "doc_id long, text string, key string")
+    bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, (tuple(r) for r in left.collect()))) == sorted(map(repr, [(1, "quite another text here", "r"), (None, "one more unlike text", "r"), (None, None, "r")]))
+
+
+@pytest.mark.parametrize("name", ["_bad", "_row", "row", "key", "id", "seg", "i", "items", "term"])
+def test_clashing_columns(spark, name):
+    docs = spark.createDataFrame([(1, "alpha beta", 7), (2, "gamma", 8)], f"doc_id long, text string, `{name}` long")
+    bench = spark.createDataFrame([(1, "beta")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(docs, bench).collect()] == [(2, "gamma", 8)]
 
 
 def test_proximity(spark):
