@@ -13,6 +13,7 @@ number more than the fingerprints dealt out, while no connection is lost."""
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 from .substring import document_key
-from .words import Spans, hash_words
+from .words import Spans, hash_words, mix, whole_groups
 
 BITS = 64
 FLAT = 32  # values in a node from which on pairs are compared directly, where the budget ends none of them before the leaves
@@ -43,6 +44,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
         starts = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
         cuts = map(whole.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist()))
         h = np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(seed)), np.uint64, n - shingle + 1)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
     ones = np.zeros(BITS, np.int64)
     for part in np.array_split(h, range(1 << 14, len(h), 1 << 14)):
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -89,6 +95,8 @@ def walk(v: np.ndarray, pairs: list[np.ndarray], budget: int, chunk: int = 1 <<
             alo, ahi, blo, bhi, used = now
         most = np.maximum(ahi - alo, bhi - blo)
         flat = (np.minimum(ahi - alo, bhi - blo) >= FLAT) & (most <= np.left_shift(1, np.maximum(budget - used, 0)))
+        if depth == BITS:  # equal values, if there are any
+            flat[:] = True
         if flat.any():  # the budget outlasts the levels that are left, so no step down would end a pair
             for a, b, c, d, _ in now[:, flat].T.tolist():
                 i, j = np.nonzero(np.bitwise_count(v[a:b, None] ^ v[None, c:d]) <= budget)
@@ -96,8 +104,8 @@ def walk(v: np.ndarray, pairs: list[np.ndarray], budget: int, chunk: int = 1 <<
                 yield i[apart] + a, j[apart] + c
             now = now[:, ~flat]
             alo, ahi, blo, bhi, used = now
-        if depth == BITS or not len(alo):
-            continue  # all values differ, so at the last depth every node is single
+        if not len(alo):
+            continue
         if depth not in zeros:
             zeros[depth] = np.concatenate([[0], np.cumsum((v >> np.uint64(BITS - 1 - depth)) & np.uint64(1) == 0)])
         z = zeros[depth]
@@ -128,11 +136,12 @@ class Forest:
 
 
 def _solve(batches, budget: int):
-    """Rows (rot, depth, pa, pb, used, side, v) of whole cells -> (a, b): each fingerprint and the least linked to it here."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
+    """Rows (rot, depth, pa, pb, used, side, v) sorted by cell -> (a, b): each fingerprint and the least linked to it in some cells."""
+    for table in whole_groups(batches, ("rot", "depth", "pa", "pb")):
+        yield _solve_cells(table, budget)
+
+
+def _solve_cells(table: pa.Table, budget: int) -> pa.RecordBatch:
     rot, depth, pa_, pb, used, side, v = (table.column(c).to_numpy() for c in ("rot", "depth", "pa", "pb", "used", "side", "v"))
     u = v.view(np.uint64)
     first = np.array([a for a, _ in _blocks(budget)], np.uint64)[rot]
@@ -155,7 +164,7 @@ def _solve(batches, budget: int):
     for i, j in walk(u, [np.asarray(p)[ok] for p in pairs], budget):
         forest.join(at[i], at[j])
     linked = np.flatnonzero(forest.root != np.arange(len(fps)))
-    yield pa.RecordBatch.from_arrays([pa.array(fps[linked]), pa.array(fps[forest.root[linked]])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(fps[linked]), pa.array(fps[forest.root[linked]])], ["a", "b"])
 
 
 def _masks(most: int, bits: int) -> list[int]:
@@ -201,7 +210,8 @@ def links(fps: DataFrame, budget: int = 2, leaf: int = 200_000) -> DataFrame:
             for side, p in enumerate(("pa", "pb")):
                 part = cell.where("pa != pb") if side else cell
                 cells = cells.unionByName(part.withColumn("side", F.lit(side)).withColumn("p", F.col(p)).join(at, ["rot", "p"]).select(cells.columns))
-    return cells.repartition("rot", "depth", "pa", "pb").mapInArrow(lambda it: _solve(it, budget), "a bigint, b bigint")
+    by = ["rot", "depth", "pa", "pb"]
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _solve(it, budget), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,9 +254,22 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each group; rows alike in id and text are one."""
-    found = groups(docs.withColumn("_row", row_key(id_col, text_col)), shingle, budget, id_col="_row", text_col=text_col)
-    return _rows_named(docs, found, id_col, text_col)
+    """The row with the least id of each group, null ids last; rows alike in id and text are one."""
+    return _rows_named(docs, groups(docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text")), shingle, budget, id_col="id"), id_col, text_col)
+
+
+SLOTS, SLOTS_ALIKE = 8, 3  # least hashes in a sketch, and how many of them texts must share to be compared
+
+
+def sketch(terms: np.ndarray) -> int:
+    """Eight least hashes of a set, eight bits of each. Of sets with a similarity of 0.8, one pair in 800 shares under three."""
+    if not len(terms):
+        return 0
+    least = [mix(terms ^ key).min() for key in _SLOT_KEYS]
+    return int(np.array(least, np.uint64).astype(np.uint8).view(np.int64)[0])
+
+
+_SLOT_KEYS = np.random.default_rng(11).integers(0, 1 << 63, SLOTS).astype(np.uint64)
 
 
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
@@ -254,7 +277,75 @@ def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(Spans(hash_words(words)).windows(min(n, len(words))) ^ np.uint64(max(0, n - len(words))))
+    return _shingles(Spans(hash_words(words)), len(words), n)
+
+
+def _shingles(spans: Spans, words: int, n: int) -> np.ndarray:
+    return np.unique(spans.windows(min(n, words)) ^ np.uint64(max(0, n - words)))
+
+
+def traits(text: bytes | None, shingle: int, print_shingle: int) -> tuple[int, int, int]:
+    """Of a text the hash of its words, the SimHash of its runs of print_shingle words, and the sketch of its shingles."""
+    words = (text or b"").lower().split()
+    th = xxhash.xxh3_64_intdigest(b" ".join(words))
+    if not words:
+        return th, 0, 0
+    spans = Spans(hash_words(words))
+    return th, majority(spans.windows(min(print_shingle, len(words)))), sketch(_shingles(spans, len(words), shingle))
+
+
+def table_count(width: int, errors: int, recall: float) -> int:
+    """Tables (a dozen at least) of which a pair with `errors` differing bits shares the `width` leading bits in one, with
+    probability recall."""
+    if not width:
+        return 1
+    share = math.comb(BITS - width, errors) / math.comb(BITS, errors)
+    return max(12, math.ceil(math.log(1 - recall) / math.log1p(-share)))
+
+
+def deal(texts: DataFrame, n: int, errors: int = 8, recall: float = 0.95, per_cell: int = 64, leaf: int = 256, step: int = 8, seed: int = 7) -> DataFrame:
+    """(t, level, cell, th, fp, sk): texts (th, fp, sk) in the cells of tries over differently ordered bits, each cell
+    a node with about per_cell of n texts. A node with over `leaf` texts is left for its descendants `step` bits further down,
+    until nodes are small or hold one fingerprint."""
+    width = min(BITS, math.ceil(math.log2(n / per_cell))) if n > per_cell else 0
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(BITS) for _ in range(table_count(width, errors, recall))]
+    signed = lambda bits: int(np.array(sum(1 << int(b) for b in bits), np.uint64).view(np.int64))
+    of = lambda upto: F.get(F.array(*(F.lit(signed(o[:upto])) for o in orders)), F.col("t"))
+    now = texts.select(F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1))).alias("t"), "th", "fp", "sk")
+    out = None
+    for level in range(BITS):
+        upto = min(BITS, width + level * step)
+        now = now.select("t", F.lit(level).alias("level"), F.col("fp").bitwiseAND(of(upto)).alias("cell"), "th", "fp", "sk")
+        hot = None
+        if upto < BITS:
+            hot = materialize(now.groupBy("t", "cell").count().where(F.col("count") > leaf).select("t", "cell"), "similar-hot")
+        if hot is None or hot.isEmpty():
+            return now if out is None else out.unionByName(now)
+        rest = now.join(hot, ["t", "cell"], "left_anti").select(now.columns)
+        out = rest if out is None else out.unionByName(rest)
+        now = now.join(hot, ["t", "cell"], "left_semi")
+
+
+def _linked(batches, budget: int):
+    """Rows (t, level, cell, th, fp, sk) sorted by cell and fp -> (a, b): each text and one that it is linked to in its cell."""
+    for part in whole_groups(batches, ("t", "level", "cell")):
+        th, sk = part.column("th").to_numpy(), part.column("sk").to_numpy()
+        v = part.column("fp").to_numpy()
+        cell = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("t", "level", "cell")])
+        lo = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
+        hi = np.append(lo[1:], len(v))
+        order = np.lexsort((v.view(np.uint64), np.repeat(np.arange(len(lo)), hi - lo)))
+        v, th, sk = v.view(np.uint64)[order], th[order], sk[order]
+        ok = hi - lo > 1
+        lo, hi = lo[ok], hi[ok]
+        forest = Forest(len(v))
+        zero = np.zeros(len(lo), np.int64)
+        for i, j in walk(v, [zero, lo, hi, lo, hi, zero], budget):
+            alike = ((sk[i] ^ sk[j]).view(np.uint8).reshape(-1, SLOTS) == 0).sum(axis=1) >= SLOTS_ALIKE
+            forest.join(i[alike], j[alike])
+        linked = np.flatnonzero(forest.root != np.arange(len(v)))
+        yield pa.RecordBatch.from_arrays([pa.array(th[linked]), pa.array(th[forest.root[linked]])], ["a", "b"])
 
 
 def similar(sets: list[np.ndarray], percent: int = 80, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +370,7 @@ def similar(sets: list[np.ndarray], percent: int = 80, columns: int = 4096) -> t
 
 
 def _check(batches, shingle: int, percent: int):
-    """Rows (root, bi, bj, th, text) sorted by the first three -> (a, b): each text and the least linked to it in its cell."""
+    """Rows (cell, th, text) sorted by cell -> (a, b): each text and the least linked to it in its cell."""
 
     def solve(cell: pa.Table):
         th = cell.column("th").to_numpy()
@@ -291,72 +382,102 @@ def _check(batches, shingle: int, percent: int):
         linked = np.flatnonzero(forest.root != np.arange(len(th)))
         return th[order][linked], th[order][forest.root[linked]]
 
-    held = None
-    for b in (*batches, None):
-        now = pa.Table.from_batches([b]) if b is not None else None
-        now = held if now is None else now if held is None else pa.concat_tables([held, now])
-        if now is None or not now.num_rows:
-            continue
-        cell = np.stack([now.column(c).to_numpy() for c in ("root", "bi", "bj")])
-        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist()]
-        if b is None:
-            cuts.append(now.num_rows)
-        held = now.slice(cuts[-1]) if b is not None else None
-        made = [solve(now.slice(lo, hi - lo)) for lo, hi in zip(cuts, cuts[1:])]
+    for part in whole_groups(batches, CELL, 1):
+        cell = np.stack([part.column(c).to_numpy().astype(np.int64) for c in CELL])
+        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist(), part.num_rows]
+        made = [solve(part.slice(lo, hi - lo)) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], ["a", "b"])
 
 
+CELL = ("root", "bi", "bj")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A row's id and the hashes of its id and text; null ids come last."""
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *document_key(id_col, text_col))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget: int = 10, print_shingle: int = 3, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (row_key) and component_id (the least row_key of its group) of every row. Groups are what chains of texts with a
-    Jaccard similarity of percent / 100 on `shingle` words connect, among texts that chains of fingerprints within `budget` bits connect.
+def similar_links(texts: DataFrame, block: int, shingle: int, percent: int) -> DataFrame:
+    """(a, b), links that connect the texts (root, th, n, text; n: texts under the root) of each root just as all pairs of them
+    with the similarity do.
 
-    The fingerprints' groups are candidates only: in each, texts are compared exactly, all with all, in pairs of blocks
-    of about `block` texts, so that no group is one task. Texts with the same words (A-Z as a-z, by a 64-bit hash)
-    are one; wordless and null texts are alike."""
+    Up to `block` texts are compared all with all in one task. More are first dealt to blocks by two hashes and compared
+    inside the blocks, in proportion to their number; that connects a family of copies. Pairs that this leaves open have a
+    side outside the root's largest class: those texts are then compared with all others, block by block."""
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    deal = lambda seed, n: F.pmod(F.xxhash64("th", F.lit(seed)), n.cast("long")).cast("int")
+    solve = lambda cells: cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(lambda it: _check(it, shingle, percent), "a bigint, b bigint")
+    rounds = F.when(F.col("n") <= block, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    cells = texts.select("root", "th", "text", "n", F.explode(rounds).alias("bi"))
+    own = F.when(F.col("n") <= block, 0).when(F.col("bi") == 0, deal(0, n_blocks)).otherwise(deal(1, n_blocks))
+    near = materialize(solve(cells.select("root", "bi", own.alias("bj"), "th", "text")), "similar-near")
+    large = texts.where(F.col("n") > block)
+    if large.isEmpty():
+        return near
+    named = large.select("root", "th", "n").join(components(near).select(F.col("node").alias("th"), F.col("root").alias("class")), "th", "left").withColumn("class", F.coalesce("class", "th"))
+    sizes = named.groupBy("root", "class").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    main = sizes.groupBy("root").agg(F.max_by("class", F.struct("c", "class")).alias("main"), (F.first("n") - F.max("c")).alias("n_rest")).where("n_rest > 0")
+    main = materialize(main, "similar-main")
+    if main.isEmpty():
+        return near
+    open_ = large.join(main, "root").join(named.select("th", "class"), "th")
+    rest_blocks = F.ceil(F.col("n_rest") / block).cast("int")
+    side = lambda who, bi, bj: who.select("root", bi.alias("bi"), bj.alias("bj"), "th", "text")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rest = open_.where(F.col("class") != F.col("main"))
+    both = side(rest, deal(2, rest_blocks), every(n_blocks)).unionByName(side(open_, every(rest_blocks), deal(0, n_blocks)))
+    return near.unionByName(materialize(solve(both.dropDuplicates([*CELL, "th"])), "similar-rest"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget: int = 12, print_shingle: int = 2, recall: float = 0.95, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (row_key), component_id (the least row_key of its group) and copies (rows with that key) of every row_key. Groups are what
+    chains of texts with a Jaccard similarity of percent / 100 on `shingle` words connect, among candidates.
+
+    Candidates: texts whose fingerprints (of print_shingle words) differ in `budget` bits or fewer, found by walking pairs of nodes of
+    binary tries over differently ordered bits. A trie is entered at nodes of some 64 texts, so work grows with the texts,
+    not with their square; there are so many tries that a pair with eight differing bits meets in one with probability
+    `recall`, nearer ones more surely. Pairs with unlike sketches are passed over. Within what chains of candidates
+    connect, texts are compared exactly (similar_links). Texts with the same words (A-Z as a-z, by a 64-bit hash) are one;
+    wordless and null texts are alike; other columns are ignored; an empty table gives an empty result."""
     rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches):
         for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            th = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([fingerprint(t, print_shingle) for t in texts], pa.int64()), pa.array(np.array(th, np.uint64).view(np.int64))], ["id", "fp", "th"])
-
-    prints = materialize(rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, th bigint"), "similar-prints")
-    texts = materialize(prints.groupBy("th").agg(F.first("fp").alias("fp"), F.min("id").alias("id")), "similar-texts")
-    tied = components(links(texts.select("fp").distinct(), budget)).select(F.col("node").alias("fp"), "root")
-    rooted = texts.join(tied, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "th", F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))
-    rooted = materialize(rooted, "similar-candidates")
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    asked = rooted.join(sizes, "root").select("root", "th", "k1", "k2", n_blocks.alias("nb"), F.pmod(F.xxhash64("th"), n_blocks.cast("long")).cast("int").alias("own"))
+            found = [traits(t, shingle, print_shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            th = np.array([x[0] for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(th), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["id", "th", "fp", "sk"])
+
+    prints = materialize(rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, fp bigint, sk bigint"), "similar-prints")
+    texts = materialize(prints.groupBy("th").agg(F.first("fp").alias("fp"), F.first("sk").alias("sk"), F.min("id").alias("id")), "similar-texts")
+    cells = deal(texts, texts.count(), recall=recall)
+    links_ = cells.repartition("t", "level", "cell").sortWithinPartitions("t", "level", "cell").mapInArrow(lambda it: _linked(it, budget), "a bigint, b bigint")
+    tied = materialize(components(links_).select(F.col("node").alias("th"), "root"), "similar-candidates")
+    asked = tied.join(tied.groupBy("root").agg(F.count("*").alias("n")), "root").join(texts.select("th", "id.k1", "id.k2"), "th")
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
-    found = keyed.join(asked, ["k1", "k2"]).dropDuplicates(["th"])
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    cells = found.select("root", "th", "text", "own", other).select("root", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "th", "text")
-    cells = cells.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    edges = cells.mapInArrow(lambda it: _check(it, shingle, percent), "a bigint, b bigint")
-    tied = components(edges).select(F.col("node").alias("th"), "root")
+    held = materialize(keyed.join(materialize(asked, "similar-asked"), ["k1", "k2"]).dropDuplicates(["th"]).select("root", "th", "n", "text"), "similar-held")
+    tied = components(similar_links(held, block, shingle, percent)).select(F.col("node").alias("th"), "root")
     rooted = materialize(texts.join(tied, "th", "left").select("th", "id", F.coalesce("root", "th").alias("root")), "similar-roots")
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.select("root", "th").join(names, "root").select("th", "component_id")
-    return prints.join(named, "th").select("id", "component_id")
+    return prints.groupBy("id", "th").agg(F.count("*").alias("copies")).join(named, "th").select("id", "component_id", "copies")
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
-    """Of each of similar_groups the row with the least id; rows alike in id and text are one."""
-    found = similar_groups(docs, id_col=id_col, text_col=text_col, **rule)
-    return _rows_named(docs, found, id_col, text_col)
+    """Of each of similar_groups the row with the least id, null ids last; rows alike in id and text are one."""
+    return _rows_named(docs, similar_groups(docs, id_col=id_col, text_col=text_col, **rule), id_col, text_col)
 
 
 def _rows_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of docs for each of the row keys found.id that name their group."""
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.k1").alias("_k1"), F.col("id.k2").alias("_k2")).distinct()
-    k1, k2 = document_key(id_col, text_col)
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    """One row of docs for each of the row keys found.id that name their group. Rows that go, and the few keys that several rows
+    share, are written as narrow tables; whether they are sent or texts move for the join goes by their sizes."""
+    key = F.struct("id.k1", "id.k2")
+    own = F.col("id").eqNullSafe(F.col("component_id"))
+    copies = F.sum("copies") if "copies" in found.columns else F.count("*")
+    kinds = materialize(found.groupBy(key.alias("k")).agg(F.bool_or(own).alias("stays"), copies.alias("copies")).where("not stays or copies > 1"), "named-rows")
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(*document_key(id_col, text_col)).alias("key"))
+    plain = keyed.join(kinds.select("k"), F.col("key") == F.col("k"), "left_anti")
+    shared = kinds.where("stays").select("k")
+    if not shared.isEmpty():
+        plain = plain.unionByName(keyed.join(shared, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]))
+    return plain.select("row.*")

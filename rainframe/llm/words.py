@@ -5,7 +5,10 @@ inside a longer character, so bytes.split(), which splits at exactly those six,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _ODD = 0x9E3779B97F4A7C15
@@ -65,3 +68,26 @@ def sliding(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
         x = f(x[:-step], x[step:])
         done += step
     return x
+
+
+def whole_groups(batches, by: tuple[str, ...], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by `by`, each of about `rows` rows or one group: what is held at once
+    does not grow with the partition."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in by])
+        cut = int(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)).max(initial=-1)) + 1
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        n -= cut
+    if held:
+        yield pa.Table.from_batches(held)

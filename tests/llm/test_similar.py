@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from rainframe.llm import decontaminate, simhash
 
@@ -42,6 +44,64 @@ def test_blocks_change_nothing(spark):
     assert [r.doc_id for r in simhash.keep_one_similar(frame(spark, rows), block=7, budget=20).collect()] == [0]
 
 
+def test_two_families_and_stragglers_of_one_group(spark):
+    """What blocks leave open is compared with all: families far apart, and texts linked by a single other."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    other = base[:60] + [f"z{rng.randrange(10**6)}" for _ in range(40)]
+    def near(words, n):
+        at = rng.sample(range(100), n)
+        return " ".join(f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words))
+    texts = [near(base, 1) for _ in range(30)] + [near(other, 1) for _ in range(30)]
+    chain = texts[0].split()
+    for k in range(8):  # each like the one before, ever less like the first
+        chain = chain[: 10 * k] + [f"c{rng.randrange(10**6)}"] + chain[10 * k + 1 :]
+        texts.append(" ".join(chain))
+    rows = [(1, i, len(texts), t) for i, t in enumerate(texts)]
+    links = simhash.similar_links(spark.createDataFrame(rows, "root long, th long, n long, text string"), 9, 5, 80)
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert [got.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))] and 1 < len({find(i) for i in range(len(texts))}) < 10
+
+
+def test_hot_nodes_go_down(spark):
+    """Fingerprints in a few tight balls are dealt to small cells, and chains in them still connect each ball."""
+    import numpy as np
+
+    rng = random.Random(8)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(400)})
+    rows = [(i, int(np.uint64(f).view(np.int64)), 7) for i, f in enumerate(fps)]
+    cells = simhash.deal(spark.createDataFrame(rows, "th long, fp long, sk long"), len(rows), per_cell=16, leaf=32)
+    assert cells.groupBy("t", "level", "cell").count().where("count > 32").isEmpty()
+    links = cells.repartition("t", "level", "cell").sortWithinPartitions("t", "level", "cell").mapInArrow(lambda it: simhash._linked(it, 12), "a long, b long")
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    ball = [min(range(3), key=lambda c: (centres[c] ^ f).bit_count()) for f in fps]
+    assert len({(ball[i], got[i]) for i in range(len(fps))}) == 3
+
+
+@pytest.mark.parametrize("name", ["_stay", "_k1", "row", "key", "k", "id", "th", "n", "stays"])
+def test_clashing_columns(spark, name):
+    docs = spark.createDataFrame([(1, texts("a"), 7), (2, texts("a"), 8), (3, texts("b"), 9), (3, texts("b"), 9)], f"doc_id long, text string, `{name}` long")
+    for keep in (simhash.keep_one, simhash.keep_one_similar):
+        assert sorted((r[0], r[2]) for r in keep(docs).collect()) == [(1, 7), (3, 9)]
+
+
+def test_empty_table(spark):
+    assert simhash.keep_one_similar(frame(spark, [])).count() == 0
+
+
 def test_similarity_is_exact():
     rng = random.Random(5)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(80)]
