@@ -1,14 +1,16 @@
 """Quality rules: base limits on a text's statistics, and robust multivariate outliers of what passes.
 
 All of it is DataFrame functions. The statistics come from one pass over the texts, without an explode. The outlier
-rule estimates location and covariance by minimum covariance determinant for each language and source:
-from medians and median deviations, concentration steps keep the h nearest rows of every group and
-estimate again. A step is two aggregations of one narrow table: sums and cross products by group, and
-counts by group and bin of squared distance, from which the h-th distance is read. Groups of any size
-reduce to a row before they move; no group is ever gathered."""
+rule estimates location and covariance by minimum covariance determinant for each language and source: from three
+starts, concentration steps keep the h nearest rows of every group and estimate again, until the determinant falls no
+more; the least determinant of the three wins. A step is one aggregation of a narrow table, of sums and cross products by
+group, start and bin of squared distance; the bins up to the h-th row add up to the next estimate. Groups of any size reduce
+to a row for each bin before they move; no group is ever gathered."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def _repeat_words(rows: DataFrame, words: str, name: str) -> DataFrame:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns in keep, and BASE of every text; null and empty texts have zeros."""
+    """id, the columns in keep, BASE and n_lines (lines with a word) of every text; null and empty texts have zeros."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(k).alias(f"_{k}") for k in keep), text.alias("_t"))
     rows = rows.withColumn("_w", F.filter(F.split("_t", GAP), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -61,6 +63,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        F.size("_l").cast("long").alias("n_lines"),
     )
 
 
@@ -72,101 +75,149 @@ def transformed() -> dict[str, Column]:
         "log_word_chars": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
         "symbols": F.sqrt(F.col("n_symbols") / n),
         "repeats": F.sqrt(F.col("n_repeat_words") / n),
+        "dup_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double")),
     }
 
 
-def _estimates(rows: DataFrame, dims: list[str], floor: dict[str, float], scale: float = 1.0) -> DataFrame:
-    """g, m_i and the Cholesky factor l_i_j of (covariance * scale + floor) of the rows of each group."""
-    d = len(dims)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"t_{i}") for i, c in enumerate(dims)), *(F.sum(F.col(dims[i]) * F.col(dims[j])).alias(f"q_{i}_{j}") for i, j in pairs))
-    est = sums.select("g", *((F.col(f"t_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)), *(((F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n") / F.col("n")) * scale + (floor[dims[i]] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs))
+#: Least deviation of a dimension. Most texts have no symbol, repeat or equal line at all, so without it a group's covariance is singular.
+FLOORS = {"log_words": 0.1, "log_word_chars": 0.02, "symbols": 0.1, "repeats": 0.1, "dup_lines": 0.2}
+
+
+def chi2_cdf(x: float, d: int) -> float:
+    """Of the chi-squared distribution with d degrees of freedom, by recurrence over d."""
+    out, k = (math.erf(math.sqrt(x / 2)), 1) if d % 2 else (1 - math.exp(-x / 2), 2)
+    while k < d:
+        out -= math.exp(k / 2 * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + 1)) if x > 0 else 0
+        k += 2
+    return out
+
+
+def chi2_quantile(p: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, d) < p else (low, mid)
+    return high
+
+
+def _pairs(d: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(d) for j in range(i + 1)]
+
+
+def _sums(dims: list[str]) -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(c).alias(f"t_{i}") for i, c in enumerate(dims)), *(F.sum(F.col(dims[i]) * F.col(dims[j])).alias(f"q_{i}_{j}") for i, j in _pairs(len(dims)))]
+
+
+def _estimates(sums: DataFrame, floor: list[float], factor: float = 1.0) -> DataFrame:
+    """g, s, m_i, the Cholesky factor l_i_j of covariance * factor with variances of floor**2 at least, and log_det, from sums."""
+    d, n = len(floor), F.col("n")
+    cov = {(i, j): (F.col(f"q_{i}_{j}") / n - F.col(f"t_{i}") * F.col(f"t_{j}") / n / n) * factor for i, j in _pairs(d)}
+    moments = [F.greatest(v, F.lit(floor[i] ** 2)).alias(f"s_{i}_{j}") if i == j else v.alias(f"s_{i}_{j}") for (i, j), v in cov.items()]
+    return _factored(sums.select("g", "s", *((F.col(f"t_{i}") / n).alias(f"m_{i}") for i in range(d)), *moments), floor)
+
+
+def _factored(est: DataFrame, floor: list[float]) -> DataFrame:
+    d = len(floor)
     for j in range(d):
-        own = F.sqrt(F.greatest(sum((-F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.col(f"s_{j}_{j}")), F.lit(floor[dims[j]] ** 2)))
+        own = F.sqrt(F.greatest(sum((-F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.col(f"s_{j}_{j}")), F.lit((floor[j] / 100) ** 2)))
         est = est.withColumn(f"l_{j}_{j}", own)
         for i in range(j + 1, d):
             est = est.withColumn(f"l_{i}_{j}", sum((-F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.col(f"s_{i}_{j}")) / F.col(f"l_{j}_{j}"))
-    return est.select("g", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j in pairs))
+    log_det = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, d)), 2 * F.log("l_0_0"))
+    return est.select("g", "s", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j in _pairs(d)), log_det.alias("log_det"))
 
 
 def _distances(rows: DataFrame, est: DataFrame, dims: list[str], send) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance to their group's estimate."""
+    """rows with s and d2, the squared Mahalanobis distance to each of their group's estimates."""
     out = rows.join(send(est), "g")
     for i, c in enumerate(dims):
         out = out.withColumn(f"y_{i}", sum((-F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.col(c) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}"))
-    return out.select(*rows.columns, sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, len(dims))), F.col("y_0") * F.col("y_0")).alias("d2"))
+    return out.select(*rows.columns, "s", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, len(dims))), F.col("y_0") * F.col("y_0")).alias("d2"))
 
 
-def _bin(d2: Column) -> Column:
-    return F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * BINS).cast("int")
+def _concentrated(far: DataFrame, dims: list[str], share: float) -> DataFrame:
+    """Sums over the `share` of each group's rows with the least d2, whole bins of which BINS make a doubling."""
+    at = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * BINS).cast("int")
+    binned = far.groupBy("g", "s", at.alias("bin")).agg(*_sums(dims))
+    own = Window.partitionBy("g", "s")
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    core = binned.withColumn("before", before).withColumn("all", F.sum("n").over(own)).where(F.col("before") < F.col("all") * share)
+    return core.groupBy("g", "s").agg(*(F.sum(c).alias(c) for c in binned.columns if c not in ("g", "s", "bin")))
 
 
-def _quantile_bins(rows: DataFrame, share: float) -> DataFrame:
-    """g and the least bin below or in which `share` of the group's rows have their d2."""
-    counts = rows.groupBy("g", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("g").orderBy("bin")
-    cum = counts.select("g", "bin", F.sum("c").over(upto).alias("cum"), F.sum("c").over(Window.partitionBy("g")).alias("all"))
-    return cum.where(F.col("cum") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("last"))
+def _starts(rows: DataFrame, dims: list[str], floor: list[float], send) -> DataFrame:
+    """Three estimates of each group: 0, medians and median deviations; 1, all its rows; 2, the half that is nearest to 0."""
+    d = range(len(dims))
+    mids = rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m_{i}") for i, c in enumerate(dims)))
+    spread = rows.join(send(mids), "g").groupBy("g").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in d), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 1000).alias(f"a_{i}") for i, c in enumerate(dims)))
+    flat = [F.pow(F.greatest(1.4826 * F.col(f"a_{i}"), F.lit(floor[i])), F.lit(2.0)).alias(f"s_{i}_{j}") if i == j else F.lit(0.0).alias(f"s_{i}_{j}") for i, j in _pairs(len(dims))]
+    middle = materialize(_factored(spread.select("g", F.lit(0).alias("s"), *(f"m_{i}" for i in d), *flat), floor), "quality-start")
+    whole = _estimates(rows.groupBy("g").agg(*_sums(dims)).withColumn("s", F.lit(1)), floor)
+    half = _estimates(_concentrated(_distances(rows, middle, dims, send), dims, 0.5).withColumn("s", F.lit(2)), floor)
+    return middle.unionByName(whole).unionByName(half)
 
 
-#: Groups whose estimates (some 150 bytes each) are sent to all tasks; of more, they are joined by a shuffle.
+def minimum_determinant(rows: DataFrame, dims: list[str], floor: list[float], h: float, send, most: int = 50) -> DataFrame:
+    """The estimate of each group g of rows: of three starts the one whose concentration steps end in the least determinant.
+    Covariances are scaled to what the nearest share h of normal rows would have in all."""
+    d = len(dims)
+    factor = h / chi2_cdf(chi2_quantile(h, d), d + 2)
+    now = materialize(_starts(rows, dims, floor, send).withColumn("log_det", F.lit(math.inf)), "quality-starts")
+    ended = None
+    for step in range(most):
+        new = _estimates(_concentrated(_distances(rows, now, dims, send), dims, h), floor, factor)
+        new = materialize(new.join(now.select("g", "s", F.col("log_det").alias("old")), ["g", "s"]), "quality-estimate")
+        falls = F.col("log_det") < F.col("old") - 1e-6
+        at_end = new.where(~falls) if step < most - 1 else new
+        ended = at_end if ended is None else ended.unionByName(at_end)
+        now = new.where(falls).drop("old")
+        if now.isEmpty():
+            break
+    ended = ended.drop("old")
+    return ended.groupBy("g").agg(F.min_by(F.struct(*(c for c in ended.columns if c != "g")), F.struct("log_det", "s")).alias("x")).select("g", "x.*")
+
+
+#: Groups whose estimates (some 200 bytes each) are sent to all tasks; of more, they are joined by a shuffle.
 MOST_SENT = 100_000
-#: Median of the chi-squared distribution with four degrees of freedom: a fixed value.
-CHI2_MEDIAN_4 = 3.3567
 
 
-def outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 60.0, steps: int = 3, least: int = 50, floors: dict[str, float] | None = None) -> DataFrame:
+def outliers(stats: DataFrame, h: float = 0.75, keep: float = 0.9999, least: int = 50, floors: dict[str, float] | None = None) -> DataFrame:
     """stats with d2 and outlier.
 
-    stats: id, lang, source, BASE; rows that failed the base limits (base_failed) take no part and have null d2. Groups under
-    `least` rows are judged together with the others of their language, what is under that too all together, and what is
-    then left by the estimate of all rows of its language, or of all rows where the language has under `least`. floors: what a
-    dimension's deviation is at least, so that a group in which a statistic hardly varies has no
-    outliers by a hair. cutoff: of the squared distance, where covariance is scaled so that its median is that
-    of four normal dimensions."""
+    stats: row, lang, source, BASE, n_lines; rows that failed the base limits (base_failed) take no part and have null d2. Groups
+    under `least` rows are judged together with the others of their language, what is under that too all together, and what
+    is then left by the estimate of all rows of its language, or of all rows where the language has under `least`. Outliers lie
+    beyond the squared distance within which a share `keep` of normal rows would lie. floors: see FLOORS."""
     vector = transformed()
     dims = list(vector)
-    floor = {"log_words": 0.5, "log_word_chars": 0.1, "symbols": 0.15, "repeats": 0.15} | (floors or {})
+    floor = list((FLOORS | (floors or {}))[c] for c in dims)
     tag = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    rows = stats.where(~F.col("base_failed")).select("row", F.concat_ws("\x01", tag("lang"), tag("source")).alias("g2"), tag("lang").alias("g1"), *(c.alias(k) for k, c in vector.items()))
-    sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < least, F.col("n"))
-    sizes = sizes.withColumn("n1", F.coalesce(F.sum(small).over(Window.partitionBy("g1")), F.lit(0)))
-    rest = F.when((F.col("n") < least) & (F.col("n1") < least), F.col("n"))
-    sizes = sizes.withColumn("n0", F.coalesce(F.sum(rest).over(Window.partitionBy(F.lit(0))), F.lit(0)))
-    named = sizes.select("g2", F.when(F.col("n") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).when(F.col("n0") >= least, F.lit("")).alias("g"), "g1", F.sum("n").over(Window.partitionBy("g1")).alias("n_lang"))
-    named = materialize(named, "quality-groups")
-    send = F.broadcast if named.count() <= MOST_SENT else (lambda df: df)
+    of_lang, of_source = F.concat(F.lit("1\x01"), tag("lang")), F.concat_ws("\x01", F.lit("2"), tag("lang"), tag("source"))
+    rows = stats.where(~F.col("base_failed")).select("row", of_source.alias("g2"), of_lang.alias("g1"), *(c.alias(k) for k, c in vector.items()))
+    sizes = materialize(rows.groupBy("g1", "g2").agg(F.count("*").alias("n")), "quality-sizes")
+    langs = materialize(sizes.groupBy("g1").agg(F.coalesce(F.sum(F.when(F.col("n") < least, F.col("n"))), F.lit(0)).alias("n1"), F.sum("n").alias("n_lang")), "quality-languages")
+    n0 = langs.where(F.col("n1") < least).agg(F.sum("n1")).first()[0] or 0
+    send = F.broadcast if sizes.count() <= MOST_SENT else (lambda df: df)
+    group = F.when(F.col("n") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).when(F.lit(n0 >= least), F.lit("0"))
+    named = materialize(sizes.join(langs, "g1").select("g2", "g1", "n_lang", group.alias("g")), "quality-groups")
     left = named.where("g is null")
-    whole = F.when(F.col("n_lang") >= least, F.concat(F.lit("\x02"), F.col("g1"))).otherwise("\x02")
-    judged_by = named.select("g2", F.coalesce("g", whole).alias("g"), F.lit(True).alias("own"))
-    langs = left.where(F.col("n_lang") >= least).select("g1").distinct()
-    besides = named.where("g is not null")
-    others = besides.join(langs, "g1").select("g2", F.concat(F.lit("\x02"), F.col("g1")).alias("g"), F.lit(False).alias("own"))
+    all_of_lang = F.concat(F.lit("3"), F.col("g1"))
+    judged_by = named.select("g2", F.coalesce("g", F.when(F.col("n_lang") >= least, all_of_lang).otherwise("4")).alias("g"), F.lit(True).alias("own"))
+    others = named.where("g is not null").join(left.where(F.col("n_lang") >= least).select("g1").distinct(), "g1").select("g2", all_of_lang.alias("g"), F.lit(False).alias("own"))
     if not left.where(F.col("n_lang") < least).isEmpty():  # all rows, whether or not their own language is judged by itself
         apart = named.where(~(F.col("g").isNull() & (F.col("n_lang") < least)))
-        others = others.unionByName(apart.select("g2", F.lit("\x02").alias("g"), F.lit(False).alias("own")))
+        others = others.unionByName(apart.select("g2", F.lit("4").alias("g"), F.lit(False).alias("own")))
     rows = materialize(rows.join(send(judged_by.unionByName(others)), "g2").select("row", "g", "own", *dims), "quality-vectors")
-
-    mids = rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m_{i}") for i, c in enumerate(dims)))
-    spread = rows.join(send(mids), "g").groupBy("g").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(dims))), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 1000).alias(f"a_{i}") for i, c in enumerate(dims)))
-    est = spread.select("g", *(f"m_{i}" for i in range(len(dims))), *((F.greatest(1.4826 * F.col(f"a_{i}"), F.lit(floor[c])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, c in enumerate(dims) for j in range(i + 1)))
-    est = materialize(est, "quality-start")
-    for _ in range(steps):
-        far = _distances(rows, est, dims, send)
-        core = far.withColumn("bin", _bin(F.col("d2"))).join(send(_quantile_bins(far, h)), "g").where("bin <= last")
-        est = materialize(_estimates(core, dims, floor), "quality-estimate")
-    far = _distances(rows, est, dims, send)
-    middle = _quantile_bins(far, 0.5).select("g", F.greatest(F.pow(F.lit(2.0), (F.col("last") + 0.5) / BINS) / CHI2_MEDIAN_4, F.lit(1.0)).alias("scale"))
-    judged = far.where("own").join(send(middle), "g").select("row", (F.col("d2") / F.col("scale")).alias("d2"))
-    return stats.join(judged, "row", "left").withColumn("outlier", F.coalesce(F.col("d2") > cutoff, F.lit(False)))
+    best = materialize(minimum_determinant(rows, dims, floor, h, send), "quality-best")
+    judged = _distances(rows.where("own"), best, dims, send).select("row", "d2")
+    return stats.join(judged, "row", "left").withColumn("outlier", F.coalesce(F.col("d2") > chi2_quantile(keep, len(dims)), F.lit(False)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """doc_id, BASE, base_failed, d2 and kept of every row.
 
     Null texts have no words and fail; texts under 50 words, or with over half of their words in repeated windows of
-    three, fail; null languages and sources are values like any other; repeated rows count each; other
+    three, fail; null languages and sources are values like any other, as are empty ones; repeated rows count each; other
     columns are ignored; an empty table gives an empty result."""
     stats = statistics(docs, id_col, text_col, ("lang", "source"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -50,24 +50,61 @@ def test_outliers_go_and_others_stay(spark):
     assert sum(not kept[i] for i in range(900)) <= 3
 
 
-def test_distance_is_mahalanobis(spark):
-    """One group, against numpy's own concentration steps."""
+def vectors(rows):
+    import numpy as np
+
+    return np.array([[np.log(r.n_words), np.log(r.word_chars / r.n_words), np.sqrt(r.n_symbols / r.n_words), np.sqrt(r.n_repeat_words / r.n_words), np.sqrt(r.n_dup_lines)] for r in rows])
+
+
+def test_distance_is_mcds(spark):
+    """One group of one-line texts, against minimum covariance determinant in numpy from the same starts, run to convergence."""
     import numpy as np
     from pyspark.sql import functions as F
 
     docs = planted(spark).withColumn("lang", F.lit("en")).withColumn("source", F.lit("a"))
     rows = quality.judge(docs).where("not base_failed").collect()
-    x = np.array([[np.log(r.n_words), np.log(r.word_chars / r.n_words), np.sqrt(r.n_symbols / r.n_words), np.sqrt(r.n_repeat_words / r.n_words)] for r in rows])
-    floor = np.array([0.5, 0.1, 0.15, 0.15])
+    x, floor = vectors(rows), np.array(list(quality.FLOORS.values()))
+    factor = 0.75 / quality.chi2_cdf(quality.chi2_quantile(0.75, 5), 7)
+    dist = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+
+    def estimate(part, by=1.0):
+        s = np.cov(part.T, bias=True) * by
+        return part.mean(axis=0), s + np.diag(np.maximum(0, floor**2 - np.diag(s)))
+
     m = np.median(x, axis=0)
-    s = np.diag(np.maximum(1.4826 * np.median(abs(x - m), axis=0), floor) ** 2)
-    for _ in range(3):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-        core = x[d <= np.quantile(d, 0.75)]
-        m, s = core.mean(axis=0), np.cov(core.T, bias=True) + np.diag(floor**2)
-    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-    d /= max(1, np.median(d) / quality.CHI2_MEDIAN_4)
-    assert np.median(abs(np.array([r.d2 for r in rows]) / d - 1)) < 0.05
+    start = m, np.diag(np.maximum(1.4826 * np.median(abs(x - m), axis=0), floor) ** 2)
+    d = dist(*start)
+    ends = []
+    for m, s in (start, estimate(x), estimate(x[d <= np.quantile(d, 0.5)])):
+        last = np.inf
+        while True:
+            d = dist(m, s)
+            m, s = estimate(x[d <= np.quantile(d, 0.75)], factor)
+            if (det := np.linalg.slogdet(s)[1]) >= last - 1e-9:
+                break
+            last = det
+        ends.append((det, m, s))
+    d = dist(*min(ends, key=lambda e: e[0])[1:])
+    got = np.array([r.d2 for r in rows])
+    assert np.median(abs(got / d - 1)) < 0.05
+    cut = quality.chi2_quantile(0.9999, 5)
+    assert np.mean((got > cut) != (d > cut)) < 0.003 and (d > cut).sum() >= 50
+
+
+def test_least_determinant_wins_over_a_bad_start(spark):
+    """Two thirds tight, one third far and tight too: the estimate of all rows as a start may end elsewhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (700, 2)), rng.normal(9, 0.3, (230, 2))])
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, a double, b double")
+    best = quality.minimum_determinant(rows, ["a", "b"], [0.01, 0.01], 0.75, lambda df: df).collect()
+    assert len(best) == 1 and abs(best[0].m_0) < 0.3 and abs(best[0].m_1) < 0.3
+
+
+def test_chi_squared():
+    assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(quality.chi2_quantile(0.99, 5) - 15.086272) < 1e-5
+    assert abs(quality.chi2_cdf(3.0, 4) - 0.442175) < 1e-5
 
 
 def test_empty_table(nothing):
