@@ -1,7 +1,8 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs in front of an exact hash join.
 
 A rule is listed under its canonical URL, host and path prefix in one string (`com/en/`). A page's URL asks
-for every suffix of its host's labels with every prefix of its path whose length some rule has. The filter,
+for the suffixes of its host with as many labels as some rule's host has, with every prefix of its path whose length some
+rule has; hosts of many labels ask for no more than others. The filter,
 256 bits a block and eight of them set for each rule in one block, lets through what may be listed; the
 join on the canonical URL removes what isn't, and the longest rule that is left decides."""
 
@@ -85,19 +86,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_sent:
     host and all subdomains where the URL's path starts with its path; the longest in characters wins, then
     the one with the longer host. Null URLs and those without :// have neither host nor path. Repeated rows are
     judged alike; no rules, all are `default`. A filter of over most_sent bytes is joined, not sent."""
+    # pages' own columns stay apart in one struct: no name of theirs can clash with one in here
     host, path = host_and_path(F.col("_url"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    asked = pages.withColumn("_url", F.col(url_col)).select(*own, host.alias("host"), path.alias("path"))
+    asked = pages.select(F.struct(*(pages[f"`{c}`"] for c in own)).alias("own"), pages[f"`{url_col}`"].alias("_url")).select("own", host.alias("host"), path.alias("path"))
+    back = [F.col("own").getField(c).alias(c) for c in own]
 
     rules = rules.select(F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     listed = rules.withColumn("rule", F.concat("rule_host", "rule_path")).groupBy("rule").agg(F.max_by(F.struct("rule_verdict", F.length("rule_host").alias("len")), F.struct(F.length("rule_host"), "rule_verdict")).alias("x"))
     listed = listed.select("rule", "x.rule_verdict", F.col("x.len").alias("host_len"))
-    n, lengths = rules.agg(F.count("*"), F.collect_set(F.length("rule_path"))).first()
+    n, lengths, depths = rules.agg(F.count("*"), F.collect_set(F.length("rule_path")), F.collect_set(F.size(F.split("rule_host", r"\.")))).first()
     if not n:
-        return asked.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return asked.select(*back, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tails = F.filter(F.array(*(F.substring_index(F.concat(F.lit("."), "host"), ".", -k) for k in sorted(depths))), lambda t: (F.length(t) < F.length("host")) | (t == F.col("host")))
     heads = F.transform(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda k: k <= F.length("path")), lambda k: F.substring("path", F.lit(1), k))
     keys = F.array_distinct(F.flatten(F.transform(tails, lambda t: F.transform(heads, lambda h: F.concat(t, h)))))
     urls = asked.select("host", "path").distinct().withColumn("keys", keys)
@@ -107,4 +109,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_sent:
     # a key made from another cut of host and path than the rule's is not the rule
     hits = hits.where((F.expr("right(host, host_len)") == F.expr("left(rule, host_len)")) & ((F.length("host") == F.col("host_len")) | (F.expr("substring(host, length(host) - host_len, 1)") == ".")))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "host_len")).alias("x")).select("host", "path", "x.*")
-    return asked.join(best, ["host", "path"], "left").select(*own, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    return asked.join(best, ["host", "path"], "left").select(*back, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))

@@ -45,3 +45,24 @@ def test_no_rules_and_empty_table(spark, pages):
     assert {r.verdict for r in urlfilter.judge(pages, none).collect()} == {"allow"}
     some = spark.createDataFrame(queries.RULES, none.schema)
     assert urlfilter.judge(pages.limit(0), some).count() == 0
+
+
+def test_a_host_of_many_labels_is_cheap(spark):
+    import time
+
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "com/en/1"), (2, "http://x.org/es/"), (3, None)], "page_id long, url string")
+    urlfilter.judge(pages, rules).collect()
+    began = time.time()
+    got = {r.page_id: r.rule for r in urlfilter.judge(pages, rules).collect()}
+    assert got == {1: "com/en/", 2: "org/es/", 3: None} and time.time() - began < 5
+
+
+@pytest.mark.parametrize("name", ["rule_verdict", "_url", "own", "keys", "x", "host_len", "k", "_", "verdict"])
+def test_clashing_columns(spark, name):
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://x.com/en/1", 7)], f"page_id long, url string, `{name}` long")
+    got = urlfilter.judge(pages, rules)
+    r = got.first()
+    assert r.rule == "com/en/" and r.verdict == "block" and (name == "verdict" or r[name] == 7)
+    assert len(got.columns) == len(set(got.columns))
