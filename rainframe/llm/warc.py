@@ -2,7 +2,7 @@
 
 Each task trains a dictionary on the first records that it archives, writes it to the archive's leading skippable
 frame, and compresses every record as a frame of its own, so a reader can start at any record. Payloads
-seen before become revisit records. Archives go to a folder that all executors reach, under
+seen before become revisit records, which hold no payload, so only a page's key and digest move to find them. Archives go to a folder that all executors reach, under
 names that no other attempt uses; only those in the written manifest count, so lost tasks leave no
 half archives behind for readers."""
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_dir, materialize
@@ -34,16 +34,20 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisits: int | None, is_revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit holds no payload; X-Payload-Length keeps the full one's length."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes: int, digest: str, revisits: int | None) -> bytes:
+    """One WARC/1.1 record, a revisit where payload is None. A revisit holds no payload; X-Payload-Length keeps the full one's
+    length. Line ends in a URL are written as %0D and %0A, and X-Target-URI then keeps the URL itself."""
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
-    head = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE)]
+    head = [("WARC-Type", "revisit" if payload is None else "response"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE)]
     if url is not None:
-        head.append(("WARC-Target-URI", "".join(url.split("\r")).replace("\n", "%0A")))
-    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
-    if is_revisit:
+        plain = url.replace("\r", "%0D").replace("\n", "%0A")
+        head.append(("WARC-Target-URI", plain))
+        if plain != url:
+            head.append(("X-Target-URI", base64.b64encode(url.encode("utf-8", "surrogatepass")).decode()))
+    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(n_bytes))]
+    if payload is None:
         head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", name(revisits))]
-    block = HTTP if is_revisit else HTTP + payload
+    block = HTTP + (payload or b"")
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
@@ -142,30 +146,38 @@ def read_records(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, payload, digest, refers_to and is_revisit. Only (digest, id) pairs are compared across the corpus; pages
-    themselves move once, to a partition by id and digest."""
+    """id, url, payload, n_bytes, digest (hexadecimal) and first_id; payload is null in revisits.
+
+    Null html is an empty payload; a null id counts as larger than any other; of rows alike in id and payload the first by url is
+    the response; equal rows are a record each; other columns are ignored. Pages whose payload occurs once stay where they
+    are. Of the others keys and digests are counted, a hot payload or row in parts, and one page of each is kept."""
     payload = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    rows = rows.withColumn("none", F.col("id").isNull()).withColumn("key", F.coalesce("id", F.lit(0)))
-    pairs = rows.where(F.length("payload") >= least_bytes).groupBy("digest", "none", "key").agg(F.count("*").alias("copies"))
-    heads = pairs.groupBy("digest").agg(F.min(F.struct("none", "key")).alias("head"), F.sum("copies").alias("all"))
-    again = pairs.join(heads.where("all > 1"), "digest").select("digest", "none", "key", "head")
-    turn = F.row_number().over(Window.partitionBy("key", "none", "digest").orderBy("url"))
-    known = rows.join(again, ["key", "none", "digest"], "left").withColumn("turn", turn)
-    first = F.col("head").isNull() | ((F.col("head.none") == F.col("none")) & (F.col("head.key") == F.col("key")) & (F.col("turn") == 1))
-    return known.select("id", "url", "payload", F.expr("if(head.none, null, head.key)").alias("first_id"), (~first).alias("is_revisit"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("n_bytes"), F.sha1(payload).alias("digest"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", F.col("url").isNull().alias("bare"), "url")
+    counted = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes", key.alias("key")).agg(F.count("*").alias("copies"))
+    counted = materialize(counted, "warc-counts")
+    heads = materialize(counted.groupBy("digest").agg(F.min("key").alias("head"), F.sum("copies").alias("all")).where("all > 1").select("digest", "head"), "warc-heads")
+    single = rows.join(heads.select("digest"), "digest", "left_anti").withColumn("first_id", F.lit(None).cast(pages.schema[id_col].dataType))
+    shown = rows.join(heads, "digest").where(key.eqNullSafe(F.col("head"))).groupBy("digest").agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("n_bytes").alias("n_bytes"))
+    again = counted.join(heads, "digest").withColumn("left", F.col("copies") - F.col("key").eqNullSafe(F.col("head")).cast("int")).where("left > 0")
+    again = again.select("digest", "n_bytes", F.col("key.id").alias("id"), F.col("key.url").alias("url"), F.col("head.id").alias("first_id"), F.explode(F.sequence(F.lit(1).cast("long"), "left")).alias("turn"))
+    columns = ["id", "url", "payload", "n_bytes", "digest", "first_id"]
+    out = single.select(columns).unionByName(shown.withColumn("first_id", F.lit(None).cast(pages.schema[id_col].dataType)).select(columns))
+    return out.unionByName(again.withColumn("payload", F.lit(None).cast("binary")).select(columns))
 
 
 def write_archives(records: DataFrame, folder: str, dict_bytes: int = 64 << 10, sample_bytes: int = 4 << 20, max_bytes: int = 256 << 20, level: int = 3) -> DataFrame:
-    """Writes the records of plan_records; the manifest: archive, records, bytes, dictionary_bytes."""
+    """Writes the records of plan_records; the manifest: archive, records, bytes, dictionary_bytes. Records without a payload are
+    revisits; null ids and URLs are left out of a record's head; equal rows are a record each; of an empty table nothing is
+    written. A task that runs again writes archives of other names, of which the manifest has one set."""
 
     def write(batches):
         to = Writer(folder, dict_bytes, sample_bytes, max_bytes, level)
-        done, some = [], False
+        done = []
         for b in batches:
-            for i, url, payload, first, again in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "first_id", "is_revisit"))):
-                some = True
-                done += to.add(record(i, url, payload, payload_digest(payload), first, again))
+            for i, url, payload, n, digest, first in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "n_bytes", "digest", "first_id"))):
+                stated = payload_digest(payload) if payload is not None else base64.b32encode(bytes.fromhex(digest)).decode()
+                done += to.add(record(i, url, payload, n, stated, first))
         if to.out is not None or to.waiting:
             done.append(to.close())
         cols = list(zip(*done)) if done else [[]] * 4
@@ -176,7 +188,8 @@ def write_archives(records: DataFrame, folder: str, dict_bytes: int = 64 << 10,
 
 def read_archives(manifest: DataFrame, rows: int = 1000) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to and payload (null for revisits) of every record.
-    The length and digest of a response are taken from the payload that was read."""
+    The length and digest of a response are taken from the payload that was read; one that differs from the record's is an
+    error. Ids are whole numbers, null where a record has none; so are missing URLs; an empty manifest gives no row."""
 
     def number(uri: str | None) -> int | None:
         return int(uri[len("<urn:page:") : -1]) if uri and uri != "<urn:page:>" else None
@@ -191,7 +204,8 @@ def read_archives(manifest: DataFrame, rows: int = 1000) -> DataFrame:
                     kind, stated = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and payload_digest(payload) != stated:
                         raise ValueError(f"{uri}: the payload of {head['WARC-Record-ID']} is damaged")
-                    out.append((number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, int(head["X-Payload-Length"]) if kind == "revisit" else len(payload), stated, number(head.get("WARC-Refers-To")), payload if kind == "response" else None))
+                    url = base64.b64decode(head["X-Target-URI"]).decode("utf-8", "surrogatepass") if "X-Target-URI" in head else head.get("WARC-Target-URI")
+                    out.append((number(head["WARC-Record-ID"]), url, kind, int(head["X-Payload-Length"]) if kind == "revisit" else len(payload), stated, number(head.get("WARC-Refers-To")), payload if kind == "response" else None))
                     size += len(payload)
                     if len(out) >= rows or size >= 16 << 20:
                         yield batch(out)

@@ -33,6 +33,14 @@ def test_round_trip(pages, least):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows, least)
     html = {(r[0], (r[2] or "").encode()) for r in rows}
     assert all((r.page_id, bytes(r.payload)) in html for r in got if r.record_type == "response")
+    assert sorted(((r.page_id, r.url) for r in got), key=str) == sorted((r[:2] for r in rows), key=str)
+
+
+def test_one_row_repeated_in_a_third_of_all(spark):
+    rows = [(None, None, None, "clash", 1)] * 400 + [(i, f"u{i}", f"<p>{i}</p>", "clash", 1) for i in range(800)]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGE).repartition(5)).collect()
+    assert len(got) == 1200 and sum(r.record_type == "revisit" for r in got) == 399
+    assert {r.refers_to for r in got} == {None}
 
 
 def test_dictionary_leads_the_archive_and_records_stand_alone(pages, tmp_path):
