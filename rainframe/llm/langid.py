@@ -108,15 +108,16 @@ def posteriors(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, pairs: bool
     return post, (np.log(scale) * mask + top[:, :, 0] * mask).sum(), moved
 
 
-def windows(docs: DataFrame, per_lang: int, per_doc: int, words: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
-    """(lang, words): at most per_doc windows of each of about per_lang texts of each language, chosen by a hash of the id
-    and spread over the whole text. Only their number, not the corpus, bounds what is gathered here."""
+def windows(docs: DataFrame, per_lang: int, per_doc: int, words: int, most_langs: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
+    """(lang, words): at most per_doc windows of each of about per_lang texts (never over twice as many) of the most_langs
+    commonest languages, chosen by a hash of id and text and spread over the whole text. Only these numbers, not the
+    corpus, bound what is gathered here."""
     learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    counts = learn.groupBy(F.col(lang_col).alias("lang")).count().collect()
+    counts = learn.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
     if not counts:
         return []
-    share = F.coalesce(*(F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, per_lang / r["count"]))) for r in counts))
-    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))[F.col(lang_col)]
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     rows = learn.where(spot < share).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def cut(batches):
@@ -129,14 +130,17 @@ def windows(docs: DataFrame, per_lang: int, per_doc: int, words: int, id_col: st
                         out.append((i, lang, ws[at : at + words]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["id", "lang", "words"])
 
-    got = sorted((r.lang, r.id or "", r.words) for r in rows.mapInArrow(cut, "id string, lang string, words array<string>").toLocalIterator())
-    return [(lang, ws) for lang, _, ws in got]
+    got: dict[str, list[tuple[str, list[str]]]] = {}
+    for r in rows.mapInArrow(cut, "id string, lang string, words array<string>").toLocalIterator():
+        if len(mine := got.setdefault(r.lang, [])) < 2 * per_lang * per_doc:  # equal rows are in the sample together
+            mine.append((r.id or "", r.words))
+    return [(lang, ws) for lang in sorted(got) for _, ws in sorted(got[lang])]
 
 
-def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 4, words: int = 40, epochs: int = 6, rate: float = 0.5, least: int = 3, most_lexicon: int = 50_000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 4, words: int = 40, epochs: int = 6, rate: float = 0.5, least: int = 3, most_lexicon: int = 50_000, most_langs: int = 200, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on rows with text and lang that held_out leaves; None where there are none. Bounds: per_lang texts of a language,
-    per_doc windows of a text, `words` words of a window, most_lexicon words in the lexicon."""
-    data = windows(docs, per_lang, per_doc, words, id_col, text_col, lang_col)
+    per_doc windows of a text, `words` words of a window, most_lexicon words in the lexicon, the most_langs commonest languages."""
+    data = windows(docs, per_lang, per_doc, words, most_langs, id_col, text_col, lang_col)
     if not data:
         return None
     rng = np.random.default_rng(seed)
@@ -268,7 +272,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, words and labels (a language for each word) of every row."""
+    """id, words and labels (a language for each word) of every row: of the words that hold a letter, in lower case. Null texts
+    and those without a letter have none; repeated rows are labelled each; an empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -292,7 +297,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows that are `und` or whose language has under `least` of the posterior mass. Only texts go to
-    Python, and only verdicts come back."""
+    Python, and only verdicts come back. Null texts and those without a letter go; repeated rows are judged alike; where no row
+    can be learned from, all go; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     @F.arrow_udf("boolean")

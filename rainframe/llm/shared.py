@@ -11,17 +11,23 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI in spark.checkpoint.dir; only where that is unset (tests on one machine) a folder of our own."""
+    """The URI in spark.checkpoint.dir; only where that is unset and driver and tasks are one process a folder of our own."""
     where = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="rainframe-")
         spark.conf.set(SETTING, where)
     return where.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/rainframe/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below a folder of this application, so that clear() finds it."""
+    return f"{shared_dir(spark)}/rainframe/{_session(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _session(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -33,8 +39,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder, on whichever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this session's operators wrote to the shared folder; their results must be written by then."""
+    where = f"{shared_dir(spark)}/rainframe/{_session(spark)}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -68,3 +68,16 @@ def test_defined_cases(spark, docs, corpus, model, nothing):
     assert {r.lang_pred for r in langid.digests(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None)).collect()} == {"und"}
     kept = langid.keep_known(docs, 0.0)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint(und - {3, 7})
+
+
+def test_null_and_repeated_ids_are_learned_from(spark):
+    """Half of the rows have no id, half the same one."""
+    words = {"en": "the nation with thing of rain", "de": "der und keit schatz für größe"}
+    rows = [(None if i % 2 else 7, f"{words[lang]} {i}", lang) for lang in words for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.windows(docs, 100, 4, 40, 200, "doc_id", "text", "lang")
+    assert 100 < len(got) < 400 and {x for x, _ in got} == {"de", "en"}
+    alike = spark.createDataFrame([(1, words["en"], "en")] * 3000 + [(2, words["de"], "de")] * 3000, docs.schema)
+    assert len(langid.windows(alike, 50, 4, 40, 200, "doc_id", "text", "lang")) <= 2 * 2 * 50 * 4
+    dirty = spark.createDataFrame([(i, "word and word", f"l{i}") for i in range(300)], docs.schema)
+    assert len({x for x, _ in langid.windows(dirty, 50, 4, 40, 20, "doc_id", "text", "lang")}) <= 20
