@@ -1,17 +1,19 @@
 """Substring dedup by compaction of a de Bruijn graph of word k-mers.
 
-Every window of k words is an edge of the graph. All windows are never shuffled. Each window belongs to
-its anchor, the least hash among its shorter word runs, so equal windows share an anchor; consecutive
-windows of a document under one anchor form a path, which is one row. A path all of whose occurrences
-are the same is nonbranching and settled as a whole by a count; only where an anchor carries different
-paths (the ends of repeated spans) are the windows of one occurrence of each path compared one by one.
-Source coordinates (document key, first word) carry the verdicts back to the texts.
+Every window of k words is an edge from the node of its first k - 1 words to that of its last. Few windows can occur
+twice, so not all become rows: each window belongs to its anchor, the least hash among its shorter word runs, equal windows
+share it, and only windows under anchors found twice go on. Consecutive ones of a text under one anchor are a path, one
+row; equal paths are counted first.
 
-Three narrow joins on hashes and one on the document key; anchors found once in the corpus, which are
-most of them, end after the first. Keys that occur in many documents are pre-aggregated before they
-are shuffled, and joins with them are plain equi-joins that adaptive execution can split.
+The graph is of the edges that occur twice or more. Edges that follow one another in a path through a node with one way in
+and one way out are one segment, and segments are joined through such nodes, by joins that double the reach of every
+pointer, into the repeated nonbranching paths: an edge is then a place in one of those. What a text shares are
+runs of such places, with their source coordinates (document key, first word). The words that stand there are
+compared, by a 128-bit digest, with those at the coordinates of the path's representative; runs that
+agree are put together to long spans, and their words are cut.
 
-Two windows count as equal if 64-bit hashes of their anchor and of their words are both equal."""
+Keys that occur in many documents are pre-aggregated before they are shuffled, and joins with them are plain equi-joins that
+adaptive execution can split; windows in Spark's sense hold one path of at most PATH edges."""
 
 from __future__ import annotations
 
@@ -21,22 +23,23 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 from .words import Spans, hash_words, sliding
 
-PATH = 60  # windows in a path at most: one bit of a long for each
+PATH = 60  # edges in a path at most
 
 
 class Repeats(NamedTuple):
-    """base: a row per document; texts: a row per document with an anchor found elsewhere too;
-    spans: for each document key with repeated windows, (start, mask) of its paths. k1, k2: the key."""
+    """base: a row per document; texts: a row per document with an anchor found elsewhere too; runs: for each
+    document key its verified runs (s: first word, len: windows, unit and at: the nonbranching path and the place in it).
+    k1, k2: the key."""
 
     base: DataFrame
     texts: DataFrame
-    spans: DataFrame
+    runs: DataFrame
     k: int
 
 
@@ -91,23 +94,112 @@ def _paths(batches, k: int, a: int):
                 cut = [np.arange(s, e, PATH) for s, e in zip(first[long], last[long])]
                 first = np.sort(np.concatenate([first, *(c[1:] for c in cut)]))
                 last = np.sort(np.concatenate([last, *(c[1:] for c in cut)]))
-            win = x.windows(k).view(np.int64)
-            out.append((squeeze.compress(t), least[first].view(np.int64), x.runs(first, last + k - 1).view(np.int64), first, [win[s:e] for s, e in zip(first, last)]))
-        z, an, pa_, st, wi = zip(*out) if out else [()] * 5
+            nodes = x.windows(k - 1).view(np.int64)
+            out.append((squeeze.compress(t), x.runs(first, last + k - 1).view(np.int64), first, [nodes[s : e + 1] for s, e in zip(first, last)]))
+        z, path, start, nodes = zip(*out) if out else [()] * 4
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in ("id", "k1", "k2")), pa.array(z, pa.binary()), pa.array(an, longs), pa.array(pa_, longs), pa.array(st, longs), pa.array(wi, pa.list_(longs))],
-            ["id", "k1", "k2", "ztext", "anchor", "path", "start", "windows"],
+            [*(b.column(c) for c in ("id", "k1", "k2")), pa.array(z, pa.binary()), pa.array(path, longs), pa.array([s.astype(np.int32) for s in start], pa.list_(pa.int32())), pa.array(nodes, pa.list_(longs))],
+            ["id", "k1", "k2", "ztext", "path", "start", "nodes"],
         )
 
 
+def edges_of(paths: DataFrame) -> DataFrame:
+    """path, n, i, u, v: the edges of each distinct path, in order."""
+    m = F.size("nodes") - 1
+    both = F.arrays_zip(F.slice("nodes", F.lit(1), m).alias("u"), F.slice("nodes", F.lit(2), m).alias("v"))
+    return paths.select("path", "n", F.posexplode(both).alias("i", "e")).select("path", "n", "i", "e.u", "e.v")
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """The edges that occur twice or more as places in nonbranching paths: u, v, home (a path that holds the edge) and h (its
+    place there), start (the place there at which the edge's segment starts), unit (the nonbranching path) and at (place in it)."""
+    home = F.min(F.struct("path", "i")).alias("x")
+    again = edges.groupBy("u", "v").agg(F.sum("n").alias("times"), home).where("times > 1")
+    again = materialize(again.select("u", "v", F.col("x.path").alias("home"), F.col("x.i").alias("h")), "substring-edges")
+    one = lambda side: again.groupBy(F.col(side).alias("node")).count().where("count = 1").select("node")
+    through = one("v").join(one("u"), "node").withColumn("through", F.lit(True))
+    order = Window.partitionBy("home").orderBy("h")
+    joined = again.join(through, again.u == through.node, "left").drop("node").withColumn("through", F.coalesce("through", F.lit(False)))
+    goes_on = F.col("through") & (F.coalesce(F.lag("h").over(order), F.lit(-2)) == F.col("h") - 1)
+    joined = joined.withColumn("start", F.max(F.when(~goes_on, F.col("h"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = materialize(joined, "substring-segments")
+
+    seg = F.struct("home", "start").alias("seg")
+    segs = joined.groupBy(seg).agg(F.count("*").alias("len"), F.min_by("u", "h").alias("u"), F.max_by("v", "h").alias("v"), F.min_by("through", "h").alias("through"))
+    segs = materialize(segs, "substring-heads")
+    before = segs.select(F.col("v").alias("u"), F.col("seg").alias("b_seg"), F.col("len").alias("b_len"))
+    heads = segs.where("through").select("seg", "u").join(before, "u").select("seg", F.col("b_seg").alias("head"), F.col("b_len").alias("far"))
+    heads = segs.select("seg").join(heads, "seg", "left").select("seg", F.coalesce("head", "seg").alias("head"), F.coalesce("far", F.lit(0).cast("long")).alias("far"))
+    heads = materialize(heads, "substring-pointers")
+    steps, reach = segs.count().bit_length() + 1, 0
+    while True:
+        further = heads.select(F.col("seg").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        moved = heads.join(further, "head").select("seg", F.col("next").alias("head"), (F.col("far") + F.col("more")).alias("far"), (F.col("head") != F.col("next")).alias("moves"))
+        moved = materialize(moved, "substring-pointers")
+        reach += 1
+        if moved.where("moves").isEmpty():
+            break
+        if reach > steps:  # what still moves goes round in a circle; its segments stay as they are
+            moved = moved.select("seg", F.when(F.col("moves"), F.col("seg")).otherwise(F.col("head")).alias("head"), F.when(F.col("moves"), 0).otherwise(F.col("far")).alias("far"))
+            break
+        heads = moved.drop("moves")
+    placed = joined.withColumn("seg", F.struct("home", "start")).join(moved.select("seg", "head", "far"), "seg")
+    return placed.select("u", "v", "home", "h", "start", F.xxhash64("head.home", "head.start").alias("unit"), (F.col("far") + F.col("h") - F.col("start")).cast("int").alias("at"))
+
+
+def runs_of(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """path, i, len, home, h, unit, at: runs of edges of a path that follow one another in one segment too."""
+    met = edges.select("path", "i", "u", "v").join(placed, ["u", "v"])
+    way = ["path", "home", "start", (F.col("h") - F.col("i")).alias("way")]
+    turn = F.row_number().over(Window.partitionBy("path", "home", "start", F.col("h") - F.col("i")).orderBy("i"))
+    met = met.withColumn("turn", F.col("i") - turn)
+    return met.groupBy(*way, "turn").agg(F.min("i").alias("i"), F.count("*").cast("int").alias("len"), F.min("h").alias("h"), F.first("unit").alias("unit"), F.min("at").alias("at")).drop("start", "way", "turn")
+
+
+def _digests(batches, k: int):
+    """Rows (k1, k2, ztext, asked) -> a row for each asked run with the digest of the words that stand there."""
+    grow = zstandard.ZstdDecompressor()
+    for b in batches:
+        asked = b.column("asked")
+        flat = asked.flatten()
+        n = asked.value_lengths().to_numpy()
+        digs = []
+        s, length = (flat.field(c).to_numpy().tolist() for c in ("s", "len"))
+        ends = np.cumsum(n).tolist()
+        for z, e, c in zip(b.column("ztext").to_pylist(), ends, n.tolist()):
+            words = grow.decompress(z).split()
+            digs += [hashlib.blake2b(b" ".join(words[s[j] : s[j] + length[j] + k - 1]), digest_size=16).digest() for j in range(e - c, e)]
+        row = pa.array(np.repeat(np.arange(b.num_rows), n))
+        kinds = [f.name for f in flat.type]
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("k1", "k2")), *(flat.field(c) for c in kinds), pa.array(digs, pa.binary())], ["k1", "k2", *kinds, "dig"])
+
+
+RUN = "k1 bigint, k2 bigint, s int, len int, home bigint, h int, unit bigint, at int, shows boolean, dig binary"
+
+
+def verified(texts: DataFrame, each: DataFrame, runs: DataFrame, k: int) -> DataFrame:
+    """k1, k2 and a document's runs (s, len, unit, at) whose words are those of the home path's representative, the
+    occurrence with the least document key and first word."""
+    found = each.join(runs, "path").select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "home", "h", "unit", "at", F.lit(False).alias("shows"))
+    shown = runs.groupBy("home", "h", "len").agg(F.first("unit").alias("unit"), F.first("at").alias("at"))
+    homes = each.join(shown.select(F.col("home").alias("path")).distinct(), "path").groupBy(F.col("path").alias("home")).agg(F.min(F.struct("k1", "k2", "start")).alias("x"))
+    shown = shown.join(homes, "home").select("x.k1", "x.k2", (F.col("x.start") + F.col("h")).alias("s"), "len", "home", "h", "unit", "at", F.lit(True).alias("shows"))
+    asked = found.unionByName(shown).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "len", "home", "h", "unit", "at", "shows")).alias("asked"))
+    digs = texts.select("k1", "k2", "ztext").join(asked, ["k1", "k2"]).mapInArrow(lambda it: _digests(it, k), RUN)
+    digs = materialize(digs, "substring-digests")
+    right = digs.where("shows").groupBy("home", "h", "len").agg(F.first("dig").alias("right"))
+    same = digs.where("not shows").join(right, ["home", "h", "len"]).where("dig = right")
+    return same.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "len", "unit", "at")).alias("runs"))
+
+
 def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
     """Windows of k words that start at two places or more of all texts, the same text included.
 
     Null texts have no words; texts under k words have no window; rows alike in id and text are repeats
     of each other; any other columns are ignored, whatever their names; an empty table gives empty results."""
-    if not 1 <= anchor <= k:
-        raise ValueError("anchor must be between 1 and k words")
+    if not 1 <= anchor <= k or k < 2:
+        raise ValueError("k must be two words at least, and anchor between 1 and k")
     rows = docs.select(F.col(id_col).alias("id"), *document_key(id_col, text_col), F.col(text_col).alias("text"))
     of_id = f"id {docs.schema[id_col].dataType.simpleString()}, k1 bigint, k2 bigint"
     base = materialize(rows.mapInArrow(lambda it: _scan(it, k, anchor), f"{of_id}, n_words bigint, sha string, anchors array<bigint>, twice array<bigint>"), "substring-base")
@@ -115,38 +207,33 @@ def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "
     found = base.select("k1", "k2", F.explode("anchors").alias("anchor"))
     often = base.select(F.explode(F.concat("anchors", "twice")).alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
     hit = found.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("hit"))
-    texts = materialize(
-        rows.where(F.octet_length("text") >= 2 * k - 1).join(hit, ["k1", "k2"]).mapInArrow(lambda it: _paths(it, k, anchor), f"{of_id}, ztext binary, anchor array<bigint>, path array<bigint>, start array<bigint>, windows array<array<bigint>>"),
-        "substring-paths",
-    )
-
-    each = texts.select("k1", "k2", F.explode(F.arrays_zip("anchor", "path", "start", "windows")).alias("p")).select("k1", "k2", "p.*")
-    key = ["anchor", "path"]
-    paths = materialize(each.groupBy(*key).agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "substring-distinct")
-    branching = paths.groupBy("anchor").count().where("count > 1").select("anchor")
-    edges = paths.join(branching, "anchor").select(*key, "n", F.posexplode("windows").alias("i", "window"))
-    again = edges.groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
-    # a window that a path holds twice is in `again` too, from whichever anchor, branching or not
-    within = paths.where(F.size(F.array_distinct("windows")) < F.size("windows")).select(*key, "n", F.posexplode("windows").alias("i", "window"))
-    within = within.groupBy(*key, "window").agg(F.count("*").alias("c"), F.expr("bit_or(shiftleft(1L, i))").alias("mask")).where("c > 1").select(*key, "mask")
-    parts = edges.join(again, ["anchor", "window"]).select(*key, F.expr("shiftleft(1L, i)").alias("mask"))
-    whole = paths.where("n > 1").select(*key, F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
-    verdict = whole.unionByName(parts).unionByName(within).groupBy(*key).agg(F.expr("bit_or(mask)").alias("mask"))
-    spans = each.select("k1", "k2", *key, "start").join(verdict, key).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
-    return Repeats(base, texts, materialize(spans, "substring-spans"), k)
-
-
-def covered(n: int, spans: list[dict], k: int) -> np.ndarray:
-    """Which of n words lie in a window whose bit is set."""
+    texts = rows.where(F.octet_length("text") >= 2 * k - 1).join(hit, ["k1", "k2"])
+    texts = materialize(texts.mapInArrow(lambda it: _paths(it, k, anchor), f"{of_id}, ztext binary, path array<bigint>, start array<int>, nodes array<array<bigint>>"), "substring-paths")
+
+    zipped = lambda *c: texts.select("k1", "k2", F.explode(F.arrays_zip(*c)).alias("p")).select("k1", "k2", "p.*")
+    paths = zipped("path", "nodes").groupBy("path").agg(F.count("*").alias("n"), F.first("nodes").alias("nodes"))
+    edges = edges_of(materialize(paths, "substring-distinct"))
+    runs = materialize(runs_of(edges, compact(edges)), "substring-runs")
+    return Repeats(base, texts, materialize(verified(texts, zipped("path", "start"), runs, k), "substring-spans"), k)
+
+
+def long_spans(runs: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(first word, windows, unit, place in it) of runs put together where one goes on from the other in text and unit."""
+    out: list[tuple[int, int, int, int]] = []
+    for s, n, unit, at in sorted((r["s"], r["len"], r["unit"], r["at"]) for r in runs):
+        if out and out[-1][2] == unit and out[-1][0] + out[-1][1] == s and out[-1][3] + out[-1][1] == at:
+            out[-1] = (out[-1][0], out[-1][1] + n, unit, out[-1][3])
+        else:
+            out.append((s, n, unit, at))
+    return out
+
+
+def covered(n: int, runs: list[dict], k: int) -> np.ndarray:
+    """Which of n words lie in a window of the runs."""
     step = np.zeros(n + 1, np.int64)
-    for s in spans:
-        start, mask = s["start"], s["mask"]
-        while mask:
-            low = (mask & -mask).bit_length() - 1
-            run = ((mask >> low) + 1 & -((mask >> low) + 1)).bit_length() - 1  # set bits from there on
-            step[start + low] += 1
-            step[start + low + run - 1 + k] -= 1
-            mask &= ~(((1 << run) - 1) << low)
+    for s, length, _, _ in long_spans(runs):
+        step[s] += 1
+        step[s + length - 1 + k] -= 1
     return np.cumsum(step[:n]) > 0
 
 
@@ -154,10 +241,10 @@ def _cut(batches, k: int):
     grow = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
-        for z, spans in zip(b.column("ztext").to_pylist(), b.column("spans").to_pylist()):
+        for z, runs in zip(b.column("ztext").to_pylist(), b.column("runs").to_pylist()):
             words = grow.decompress(z).split()
-            gone = covered(len(words), spans, k)
-            kept = b" ".join(w for w, g in zip(words, gone) if not g)
+            gone = covered(len(words), runs, k)
+            kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
             out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
         n, r, s, t = zip(*out) if out else [()] * 4
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], ["id", "k1", "k2", "n_words", "n_removed", "sha", "kept"])
@@ -166,21 +253,41 @@ def _cut(batches, k: int):
 def cut_texts(found: Repeats) -> DataFrame:
     """id, k1, k2, n_words, n_removed, sha and kept (the words left, joined by one space) of every document that loses words."""
     k, of_id = found.k, f"id {found.base.schema['id'].dataType.simpleString()}, k1 bigint, k2 bigint"
-    both = found.texts.select("id", "k1", "k2", "ztext").join(found.spans, ["k1", "k2"])
+    both = found.texts.select("id", "k1", "k2", "ztext").join(found.runs, ["k1", "k2"])
     return both.mapInArrow(lambda it: _cut(it, k), f"{of_id}, n_words bigint, n_removed bigint, sha string, kept string")
 
 
+def repeated_spans(found: Repeats) -> DataFrame:
+    """id, first_word, n_words, unit, place: the long repeated spans of every document, as places of nonbranching paths. Spans of
+    one text overlap where the graph branches. Documents without repeats have no row; repeated rows have theirs each."""
+    k = found.k
+
+    def run(batches):
+        for b in batches:
+            spans = [long_spans(r) for r in b.column("runs").to_pylist()]
+            row = pa.array(np.repeat(np.arange(b.num_rows), [len(s) for s in spans]), pa.int64())
+            flat = [x for s in spans for x in s]
+            longs = [pa.array([x[j] + (k - 1 if j == 1 else 0) for x in flat], pa.int64()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(row), *longs], ["id", "first_word", "n_words", "unit", "place"])
+
+    both = found.texts.select("id", "k1", "k2").join(found.runs, ["k1", "k2"])
+    return both.mapInArrow(run, f"id {found.base.schema['id'].dataType.simpleString()}, first_word bigint, n_words bigint, unit bigint, place bigint")
+
+
 def remove_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated windows cut from text_col and n_removed added; texts that lose none stay as they are."""
+    """docs with the repeated windows cut from text_col and n_removed added, in place of a column of that name; texts that lose
+    none stay as they are, null texts too. Rows alike in id and text are repeats of each other and lose all their windows;
+    rows of one id with unlike texts are documents of their own; an empty table stays empty."""
     found = find_repeats(docs, k, anchor, id_col, text_col)
-    cut = cut_texts(found).select("k1", "k2", F.col("kept").alias("_kept"), F.col("n_removed").alias("_gone")).dropDuplicates(["k1", "k2"])
-    keyed = docs.select("*", *(c.alias(f"_{n}") for n, c in zip(("k1", "k2"), document_key(id_col, text_col))))
-    joined = keyed.join(cut.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
-    return joined.select(*(F.coalesce("_kept", text_col).alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_removed"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"))
+    cut = cut_texts(found).select(F.struct("k1", "k2").alias("cut_key"), "kept", F.col("n_removed").alias("gone")).dropDuplicates(["cut_key"])
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(*document_key(id_col, text_col)).alias("key"))
+    joined = keyed.join(cut, F.col("key") == F.col("cut_key"), "left")
+    of = lambda c: F.col("row").getField(c)
+    return joined.select(*((F.coalesce("kept", of(c)) if c == text_col else of(c)).alias(c) for c in docs.columns if c != "n_removed"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def digests(docs: DataFrame, k: int = 35, anchor: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     found = find_repeats(docs, k, anchor)
-    left = found.base.join(found.spans.select("k1", "k2"), ["k1", "k2"], "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
+    left = found.base.join(found.runs.select("k1", "k2"), ["k1", "k2"], "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
     return left.unionByName(cut_texts(found).select("id", "n_words", "n_removed", "sha")).toDF("doc_id", "n_words", "n_removed", "kept_sha256")

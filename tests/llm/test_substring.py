@@ -33,3 +33,35 @@ def test_texts_follow(docs, corpus):
 
 def test_empty_table(nothing):
     assert substring.digests(nothing).count() == 0
+
+
+def test_long_spans_are_places_of_one_nonbranching_path(spark):
+    """A passage of 300 words in three texts, of 120 of them in a fourth, and a text that repeats ten words for long."""
+    passage = [f"p{i}" for i in range(300)]
+    own = lambda d, n: [f"d{d}w{i}" for i in range(n)]
+    texts = [own(d, 50 + d) + passage + own(d + 10, 7) for d in range(3)] + [own(3, 20) + passage[100:220] + own(4, 20), [f"c{i % 10}" for i in range(400)], own(5, 90)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in substring.repeated_spans(substring.find_repeats(docs)).collect())
+    spans = {d: [(f, n, u, p) for i, f, n, u, p in got if i == d] for d in range(6)}
+    assert [[x[:2] for x in spans[d]] for d in range(4)] == [[(50, 300)], [(51, 300)], [(52, 300)], [(20, 120)]]
+    assert len({spans[d][0][2] for d in range(4)}) == 1 and spans[3][0][3] == 100
+    assert spans[4] and not spans[5]
+
+
+def test_branches_end_a_path(spark):
+    """Two passages that share their middle: the graph branches at its ends."""
+    mid = [f"m{i}" for i in range(80)]
+    side = {c: [f"{c}{i}" for i in range(60)] for c in "abcd"}
+    texts = [side["a"] + mid + side["b"], side["c"] + mid + side["d"]] * 2
+    docs = spark.createDataFrame([(d, " ".join(t + [f"end{d}"])) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = substring.repeated_spans(substring.find_repeats(docs)).collect()
+    assert len({r.unit for r in got}) == 5  # the middle, and two ways in and out
+    assert sorted(map(tuple, substring.digests(docs).collect())) == sorted(brute([(d, " ".join(t + [f"end{d}"])) for d, t in enumerate(texts)], 35))
+
+
+@pytest.mark.parametrize("name", ["_kept", "_gone", "row", "key", "cut_key", "kept", "gone", "n_removed", "id"])
+def test_clashing_columns(spark, name):
+    same = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, same + " x", 7), (2, "y " + same, 8), (None, None, 9)], f"doc_id long, text string, `{name}` long")
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in substring.remove_repeats(docs).collect()), key=str)
+    assert got == [(1, "x", 40), (2, "y", 40), (None, None, 0)]
