@@ -3,14 +3,15 @@
 Every window of k words is an edge from the node of its first k - 1 words to that of its last. Few windows can occur
 twice, so not all become rows: each window belongs to its anchor, the least hash among its shorter word runs, equal windows
 share it, and only windows under anchors found twice go on. Consecutive ones of a text under one anchor are a path, one
-row; equal paths are counted first.
+row, known by a 128-bit digest of the words that stand there; equal paths are counted first.
 
-The graph is of the edges that occur twice or more. Edges that follow one another in a path through a node with one way in
-and one way out are one segment, and segments are joined through such nodes, by joins that double the reach of every
-pointer, into the repeated nonbranching paths: an edge is then a place in one of those. What a text shares are
-runs of such places, with their source coordinates (document key, first word). The words that stand there are
-compared, by a 128-bit digest, with those at the coordinates of the path's representative; runs that
-agree are put together to long spans, and their words are cut.
+The graph is of the edges that occur twice or more. A path that is the only one under its anchor is a segment as it is. Where
+an anchor has several paths (the ends of repeated spans), their edges become rows; those that occur twice and follow one
+another through a node with one way in and one way out are a segment. Segments are joined through such nodes, by joins that
+double the reach of every pointer, into the repeated nonbranching paths, and what a text shares are runs of places
+in those, with their source coordinates (document key, first word). Where a run is a part of a path, the words that stand
+there are compared with those at the coordinates of the path's representative. Runs are put together to long
+spans, and their words are cut.
 
 Keys that occur in many documents are pre-aggregated before they are shuffled, and joins with them are plain equi-joins that
 adaptive execution can split; windows in Spark's sense hold one path of at most PATH edges."""
@@ -83,7 +84,8 @@ def _paths(batches, k: int, a: int):
     for b in batches:
         out = []
         for t, hit in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("hit")):
-            x = Spans(hash_words(t.split()))
+            words = t.split()
+            x = Spans(hash_words(words))
             least, _ = anchors(x, k, a)
             hits = np.sort(hit.values.to_numpy().view(np.uint64))
             at = np.minimum(np.searchsorted(hits, least), len(hits) - 1)
@@ -95,15 +97,20 @@ def _paths(batches, k: int, a: int):
                 first = np.sort(np.concatenate([first, *(c[1:] for c in cut)]))
                 last = np.sort(np.concatenate([last, *(c[1:] for c in cut)]))
             nodes = x.windows(k - 1).view(np.int64)
-            out.append((squeeze.compress(t), x.runs(first, last + k - 1).view(np.int64), first, [nodes[s : e + 1] for s, e in zip(first, last)]))
-        z, path, start, nodes = zip(*out) if out else [()] * 4
+            ends = list(zip(first.tolist(), last.tolist()))
+            out.append((squeeze.compress(t), [_digest(words[s : e + k - 1]) for s, e in ends], first, least[first].view(np.int64), [nodes[s : e + 1] for s, e in ends]))
+        z, path, start, anchor, nodes = zip(*out) if out else [()] * 5
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in ("id", "k1", "k2")), pa.array(z, pa.binary()), pa.array(path, longs), pa.array([s.astype(np.int32) for s in start], pa.list_(pa.int32())), pa.array(nodes, pa.list_(longs))],
-            ["id", "k1", "k2", "ztext", "path", "start", "nodes"],
+            [*(b.column(c) for c in ("id", "k1", "k2")), pa.array(z, pa.binary()), pa.array(path, pa.list_(pa.binary())), pa.array([s.astype(np.int32) for s in start], pa.list_(pa.int32())), pa.array(anchor, longs), pa.array(nodes, pa.list_(longs))],
+            ["id", "k1", "k2", "ztext", "path", "start", "anchor", "nodes"],
         )
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def edges_of(paths: DataFrame) -> DataFrame:
     """path, n, i, u, v: the edges of each distinct path, in order."""
     m = F.size("nodes") - 1
@@ -111,41 +118,45 @@ def edges_of(paths: DataFrame) -> DataFrame:
     return paths.select("path", "n", F.posexplode(both).alias("i", "e")).select("path", "n", "i", "e.u", "e.v")
 
 
-def compact(edges: DataFrame) -> DataFrame:
-    """The edges that occur twice or more as places in nonbranching paths: u, v, home (a path that holds the edge) and h (its
-    place there), start (the place there at which the edge's segment starts), unit (the nonbranching path) and at (place in it)."""
+def compact(edges: DataFrame, lone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places in repeated nonbranching paths (unit, at): of edges (path, n, i, u, v) that occur twice or more as u, v, home (a path
+    that holds the edge), h (its place there), start (where its segment starts there), unit, at; and of lone, whole
+    repeated paths (path, u, v, len), as path, len, unit, at."""
     home = F.min(F.struct("path", "i")).alias("x")
     again = edges.groupBy("u", "v").agg(F.sum("n").alias("times"), home).where("times > 1")
     again = materialize(again.select("u", "v", F.col("x.path").alias("home"), F.col("x.i").alias("h")), "substring-edges")
-    one = lambda side: again.groupBy(F.col(side).alias("node")).count().where("count = 1").select("node")
-    through = one("v").join(one("u"), "node").withColumn("through", F.lit(True))
+    ends = again.select("u", "v").unionByName(lone.select("u", "v"))
+    one = lambda side: ends.groupBy(F.col(side).alias("node")).count().where("count = 1").select("node")
+    through = materialize(one("v").join(one("u"), "node").withColumn("through", F.lit(True)), "substring-through")
     order = Window.partitionBy("home").orderBy("h")
     joined = again.join(through, again.u == through.node, "left").drop("node").withColumn("through", F.coalesce("through", F.lit(False)))
     goes_on = F.col("through") & (F.coalesce(F.lag("h").over(order), F.lit(-2)) == F.col("h") - 1)
     joined = joined.withColumn("start", F.max(F.when(~goes_on, F.col("h"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = materialize(joined, "substring-segments")
-
-    seg = F.struct("home", "start").alias("seg")
-    segs = joined.groupBy(seg).agg(F.count("*").alias("len"), F.min_by("u", "h").alias("u"), F.max_by("v", "h").alias("v"), F.min_by("through", "h").alias("through"))
-    segs = materialize(segs, "substring-heads")
-    before = segs.select(F.col("v").alias("u"), F.col("seg").alias("b_seg"), F.col("len").alias("b_len"))
-    heads = segs.where("through").select("seg", "u").join(before, "u").select("seg", F.col("b_seg").alias("head"), F.col("b_len").alias("far"))
-    heads = segs.select("seg").join(heads, "seg", "left").select("seg", F.coalesce("head", "seg").alias("head"), F.coalesce("far", F.lit(0).cast("long")).alias("far"))
-    heads = materialize(heads, "substring-pointers")
-    steps, reach = segs.count().bit_length() + 1, 0
-    while True:
-        further = heads.select(F.col("seg").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
-        moved = heads.join(further, "head").select("seg", F.col("next").alias("head"), (F.col("far") + F.col("more")).alias("far"), (F.col("head") != F.col("next")).alias("moves"))
-        moved = materialize(moved, "substring-pointers")
-        reach += 1
-        if moved.where("moves").isEmpty():
-            break
-        if reach > steps:  # what still moves goes round in a circle; its segments stay as they are
-            moved = moved.select("seg", F.when(F.col("moves"), F.col("seg")).otherwise(F.col("head")).alias("head"), F.when(F.col("moves"), 0).otherwise(F.col("far")).alias("far"))
+    joined = materialize(joined.withColumn("seg", F.xxhash64("home", "start")), "substring-segments")
+
+    segs = joined.groupBy("seg").agg(F.count("*").alias("len"), F.min_by("u", "h").alias("u"), F.max_by("v", "h").alias("v"))
+    whole = lone.select(F.xxhash64("path", F.lit(0)).alias("seg"), F.col("len").cast("long").alias("len"), "u", "v")
+    segs = segs.unionByName(whole)
+    last = segs.select(F.col("v").alias("node"), F.col("seg").alias("head"), F.col("len").alias("far")).join(through, "node")
+    after = segs.select("seg", F.col("u").alias("node")).join(last, "node").select("seg", "head", "far")
+    moving = materialize(after, "substring-pointers")  # segments with one before; all others are heads
+    known, rounds = moving, moving.count().bit_length() + 1
+    done = None
+    for turn in range(rounds + 1):
+        if moving.isEmpty():
             break
-        heads = moved.drop("moves")
-    placed = joined.withColumn("seg", F.struct("home", "start")).join(moved.select("seg", "head", "far"), "seg")
-    return placed.select("u", "v", "home", "h", "start", F.xxhash64("head.home", "head.start").alias("unit"), (F.col("far") + F.col("h") - F.col("start")).cast("int").alias("at"))
+        further = known.select(F.col("seg").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        met = materialize(moving.join(further, "head", "left").select("seg", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far"), F.col("next").isNotNull().alias("moves")), "substring-pointers")
+        at_end = met.where("not moves").drop("moves")
+        done = at_end if done is None else done.unionByName(at_end)
+        moving = met.where("moves").drop("moves")
+        known = done.unionByName(moving)
+    # what still moves goes round in a circle: its segments stay as they are
+    heads = done if done is not None else moving
+    far = F.coalesce("far", F.lit(0).cast("long"))
+    placed = joined.join(heads, "seg", "left").select("u", "v", "home", "h", "start", F.coalesce("head", "seg").alias("unit"), (far + F.col("h") - F.col("start")).cast("int").alias("at"))
+    lone = lone.select("path", "len", F.xxhash64("path", F.lit(0)).alias("seg")).join(heads, "seg", "left").select("path", "len", F.coalesce("head", "seg").alias("unit"), far.cast("int").alias("at"))
+    return placed, lone
 
 
 def runs_of(edges: DataFrame, placed: DataFrame) -> DataFrame:
@@ -169,28 +180,27 @@ def _digests(batches, k: int):
         ends = np.cumsum(n).tolist()
         for z, e, c in zip(b.column("ztext").to_pylist(), ends, n.tolist()):
             words = grow.decompress(z).split()
-            digs += [hashlib.blake2b(b" ".join(words[s[j] : s[j] + length[j] + k - 1]), digest_size=16).digest() for j in range(e - c, e)]
+            digs += [_digest(words[s[j] : s[j] + length[j] + k - 1]) for j in range(e - c, e)]
         row = pa.array(np.repeat(np.arange(b.num_rows), n))
         kinds = [f.name for f in flat.type]
         yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("k1", "k2")), *(flat.field(c) for c in kinds), pa.array(digs, pa.binary())], ["k1", "k2", *kinds, "dig"])
 
 
-RUN = "k1 bigint, k2 bigint, s int, len int, home bigint, h int, unit bigint, at int, shows boolean, dig binary"
+RUN = "k1 bigint, k2 bigint, s int, len int, home binary, h int, unit bigint, at int, shows boolean, dig binary"
 
 
 def verified(texts: DataFrame, each: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """k1, k2 and a document's runs (s, len, unit, at) whose words are those of the home path's representative, the
+    """k1, k2, s, len, unit, at of the runs of parts of paths whose words are those of the home path's representative, the
     occurrence with the least document key and first word."""
     found = each.join(runs, "path").select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "home", "h", "unit", "at", F.lit(False).alias("shows"))
     shown = runs.groupBy("home", "h", "len").agg(F.first("unit").alias("unit"), F.first("at").alias("at"))
     homes = each.join(shown.select(F.col("home").alias("path")).distinct(), "path").groupBy(F.col("path").alias("home")).agg(F.min(F.struct("k1", "k2", "start")).alias("x"))
     shown = shown.join(homes, "home").select("x.k1", "x.k2", (F.col("x.start") + F.col("h")).alias("s"), "len", "home", "h", "unit", "at", F.lit(True).alias("shows"))
-    asked = found.unionByName(shown).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "len", "home", "h", "unit", "at", "shows")).alias("asked"))
+    asked = found.unionByName(shown).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "len", "home", "h", "unit", "at", "shows")).alias("asked"))
     digs = texts.select("k1", "k2", "ztext").join(asked, ["k1", "k2"]).mapInArrow(lambda it: _digests(it, k), RUN)
     digs = materialize(digs, "substring-digests")
     right = digs.where("shows").groupBy("home", "h", "len").agg(F.first("dig").alias("right"))
-    same = digs.where("not shows").join(right, ["home", "h", "len"]).where("dig = right")
-    return same.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "len", "unit", "at")).alias("runs"))
+    return digs.where("not shows").join(right, ["home", "h", "len"]).where("dig = right").select("k1", "k2", "s", "len", "unit", "at")
 
 
 def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
@@ -208,19 +218,28 @@ def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "
     often = base.select(F.explode(F.concat("anchors", "twice")).alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
     hit = found.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("hit"))
     texts = rows.where(F.octet_length("text") >= 2 * k - 1).join(hit, ["k1", "k2"])
-    texts = materialize(texts.mapInArrow(lambda it: _paths(it, k, anchor), f"{of_id}, ztext binary, path array<bigint>, start array<int>, nodes array<array<bigint>>"), "substring-paths")
+    texts = materialize(texts.mapInArrow(lambda it: _paths(it, k, anchor), f"{of_id}, ztext binary, path array<binary>, start array<int>, anchor array<bigint>, nodes array<array<bigint>>"), "substring-paths")
 
     zipped = lambda *c: texts.select("k1", "k2", F.explode(F.arrays_zip(*c)).alias("p")).select("k1", "k2", "p.*")
-    paths = zipped("path", "nodes").groupBy("path").agg(F.count("*").alias("n"), F.first("nodes").alias("nodes"))
-    edges = edges_of(materialize(paths, "substring-distinct"))
-    runs = materialize(runs_of(edges, compact(edges)), "substring-runs")
-    return Repeats(base, texts, materialize(verified(texts, zipped("path", "start"), runs, k), "substring-spans"), k)
+    paths = zipped("path", "anchor", "nodes").groupBy("path").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("nodes").alias("nodes"))
+    paths = materialize(paths, "substring-distinct")
+    branching = paths.groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("parts"))
+    circles = F.size(F.array_distinct("nodes")) < F.size("nodes")
+    paths = materialize(paths.join(branching, "anchor", "left").withColumn("parts", F.coalesce("parts", circles)), "substring-kinds")
+    lone = paths.where("not parts and n > 1").select("path", F.get("nodes", F.lit(0)).alias("u"), F.element_at("nodes", -1).alias("v"), (F.size("nodes") - 1).alias("len"))
+    edges = edges_of(paths.where("parts"))
+    placed, lone = compact(edges, lone)
+    each = zipped("path", "start")
+    runs = verified(texts, each, materialize(runs_of(edges, placed), "substring-runs"), k)
+    runs = runs.unionByName(each.join(lone, "path").select("k1", "k2", F.col("start").alias("s"), "len", "unit", "at"))
+    runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "len", "unit", "at")).alias("runs"))
+    return Repeats(base, texts, materialize(runs, "substring-spans"), k)
 
 
 def long_spans(runs: list[dict]) -> list[tuple[int, int, int, int]]:
     """(first word, windows, unit, place in it) of runs put together where one goes on from the other in text and unit."""
     out: list[tuple[int, int, int, int]] = []
-    for s, n, unit, at in sorted((r["s"], r["len"], r["unit"], r["at"]) for r in runs):
+    for s, n, unit, at in sorted({(r["s"], r["len"], r["unit"], r["at"]) for r in runs}):
         if out and out[-1][2] == unit and out[-1][0] + out[-1][1] == s and out[-1][3] + out[-1][1] == at:
             out[-1] = (out[-1][0], out[-1][1] + n, unit, out[-1][3])
         else:
