@@ -140,18 +140,15 @@ def compact(edges: DataFrame, lone: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = segs.select(F.col("v").alias("node"), F.col("seg").alias("head"), F.col("len").alias("far")).join(through, "node")
     after = segs.select("seg", F.col("u").alias("node")).join(last, "node").select("seg", "head", "far")
     moving = materialize(after, "substring-pointers")  # segments with one before; all others are heads
-    known, rounds = moving, moving.count().bit_length() + 1
-    done = None
-    for turn in range(rounds + 1):
-        if moving.isEmpty():
-            break
+    known, left, before, done = moving, moving.count(), -1, None
+    while left and left != before:  # each round ends some segments of every chain; when none ends, circles are left
         further = known.select(F.col("seg").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
         met = materialize(moving.join(further, "head", "left").select("seg", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far"), F.col("next").isNotNull().alias("moves")), "substring-pointers")
         at_end = met.where("not moves").drop("moves")
         done = at_end if done is None else done.unionByName(at_end)
         moving = met.where("moves").drop("moves")
-        known = done.unionByName(moving)
-    # what still moves goes round in a circle: its segments stay as they are
+        known, before, left = done.unionByName(moving), left, moving.count()
+    # segments of circles stay as they are
     heads = done if done is not None else moving
     far = F.coalesce("far", F.lit(0).cast("long"))
     placed = joined.join(heads, "seg", "left").select("u", "v", "home", "h", "start", F.coalesce("head", "seg").alias("unit"), (far + F.col("h") - F.col("start")).cast("int").alias("at"))
