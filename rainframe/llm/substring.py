@@ -119,10 +119,10 @@ def edges_of(paths: DataFrame) -> DataFrame:
 
 
 def compact(edges: DataFrame, lone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places in repeated nonbranching paths (unit, at): of edges (path, n, i, u, v) that occur twice or more as u, v, home (a path
-    that holds the edge), h (its place there), start (where its segment starts there), unit, at; and of lone, whole
+    """Places in repeated nonbranching paths (unit, at): of edges (path, n, i, u, v) that occur twice or more as u, v, home (the
+    commonest path that holds the edge), h (its place there), start (where its segment starts there), unit, at; and of lone, whole
     repeated paths (path, u, v, len), as path, len, unit, at."""
-    home = F.min(F.struct("path", "i")).alias("x")
+    home = F.min(F.struct((-F.col("n")).alias("rare"), "path", "i")).alias("x")  # the commonest path: most occurrences are its own
     again = edges.groupBy("u", "v").agg(F.sum("n").alias("times"), home).where("times > 1")
     again = materialize(again.select("u", "v", F.col("x.path").alias("home"), F.col("x.i").alias("h")), "substring-edges")
     ends = again.select("u", "v").unionByName(lone.select("u", "v"))
@@ -187,9 +187,12 @@ RUN = "k1 bigint, k2 bigint, s int, len int, home binary, h int, unit bigint, at
 
 
 def verified(texts: DataFrame, each: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """k1, k2, s, len, unit, at of the runs of parts of paths whose words are those of the home path's representative, the
-    occurrence with the least document key and first word."""
-    found = each.join(runs, "path").select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "home", "h", "unit", "at", F.lit(False).alias("shows"))
+    """k1, k2, s, len, unit, at of runs in documents. Runs of the home path itself are known by its digest; of any other path
+    those whose words are those of the home path's representative, the occurrence with the least document key and first word."""
+    placed = lambda r: each.join(r, "path")
+    own = placed(runs.where("path = home")).select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "unit", "at")
+    runs = runs.where("path != home")
+    found = placed(runs).select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "home", "h", "unit", "at", F.lit(False).alias("shows"))
     shown = runs.groupBy("home", "h", "len").agg(F.first("unit").alias("unit"), F.first("at").alias("at"))
     homes = each.join(shown.select(F.col("home").alias("path")).distinct(), "path").groupBy(F.col("path").alias("home")).agg(F.min(F.struct("k1", "k2", "start")).alias("x"))
     shown = shown.join(homes, "home").select("x.k1", "x.k2", (F.col("x.start") + F.col("h")).alias("s"), "len", "home", "h", "unit", "at", F.lit(True).alias("shows"))
@@ -197,7 +200,8 @@ def verified(texts: DataFrame, each: DataFrame, runs: DataFrame, k: int) -> Data
     digs = texts.select("k1", "k2", "ztext").join(asked, ["k1", "k2"]).mapInArrow(lambda it: _digests(it, k), RUN)
     digs = materialize(digs, "substring-digests")
     right = digs.where("shows").groupBy("home", "h", "len").agg(F.first("dig").alias("right"))
-    return digs.where("not shows").join(right, ["home", "h", "len"]).where("dig = right").select("k1", "k2", "s", "len", "unit", "at")
+    same = digs.where("not shows").join(right, ["home", "h", "len"]).where("dig = right")
+    return own.unionByName(same.select("k1", "k2", "s", "len", "unit", "at"))
 
 
 def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
@@ -222,8 +226,10 @@ def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "
     paths = materialize(paths, "substring-distinct")
     branching = paths.groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("parts"))
     circles = F.size(F.array_distinct("nodes")) < F.size("nodes")
-    paths = materialize(paths.join(branching, "anchor", "left").withColumn("parts", F.coalesce("parts", circles)), "substring-kinds")
-    lone = paths.where("not parts and n > 1").select("path", F.get("nodes", F.lit(0)).alias("u"), F.element_at("nodes", -1).alias("v"), (F.size("nodes") - 1).alias("len"))
+    ends = [F.get("nodes", F.lit(0)).alias("u"), F.element_at("nodes", -1).alias("v"), (F.size("nodes") - 1).alias("len")]
+    paths = paths.join(branching, "anchor", "left").withColumn("parts", F.coalesce("parts", circles)).where("parts or n > 1")
+    paths = materialize(paths.select("path", "n", "parts", *ends, F.when(F.col("parts"), F.col("nodes")).alias("nodes")), "substring-kinds")
+    lone = paths.where("not parts").select("path", "u", "v", "len")
     edges = edges_of(paths.where("parts"))
     placed, lone = compact(edges, lone)
     each = zipped("path", "start")
