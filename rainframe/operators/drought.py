@@ -1,20 +1,20 @@
 """Drought indices: monthly totals (or means), summed over the last n months, then standardised within each cell.
 
 SPEI and STI are standard scores, plain windows. SPI and SRI fit a gamma distribution by maximum likelihood, whose
-statistics are two aggregates of a cell; only the fit and its probabilities run in numpy, on Arrow batches, a cell's few
-hundred months at a time."""
+statistics are two aggregates of a cell: they are windows over the cell, and fits and probabilities run in numpy on Arrow
+batches of rows, whichever cells these are from."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import finite
-from ..functions.special import CLIP, gamma_cdf, gamma_fit, normal_quantile
+from ..functions.special import gamma_cdf, gamma_fit, normal_quantile
 from .align import pair
 from .regions import zone_mean
 from .resample import to_period
@@ -28,31 +28,35 @@ def accumulated(df: DataFrame, scale: int, how: str = "sum", freq: str = "month"
     return rolling(rows, scale, how) if scale > 1 else rows
 
 
-def _standardise(scale_least: int, distribution: str):
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["value"].to_numpy(float)
-        out = np.full(len(v), np.nan)
-        known = np.isfinite(v)
-        if known.sum() >= scale_least:
-            if distribution == "normal":
-                sd = v[known].std(ddof=1)
-                if sd > 0:
-                    from statistics import NormalDist
-
-                    out[known] = normal_quantile(np.array([NormalDist().cdf(z) for z in (v[known] - v[known].mean()) / sd]))
-            elif (wet := known & (v > 0)).sum() >= scale_least and (fit := gamma_fit(v[wet].mean(), np.log(v[wet]).mean())):
-                a, b = fit
-                out[wet] = normal_quantile(np.clip(gamma_cdf(a, v[wet] / b), CLIP, 1 - CLIP))
-        return pdf.assign(value=pd.Series(out, index=pdf.index).astype(object).where(np.isfinite(out), None))
-
-    return one
-
-
 def standardised(df: DataFrame, least: int = 10, distribution: str = "gamma") -> DataFrame:
     """value as the normal quantile of its fitted probability, kept within CLIP. Under `least` values, or positive ones, all of
-    a cell are NULL; values of zero and less always are."""
-    keys = [c for c in ("product", "cell_id") if c in df.columns]
-    return df.groupBy(*keys).applyInPandas(_standardise(least, distribution), df.schema)
+    a cell are NULL; under gamma values of zero and less always are."""
+    cell = Window.partitionBy(*(c for c in ("product", "cell_id") if c in df.columns))
+    v = finite("value")
+    if distribution == "normal":
+        limit = float(normal_quantile(np.array([1.0]))[0])
+        score = (v - F.avg(v).over(cell)) / F.nullif(F.stddev_samp(v).over(cell), F.lit(0.0))
+        return df.withColumn("value", F.when(F.count(v).over(cell) >= least, F.greatest(F.least(score, F.lit(limit)), F.lit(-limit))))
+    wet = F.when(v > 0, v)
+    fit = F.when((F.count(v).over(cell) >= least) & (F.count(wet).over(cell) >= least), F.struct(F.avg(wet).over(cell).alias("mean"), F.avg(F.log(wet)).over(cell).alias("mean_log")))
+    rows = df.withColumn("value", F.struct(wet.alias("v"), fit.alias("fit")))
+
+    def run(batches):
+        for b in batches:
+            held = b.column("value")
+            v, fit = held.field("v"), held.field("fit")
+            x, mean, mean_log = (c.to_numpy(zero_copy_only=False).astype(float) for c in (v, *fit.flatten()))
+            shape, scale = np.full(len(x), np.nan), np.full(len(x), np.nan)
+            ok = np.isfinite(x) & np.isfinite(mean) & np.isfinite(mean_log)
+            pairs, of = np.unique(np.stack([mean[ok], mean_log[ok]]), axis=1, return_inverse=True)
+            a, s = gamma_fit(*pairs)
+            shape[ok], scale[ok] = a[of.ravel()], s[of.ravel()]
+            ok &= np.isfinite(shape)
+            out = np.full(len(x), np.nan)
+            out[ok] = normal_quantile(gamma_cdf(shape[ok], x[ok] / scale[ok]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, mask=~np.isfinite(out)) if n == "value" else b.column(n) for n in b.schema.names], b.schema.names)
+
+    return rows.mapInArrow(run, df.schema)
 
 
 def spi(precip: DataFrame, scale: int = 3, freq: str = "month", monthly: bool = False, least: int = 10, distribution: str = "gamma") -> DataFrame:

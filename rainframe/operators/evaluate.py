@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +100,16 @@ def detection_rollup(pairs: DataFrame, zones: DataFrame, threshold: float = 1.0)
 
 
 def station_scores(pairs: DataFrame, names: Iterable[str] | None = None, threshold: float = 1.0, station: str = "station", group: str = "none") -> DataFrame:
-    """n and scores of every station with pairs; with a group, by station and group."""
-    keys = [station] if group == "none" else [station, group]
+    """n and scores of every station with pairs, of every product apart where there are products; with a group, by station and group."""
+    keys = [c for c in ("product",) if c in pairs.columns] + ([station] if group == "none" else [station, group])
     rows = pairs if group == "none" else pairs.withColumn(group, group_label("time", group))
     return rows.groupBy(*keys).agg(F.count("obs").alias("n"), *metrics.columns(names, threshold))
 
 
 def evaluate_stations(stations: DataFrame, cube: DataFrame, cells: DataFrame, scale: str = "native", how: str = "sum", start=None, end=None, names: Iterable[str] | None = None, threshold: float = 1.0, station: str = "station", group: str = "none", keep_empty: bool = True) -> DataFrame:
-    """Scores of a cube at stations (station, time, lat, lon, obs). Both sides are cut to the time range, whole end day included,
-    and brought to the time scale. keep_empty: stations without pairs keep a row, with n = 0 and NULL scores."""
+    """Scores of a cube, or of each product of one, at stations (station, time, lat, lon, obs). Both sides are cut to the time range,
+    whole end day included, and brought to the time scale. keep_empty: stations without pairs keep a row (for each product), with
+    n = 0 and NULL scores."""
     require(stations, station, "time", "lat", "lon", "obs")
     seen = to_period(time_range(stations, start, end), scale, how, (station, "lat", "lon"), value="obs")
     model = to_period(time_range(cube, start, end), scale, how)
@@ -115,7 +117,22 @@ def evaluate_stations(stations: DataFrame, cube: DataFrame, cells: DataFrame, sc
     if not keep_empty or group != "none":
         return got
     where = stations.groupBy(station).agg(F.min_by(F.struct("lat", "lon"), "time").alias("p")).select(station, "p.lat", "p.lon")
-    return where.join(got, station, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    if "product" in cube.columns:  # products are few: each station asks for all of them
+        where = where.crossJoin(F.broadcast(cube.select("product").distinct()))
+    return where.join(got, [c for c in ("product", station) if c in where.columns], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def reduce_by_cell(pairs: DataFrame, reduce: Callable, name: str = "score", keys: tuple[str, ...] = ("product", "cell_id")) -> DataFrame:
+    """A user's own score of each cell: reduce(obs, sim) -> float is given its present pairs as numpy arrays, in no order, a cell at a time
+    (Arrow data of one cell is held). What it cannot answer (an error is passed on) it returns as NaN, which becomes NULL."""
+    keys = tuple(c for c in keys if c in pairs.columns)
+
+    @F.pandas_udf("double")
+    def made(o: pd.Series, s: pd.Series) -> float:
+        return float(reduce(o.to_numpy(float), s.to_numpy(float)))
+
+    rows = pairs.where("obs is not null and sim is not null")
+    return rows.groupBy(*keys).agg(finite(made("obs", "sim")).alias(name))
 
 
 def evaluate_grid(obs: DataFrame, sim: DataFrame, start=None, end=None, scale: str = "native", how: str = "sum") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import period
@@ -102,15 +102,53 @@ INDICES = {f.__name__: f for f in (rx1day, rx5day, prcptot, sdii, r10mm, r20mm,
 
 
 def compute(pr: DataFrame, indices: Iterable[str] | None = None, params: dict[str, dict] | None = None) -> DataFrame:
-    """A row per cell and year with the asked indices (default all), each with its own parameters."""
+    """A row per cell and year with the asked indices (default all), each with its own parameters.
+
+    All but the spells come from one aggregation by cell and year, over one window for runs of days and one set of percentiles by
+    cell; a kind of spell is a window more."""
     names = list(indices or INDICES)
     if unknown := [n for n in names if n not in INDICES]:
         raise KeyError(f"unknown indices: {', '.join(unknown)}")
-    out = None
+    params = {n: dict((params or {}).get(n, {})) for n in names}
     keys = [*_keys(pr), "year"]
-    for n in names:
-        one = INDICES[n](pr, **(params or {}).get(n, {}))
-        if "year" not in one.columns:
-            one = one.withColumn("year", F.year("period")).drop("period")
-        out = one if out is None else out.join(one, keys, "full_outer")
+    rows = _ready(pr).withColumn("year", F.year("time"))
+    v = V("value")
+    of = lambda n, what, default: params[n].pop(what, default)
+    plain = all(not {"freq", "label", "base_period"} & p.keys() for p in params.values())
+    if not plain:  # periods or base periods of their own: each by itself
+        out = None
+        for n in names:
+            one = INDICES[n](pr, **params[n])
+            if "year" not in one.columns:
+                one = one.withColumn("year", F.year("period")).drop("period")
+            out = one if out is None else out.join(one, keys, "full_outer")
+        return out.select(*keys, *names)
+    days = {}
+    if "rx1day" in names:
+        days["rx1day"] = F.max(v)
+    for n in ("prcptot", "sdii"):
+        if n in names:
+            wet = F.when(v >= of(n, "wet_threshold", 1.0), v)
+            days[n] = F.sum(wet) if n == "prcptot" else ratio(F.sum(wet), F.count(wet))
+    for n, t in (("r10mm", 10.0), ("r20mm", 20.0)):
+        if n in names:
+            days[n] = F.count_if(v >= of(n, "threshold", t))
+    limits = {n: (q, of(n, "wet_threshold", 1.0)) for n, q in (("r95p", 0.95), ("r99p", 0.99)) if n in names}
+    base = rows
+    if limits:
+        cut = rows.groupBy(*_keys(pr)).agg(*(F.percentile(v if wet is None else F.when(v >= wet, v), q).alias(f"_{n}") for n, (q, wet) in limits.items()))
+        base = rows.join(cut, list(_keys(pr)))
+        days |= {n: F.sum(F.when(v > V(f"_{n}"), v)) for n in limits}
+    if "rx5day" in names:
+        n = of("rx5day", "window", 5)
+        w = Window.partitionBy(*_keys(pr)).orderBy("time").rowsBetween(1 - n, 0)
+        base = base.withColumn("_run", F.when(F.count("value").over(w) == n, F.sum("value").over(w)))
+        days["rx5day"] = F.max("_run")
+    spells = {n: (v < of(n, "dry_threshold", 1.0)) if n == "cdd" else (v >= of(n, "wet_threshold", 1.0)) for n in ("cdd", "cwd") if n in names}
+    out = base.groupBy(*keys).agg(F.count("value").alias("_n"), *(c.alias(n) for n, c in days.items()))
+    for n, event in spells.items():
+        runs = longest_run(rows, event, tuple(keys), name=n)
+        out = out.join(runs, keys).withColumn(n, F.when(V("_n") > 0, V(n)))
+    if left := {n: p for n, p in params.items() if p}:
+        raise TypeError(f"unknown parameters: {left}")
     return out.select(*keys, *names)

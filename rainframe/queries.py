@@ -5,6 +5,7 @@ OFF_TIES, so that means of decimal numbers, which often end in a 5 at the sevent
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,6 @@ SCORE = {
 
 
 def sql_scores(names, threshold: float | None = None) -> str:
-    import re
-
     count = {"H": "obs >= T AND sim >= T", "M": "obs >= T AND sim < T", "F": "obs < T AND sim >= T", "C": "obs < T AND sim < T"}
     fill = lambda m: f"count(*) FILTER ({count[m[0]].replace('T', str(threshold))})::DOUBLE"
     out = []
@@ -68,7 +67,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: six(f(spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = sql.replace(", 6)", f" + {OFF_TIES}, 6)")
+            ORACLE_SQL[f.__name__] = re.sub(r"(?<!'), 6\)", f" + {OFF_TIES}, 6)", sql)  # not ('Summer', 6)
         return f
 
     return add
@@ -165,6 +164,18 @@ def station_evaluation(spark, d):
     return evaluate.evaluate_stations(v.stations(spark, d), v.sim(spark, d), v.cells(spark, d), names=("BIAS", "MAE", "RMSE", "CORR", "POD", "FAR"), threshold=100.0)
 
 
+@query(f"WITH {CELLS}, {PPAIRS}, {STATIONS.replace('at AS (', 'ats AS (').replace('FROM at JOIN', 'FROM ats JOIN')}, sp AS (SELECT product, station, month(day.d)::INT AS month, day.obs, prods.value AS sim FROM day JOIN place USING (station) JOIN prods USING (cell_id, d)) SELECT product, station, month, count(*) AS n, {sql_scores(('BIAS', 'RMSE', 'POD', 'FAR'), 100.0)} FROM sp GROUP BY 1, 2, 3")
+def station_evaluation_by_product(spark, d):
+    return evaluate.evaluate_stations(v.stations(spark, d), v.products(spark, d), v.cells(spark, d), names=("BIAS", "RMSE", "POD", "FAR"), threshold=100.0, group="month")
+
+
+@query(f"WITH {PPAIRS} SELECT product, cell_id, round(median(abs(sim - obs)), 6) AS median_error FROM pp GROUP BY 1, 2")
+def own_score_by_cell(spark, d):
+    import numpy as np
+
+    return evaluate.reduce_by_cell(v.product_pairs(spark, d), lambda o, s: np.median(abs(s - o)), "median_error")
+
+
 # ---- selection, time, alignment
 
 @query(f"WITH {PAIRS}, {CELLS} SELECT cell_id, d AS time, round(obs, 6) AS value FROM pairs JOIN cells USING (cell_id) WHERE lat BETWEEN 30.5 AND 32 AND lon BETWEEN 101 AND 103 AND d >= DATE '1997-03-01' AND d < DATE '1998-01-01' AND month(d) IN (6, 7, 12)")
@@ -206,9 +217,10 @@ def calendar_features(spark, d):
     return v.obs(spark, d).select(F.to_date("time").alias("time")).distinct().withColumns(cycle_features("time"))
 
 
-@query(f"WITH {PRODUCTS} SELECT product, cell_id, d AS time, round(value, 6) AS value FROM prods WHERE (cell_id, d) IN (SELECT (cell_id, d) FROM prods GROUP BY cell_id, d HAVING count(DISTINCT product) = 2)".replace("WHERE (cell_id, d) IN (SELECT (cell_id, d)", "SEMI JOIN (SELECT cell_id, d").replace("= 2)", "= 2) USING (cell_id, d)").replace("FROM prods GROUP BY cell_id", "FROM prods WHERE product <> 'N' GROUP BY cell_id").replace("FROM prods SEMI", "FROM (SELECT * FROM prods WHERE product <> 'N') SEMI"))
+@query(f"WITH {PRODUCTS}, y AS (SELECT product, cell_id, date_trunc('year', d)::DATE AS y, sum(value) AS v FROM prods GROUP BY 1, 2, 3) SELECT product, cell_id, y AS time, round(v, 6) AS value FROM y SEMI JOIN (SELECT cell_id, y FROM y GROUP BY 1, 2 HAVING count(DISTINCT product) = (SELECT count(DISTINCT product) FROM y)) USING (cell_id, y)")
 def common_to_all_products(spark, d):
-    return align.common(v.products(spark, d).where("product != 'N'")).select("product", "cell_id", F.to_date("time").alias("time"), "value")
+    """Yearly totals of cells and years that all products have."""
+    return align.common(resample.to_period(v.products(spark, d), "year"))
 
 
 @query(f"WITH {PRODUCTS}, a AS (SELECT cell_id, d FROM prods WHERE product = 'A'), r AS (SELECT cell_id, d, value FROM prods WHERE product = 'R'), b AS (SELECT a.cell_id, a.d, r.d AS rd, r.value FROM a ASOF LEFT JOIN r ON a.cell_id = r.cell_id AND a.d >= r.d), f AS (SELECT a.cell_id, a.d, r.d AS rd, r.value FROM a ASOF LEFT JOIN r ON a.cell_id = r.cell_id AND a.d <= r.d) SELECT b.cell_id, b.d AS time, round(CASE WHEN b.rd IS NULL THEN f.value WHEN f.rd IS NULL OR b.d - b.rd <= f.rd - b.d THEN b.value ELSE f.value END, 6) AS near_value FROM b JOIN f USING (cell_id, d)")
@@ -230,16 +242,20 @@ def zone_means(spark, d):
     return regions.zone_mean(v.obs(spark, d), v.zones(spark, d)).withColumn("time", F.to_date("time"))
 
 
-@query(f"WITH {PAIRS}, {ZONES} SELECT cell_id, d AS time, CASE WHEN cell_id IN (SELECT cell_id FROM zones WHERE zone_name IN ('ASIA', 'EUROPE')) THEN round(obs, 6) END AS value FROM pairs WHERE d < DATE '1996-01-01'")
+MASKED = "CASE WHEN cell_id IN (SELECT cell_id FROM zones WHERE zone_name IN ('ASIA', 'EUROPE')) THEN round({}, 6) END AS value"
+
+
+@query(f"WITH {PAIRS}, {ZONES} SELECT cell_id, d AS time, {MASKED.format('obs')} FROM pairs")
 def masked_outside_zones(spark, d):
     some = v.zones(spark, d).where("zone_name in ('ASIA', 'EUROPE')")
-    return regions.clip(select.time_range(v.obs(spark, d), None, "1995"), some, drop=False).select("cell_id", F.to_date("time").alias("time"), "value")
+    return regions.clip(v.obs(spark, d), some, drop=False).select("cell_id", F.to_date("time").alias("time"), "value")
 
 
-@query(f"WITH {PAIRS}, {ZONES} SELECT cell_id, d AS time, CASE WHEN cell_id IN (SELECT cell_id FROM zones WHERE zone_name IN ('ASIA', 'EUROPE')) THEN round(obs, 6) END AS value FROM pairs")
+@query(f"WITH {PRODUCTS}, {ZONES} SELECT product, cell_id, d AS time, {MASKED.format('value')} FROM prods")
 def masked_outside_zones_all_days(spark, d):
+    """Of every product."""
     some = v.zones(spark, d).where("zone_name in ('ASIA', 'EUROPE')")
-    return regions.clip(v.obs(spark, d), some, drop=False).select("cell_id", F.to_date("time").alias("time"), "value")
+    return regions.clip(v.products(spark, d), some, drop=False).select("product", "cell_id", F.to_date("time").alias("time"), "value")
 
 
 @query(f"WITH {CELLS}, p(name, x1, y1, x2, y2, x3, y3) AS (VALUES (1, 0, 0, 0, 0, 0, 0)) SELECT cell_id, CASE WHEN lat < 31.3 AND lon < 102.3 THEN 1 ELSE 2 END AS zone_id, CASE WHEN lat < 31.3 AND lon < 102.3 THEN 'a' ELSE 'b' END AS zone_name FROM cells WHERE (lat < 31.3 AND lon < 102.3) OR (lat > 31.3 AND lat < 33.7 AND lon > 101.2 AND lon < 103.8)")
@@ -264,19 +280,26 @@ def bilinear_regrid(spark, d):
     return regrid.interpolate(resample.to_period(v.obs(spark, d), "month"), v.cells(spark, d), GRID_LATS, GRID_LONS)
 
 
-@query()
+NEAR = "nl AS (SELECT i, arg_min(lat, abs(tl.t - lat) - lat * 1e-9) AS lat FROM tl, (SELECT DISTINCT lat FROM cells) WHERE tl.t BETWEEN (SELECT min(lat) FROM cells) AND (SELECT max(lat) FROM cells) GROUP BY 1), nn AS (SELECT j, arg_min(lon, abs(tn.t - lon) - lon * 1e-9) AS lon FROM tn, (SELECT DISTINCT lon FROM cells) WHERE tn.t BETWEEN (SELECT min(lon) FROM cells) AND (SELECT max(lon) FROM cells) GROUP BY 1)"
+
+
+@query(f"WITH {PAIRS}, {MONTHLY}, {CELLS}, {AXIS}, {NEAR} SELECT m AS time, (i * 5 + j)::BIGINT AS cell_id, round(obs, 6) AS value FROM monthly JOIN cells USING (cell_id) JOIN nl USING (lat) JOIN nn USING (lon)")
 def nearest_regrid(spark, d):
     return regrid.interpolate(resample.to_period(v.obs(spark, d), "month"), v.cells(spark, d), GRID_LATS, GRID_LONS, "nearest")
 
 
-@query(f"WITH {PAIRS}, {CELLS}, s AS (SELECT cell_id, lat, lon, avg(obs) AS v FROM pairs JOIN cells USING (cell_id) WHERE cell_id % 7 = 3 GROUP BY 1, 2, 3) SELECT c.cell_id, round(sum(s.v / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)) / sum(1 / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)), 6) AS value FROM cells c, s GROUP BY 1")
+WEIGHTED = "sum(s.v / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)) / sum(1 / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12))"
+
+
+@query(f"WITH {PAIRS}, {CELLS}, s AS (SELECT month(d)::INT AS month, lat, lon, avg(sim - obs) AS v FROM pairs JOIN cells USING (cell_id) GROUP BY 1, 2, 3) SELECT s.month, c.cell_id, round({WEIGHTED}, 6) + 0.0 AS value FROM cells c, s GROUP BY 1, 2")
 def inverse_distance(spark, d):
+    """The mean error of each cell and calendar month, spread to all cells."""
     cells = v.cells(spark, d)
-    means = v.obs(spark, d).where("cell_id % 7 = 3").groupBy("cell_id").agg(F.avg("value").alias("value"))
-    return regrid.idw(means.join(cells, "cell_id"), cells)
+    means = v.pairs(spark, d).groupBy("cell_id", F.month("time").alias("month")).agg(F.avg(F.col("sim") - F.col("obs")).alias("value"))
+    return regrid.idw(means.join(cells, "cell_id"), cells, keys=("month",))
 
 
-@query(f"WITH {PAIRS}, {CELLS}, s AS (SELECT cell_id, lat, lon, avg(obs) AS v FROM pairs JOIN cells USING (cell_id) GROUP BY 1, 2, 3) SELECT c.cell_id, round(sum(s.v / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)) / sum(1 / ((c.lat - s.lat) ** 2 + (c.lon - s.lon) ** 2 + 1e-12)), 6) AS value FROM cells c, s GROUP BY 1")
+@query(f"WITH {PAIRS}, {CELLS}, s AS (SELECT cell_id, lat, lon, avg(obs) AS v FROM pairs JOIN cells USING (cell_id) GROUP BY 1, 2, 3) SELECT c.cell_id, round({WEIGHTED}, 6) AS value FROM cells c, s GROUP BY 1")
 def inverse_distance_all_cells(spark, d):
     cells = v.cells(spark, d)
     means = v.obs(spark, d).groupBy("cell_id").agg(F.avg("value").alias("value"))
@@ -312,7 +335,11 @@ def extreme_indices_together(spark, d):
     return extremes.compute(v.obs(spark, d), ("rx1day", "r10mm", "prcptot"), {"prcptot": {"wet_threshold": 20.0}})
 
 
-@query()
+SPELLS = ", e AS (SELECT cell_id, year(d)::INT AS year, d, obs < 1 AS e FROM pairs), i AS (SELECT cell_id, year, e, row_number() OVER (PARTITION BY cell_id, year ORDER BY d) - row_number() OVER (PARTITION BY cell_id, year, e ORDER BY d) AS g FROM e), r AS (SELECT cell_id, year, e, g, count(*) AS n FROM i GROUP BY 1, 2, 3, 4), sp AS (SELECT cell_id, year, coalesce(max(n) FILTER (e), 0) AS cdd, coalesce(max(n) FILTER (NOT e), 0) AS cwd FROM r GROUP BY 1, 2)"
+LIMITS = ", t AS (SELECT cell_id, quantile_cont(obs, 0.95) AS t95, quantile_cont(obs, 0.99) AS t99 FROM pairs WHERE obs >= 1 GROUP BY 1), w AS (SELECT *, CASE WHEN count(obs) OVER f = 5 THEN sum(obs) OVER f END AS s FROM pairs WINDOW f AS (PARTITION BY cell_id ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
+
+
+@query(f"WITH {PAIRS}{SPELLS}{LIMITS} SELECT w.cell_id, year(d)::INT AS year, round(max(obs), 6) AS rx1day, round(max(s), 6) AS rx5day, round(sum(obs) FILTER (obs >= 1), 6) AS prcptot, round(avg(obs) FILTER (obs >= 1), 6) AS sdii, count(*) FILTER (obs >= 10) AS r10mm, count(*) FILTER (obs >= 20) AS r20mm, round(sum(obs) FILTER (obs > t95), 6) AS r95p, round(sum(obs) FILTER (obs > t99), 6) AS r99p, any_value(cdd) AS cdd, any_value(cwd) AS cwd FROM w JOIN t USING (cell_id) JOIN sp ON sp.cell_id = w.cell_id AND sp.year = year(d) GROUP BY 1, 2")
 def all_extreme_indices(spark, d):
     return extremes.compute(v.obs(spark, d))
 

@@ -1,8 +1,8 @@
 """Readers of grids and tables, named reader settings, and the format that a path holds.
 
 Text and Parquet go through Spark's own readers. Flat binary rasters come as whole files and are decoded in Arrow batches.
-Formats whose libraries may be absent (NetCDF, HDF, GRIB, GeoTIFF) are recognised and decoded file by file in the tasks where
-the library is there; without it the error says which one is needed."""
+GeoTIFF is decoded file by file in the tasks where rasterio is there. NetCDF, HDF and GRIB are recognised but not decoded here:
+convert them to Parquet first; the error says so."""
 
 from __future__ import annotations
 
@@ -191,9 +191,7 @@ def read_grid(spark: SparkSession, path: str, product: str | None = None, meta:
         return read_binary(spark, path, meta, spec.get("pattern"))
     if kind == "geotiff":
         return read_geotiff(spark, path, **spec)
-    if kind in LIBRARY:
-        need(LIBRARY[kind], f"reading {kind}")
-    raise ValueError(f"no reader for {path} ({kind})")
+    raise ValueError(f"no reader for {path} ({kind}); convert it to Parquet with {LIBRARY[kind]} first" if kind in LIBRARY else f"no reader for {path} ({kind})")
 
 
 def scope() -> dict:

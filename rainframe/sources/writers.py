@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from ..operators.resample import to_period
 
 
-def save_cube(df: DataFrame, path: str, by: tuple[str, ...] = ("product", "year"), compression: str = "zstd") -> None:
-    """Replace path by df, one folder per value of `by` (year is made from time), values as floats."""
+def save_cube(df: DataFrame, path: str, by: tuple[str, ...] = ("product", "year"), compression: str = "zstd", files: int = 16) -> None:
+    """Replace path by df, one folder per value of `by` (year is made from time), values as floats. The cells of one folder are
+    dealt to `files` tasks."""
     out = df.withColumn("year", F.year("time")) if "year" in by and "year" not in df.columns else df
     by = tuple(c for c in by if c in out.columns)
     if "value" in out.columns:
         out = out.withColumn("value", F.col("value").cast("float"))
-    out = out.repartition(*by) if by else out
+    if by:
+        spread = [F.pmod(F.xxhash64("cell_id"), F.lit(files))] if "cell_id" in out.columns else []
+        out = out.repartition(*by, *spread)
     out.write.mode("overwrite").option("compression", compression).partitionBy(*by).parquet(path)
 
 
@@ -36,7 +39,7 @@ def save_monthly(df: DataFrame, path: str, reducer: str = "sum") -> None:
 
 def save_table(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)
 
 
 def save_book(sheets: dict[str, DataFrame], path: str) -> None:

@@ -74,8 +74,11 @@ def test_gamma_probabilities():
 
 def test_gamma_fit_solves_its_equation():
     x = np.random.default_rng(0).gamma(2.3, 1.7, 4000)
-    a, b = special.gamma_fit(x.mean(), np.log(x).mean())
+    (a, none), (b, _) = special.gamma_fit([x.mean(), 3.0], [np.log(x).mean(), math.log(3.0)])
     assert abs(np.log(a) - special.digamma(a) - (np.log(x.mean()) - np.log(x).mean())) < 1e-12
     assert a == pytest.approx(2.3, rel=0.1) and a * b == pytest.approx(x.mean())
-    assert special.gamma_fit(3.0, math.log(3.0)) is None
+    assert np.isnan(none)
+    many = np.array([0.5, 2.0, 30.0, 2.0])
+    at = np.array([0.1, 40.0, 29.0, 1.5])
+    assert np.allclose(special.gamma_cdf(many, at), [special.gamma_cdf(m, np.array([v]))[0] for m, v in zip(many, at)], atol=1e-15)
     assert special.normal_quantile(np.array([0.0, 1.0])).tolist() == pytest.approx([-4.753424, 4.753424], abs=1e-6)

@@ -267,3 +267,48 @@ def test_two_stage_correction_improves(spark, cells):
     assert err(better) < 0.6 * err(biased.where("month(time) = 1")) and better.where("value < 0").count() == 0
     few = learn.correct_product(biased.limit(5), ref, cells, cfg=cfg, constrain=False)
     assert sorted(r.value for r in few.collect()) == sorted(r.value for r in biased.limit(5).collect())
+
+
+def test_standardised_rows_are_fitted_by_cell(spark):
+    """Against a fit of each cell by itself; zeros and cells with under ten values are NULL."""
+    import numpy as np
+
+    from rainframe.functions import special
+    from rainframe.operators import drought
+
+    rng = np.random.default_rng(4)
+    rows = [(c, m, float(x)) for c in range(6) for m, x in enumerate(rng.gamma(0.5 + c, 3, 9 if c == 5 else 60))]
+    rows += [(0, 100, 0.0), (0, 101, None)]
+    df = spark.createDataFrame(rows, "cell_id long, time int, value double").repartition(3)
+    got = {(r.cell_id, r.time): r.value for r in drought.standardised(df).collect()}
+    for c in range(5):
+        x = np.array([v for k, m, v in rows if k == c and v])
+        a, b = special.gamma_fit([x.mean()], [np.log(x).mean()])
+        want = special.normal_quantile(special.gamma_cdf(a[0], x / b[0]))
+        assert np.allclose([got[c, m] for m in range(60)], want, atol=1e-9)
+    assert got[0, 100] is None and got[0, 101] is None and all(got[5, m] is None for m in range(9))
+    flat = {(r.cell_id, r.time): r.value for r in drought.standardised(df, distribution="normal").collect()}
+    x = np.array([v for k, m, v in rows if k == 1])
+    assert np.allclose([flat[1, m] for m in range(60)], (x - x.mean()) / x.std(ddof=1))
+
+
+def test_correction_needs_the_reference_at_all_times(spark):
+    import pytest
+
+    from rainframe.operators import learn
+
+    p = spark.createDataFrame([("2001-01-01", 1, 1.0), ("2001-01-02", 1, 1.0)], "time string, cell_id long, value double")
+    with pytest.raises(KeyError, match="2001-01-02"):
+        learn.correct_product(p, p.where("time = '2001-01-01'"), spark.createDataFrame([(1, 0.0, 0.0)], "cell_id long, lat double, lon double"))
+
+
+def test_extremes_together_are_those_apart(spark):
+    import datetime as dt
+
+    from rainframe.operators import extremes
+
+    rows = [(c, dt.datetime(2001, 1, 1) + dt.timedelta(days=d), float((d * 7 + c * 3) % 40)) for c in range(2) for d in range(500)]
+    pr = spark.createDataFrame(rows, "cell_id long, time timestamp_ntz, value double")
+    together = {(r.cell_id, r.year): r for r in extremes.compute(pr, params={"cdd": {"dry_threshold": 20.0}, "rx5day": {"window": 3}}).collect()}
+    apart = {(r.cell_id, r.year): r for r in extremes.compute(pr, params={"cdd": {"dry_threshold": 20.0}, "rx5day": {"window": 3}, "rx1day": {"freq": "year"}}).collect()}
+    assert together == apart and len(together) == 4

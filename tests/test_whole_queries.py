@@ -21,7 +21,8 @@ def test_two_stages_fit_all_zones_with_the_default_forest(spark, monkeypatch):
 
 
 def test_mask_keeps_all_days(spark):
-    assert queries.QUERIES["masked_outside_zones_all_days"](spark, SMALL).count() == v.obs(spark, SMALL).count()
+    assert queries.QUERIES["masked_outside_zones"](spark, SMALL).count() == v.obs(spark, SMALL).count()
+    assert queries.QUERIES["masked_outside_zones_all_days"](spark, SMALL).count() == v.products(spark, SMALL).count()
 
 
 def test_inverse_distance_takes_all_cells_in_blocks(spark):
@@ -58,5 +59,5 @@ def test_residuals_are_at_all_cells(spark, monkeypatch):
     assert seen == [n] and got.count() == n
 
 
-def test_all_cells_query_has_its_own_sql():
-    assert "inverse_distance_all_cells" in queries.ORACLE_SQL and "% 7" not in queries.ORACLE_SQL["inverse_distance_all_cells"]
+def test_no_query_cuts_its_tables_by_id():
+    assert not any("% 7" in sql for sql in queries.ORACLE_SQL.values())
