@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, send_if_small
 from .substring import document_key
 from .tokens import slices
 
@@ -313,4 +313,4 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     bad = materialize(find_contamination(rows, bench, near=False, id_col="id").where("contaminated").select("id").distinct(), "decontaminate-bad")
     keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    return keyed.join(bad, F.col("key") == F.col("id"), "left_anti").select("row.*")
+    return keyed.join(send_if_small(bad), F.col("key") == F.col("id"), "left_anti").select("row.*")

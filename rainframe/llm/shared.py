@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -39,6 +40,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MOST_SENT = 32 << 20  # bytes of a table of keys up to which it is sent to all tasks
+
+
+def send_if_small(written: DataFrame, row_bytes: int = 24) -> DataFrame:
+    """A written table, marked for broadcast where its rows are counted and of row_bytes each make MOST_SENT bytes at most; else it
+    is joined by a shuffle, so texts move for a join only where the keys are too many to send."""
+    return F.broadcast(written) if written.count() * row_bytes <= MOST_SENT else written
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all tables that this session's operators wrote to the shared folder; their results must be written by then."""
     where = f"{shared_dir(spark)}/rainframe/{_session(spark)}"

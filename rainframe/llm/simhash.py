@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, send_if_small
 from .substring import document_key
+from .tokens import pieces
 from .words import Spans, hash_words, mix, whole_groups
 
 BITS = 64
@@ -295,12 +296,12 @@ def traits(text: bytes | None, shingle: int, print_shingle: int) -> tuple[int, i
 
 
 def table_count(width: int, errors: int, recall: float) -> int:
-    """Tables (a dozen at least) of which a pair with `errors` differing bits shares the `width` leading bits in one, with
+    """Tables (20 at least) of which a pair with `errors` differing bits shares the `width` leading bits in one, with
     probability recall."""
     if not width:
         return 1
     share = math.comb(BITS - width, errors) / math.comb(BITS, errors)
-    return max(12, math.ceil(math.log(1 - recall) / math.log1p(-share)))
+    return max(20, math.ceil(math.log(1 - recall) / math.log1p(-share)))
 
 
 def deal(texts: DataFrame, n: int, errors: int = 8, recall: float = 0.95, per_cell: int = 64, leaf: int = 256, step: int = 8, seed: int = 7) -> DataFrame:
@@ -443,7 +444,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget:
     rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches):
-        for b in batches:
+        for b in pieces(batches, "text"):
             found = [traits(t, shingle, print_shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
             th = np.array([x[0] for x in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(th), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["id", "th", "fp", "sk"])
@@ -455,7 +456,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget:
     tied = materialize(components(links_).select(F.col("node").alias("th"), "root"), "similar-candidates")
     asked = tied.join(tied.groupBy("root").agg(F.count("*").alias("n")), "root").join(texts.select("th", "id.k1", "id.k2"), "th")
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
-    held = materialize(keyed.join(materialize(asked, "similar-asked"), ["k1", "k2"]).dropDuplicates(["th"]).select("root", "th", "n", "text"), "similar-held")
+    held = materialize(keyed.join(send_if_small(materialize(asked, "similar-asked"), 48), ["k1", "k2"]).dropDuplicates(["th"]).select("root", "th", "n", "text"), "similar-held")
     tied = components(similar_links(held, block, shingle, percent)).select(F.col("node").alias("th"), "root")
     rooted = materialize(texts.join(tied, "th", "left").select("th", "id", F.coalesce("root", "th").alias("root")), "similar-roots")
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -476,8 +477,8 @@ def _rows_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     copies = F.sum("copies") if "copies" in found.columns else F.count("*")
     kinds = materialize(found.groupBy(key.alias("k")).agg(F.bool_or(own).alias("stays"), copies.alias("copies")).where("not stays or copies > 1"), "named-rows")
     keyed = docs.select(F.struct("*").alias("row"), F.struct(*document_key(id_col, text_col)).alias("key"))
-    plain = keyed.join(kinds.select("k"), F.col("key") == F.col("k"), "left_anti")
+    plain = keyed.join(send_if_small(kinds.select("k")), F.col("key") == F.col("k"), "left_anti")
     shared = kinds.where("stays").select("k")
     if not shared.isEmpty():
-        plain = plain.unionByName(keyed.join(shared, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]))
+        plain = plain.unionByName(keyed.join(send_if_small(shared), F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]))
     return plain.select("row.*")

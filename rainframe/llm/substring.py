@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .tokens import pieces
 from .words import Spans, hash_words, sliding
 
 PATH = 60  # edges in a path at most
@@ -57,7 +58,7 @@ def anchors(x: Spans, k: int, a: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _scan(batches, k: int, a: int):
     w = k - a + 1
-    for b in batches:
+    for b in pieces(batches, "text"):
         n_words, shas, found, twice = [], [], [], []
         for t in b.column("text").cast(pa.binary()).to_pylist():
             words = (t or b"").split()
@@ -81,7 +82,7 @@ def _scan(batches, k: int, a: int):
 
 def _paths(batches, k: int, a: int):
     squeeze = zstandard.ZstdCompressor()
-    for b in batches:
+    for b in pieces(batches, "text"):
         out = []
         for t, hit in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("hit")):
             words = t.split()
@@ -168,7 +169,7 @@ def runs_of(edges: DataFrame, placed: DataFrame) -> DataFrame:
 def _digests(batches, k: int):
     """Rows (k1, k2, ztext, asked) -> a row for each asked run with the digest of the words that stand there."""
     grow = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in pieces(batches, "ztext", 1 << 20):
         asked = b.column("asked")
         flat = asked.flatten()
         n = asked.value_lengths().to_numpy()
@@ -261,7 +262,7 @@ def covered(n: int, runs: list[dict], k: int) -> np.ndarray:
 
 def _cut(batches, k: int):
     grow = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in pieces(batches, "ztext", 1 << 20):
         out = []
         for z, runs in zip(b.column("ztext").to_pylist(), b.column("runs").to_pylist()):
             words = grow.decompress(z).split()

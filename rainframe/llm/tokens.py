@@ -122,3 +122,12 @@ def slices(texts: pa.Array, most: int = 8 << 20):
         n = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, "right")))
         yield texts.slice(at, n)
         at += n
+
+
+def pieces(batches, column: str, most: int = 4 << 20):
+    """Batches cut into parts with about `most` bytes in a column, or one row, each: what a task holds at once has a bound."""
+    for b in batches:
+        at = 0
+        for part in slices(b.column(column), most):
+            yield b.slice(at, len(part))
+            at += len(part)
