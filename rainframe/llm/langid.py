@@ -146,25 +146,32 @@ def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 4, words: int = 4
     rng = np.random.default_rng(seed)
     langs = sorted({x for x, _ in data})
     code = {x: i for i, x in enumerate(langs)}
-    seqs = [([w.encode() for w in ws], [code[lang]] * len(ws)) for lang, ws in data]
+    vocab: dict[bytes, int] = {}
+    seqs = []
+    while data:  # words become numbers one sequence after the other, so that they are held once
+        lang, ws = data.pop()
+        seqs.append((np.fromiter((vocab.setdefault(w.encode(), len(vocab)) for w in ws), np.int32, len(ws)), np.full(len(ws), code[lang], np.int8)))
+    seqs.reverse()
     for i in rng.permutation(len(seqs))[: len(seqs) // 2 if len(langs) > 1 else 0].tolist():  # code-switched
         a, b = seqs[i], seqs[int(rng.integers(len(seqs)))]
         k, j = int(rng.integers(len(a[0]) + 1)), int(rng.integers(len(b[0]) + 1))
-        seqs.append((a[0][:k] + b[0][j : j + words - k], a[1][:k] + b[1][j : j + words - k]))
-    seqs = [s for s in seqs if s[0]]
-    vocab: dict[bytes, int] = {}
-    ids = [[vocab.setdefault(w, len(vocab)) for w in s[0]] for s in seqs]
+        seqs.append(tuple(np.concatenate([x[:k], y[j : j + words - k]]) for x, y in zip(a, b)))
+    seqs = [s for s in seqs if len(s[0])]
+    ids = [s[0] for s in seqs]
     distinct = list(vocab)
     times = np.bincount(np.concatenate(ids), minlength=len(vocab))
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     often = np.argsort(-times, kind="stable")[:most_lexicon]
     lex_words = np.sort(h[often[times[often] >= least]])
     lex_of = lookup(lex_words, h)
-    g, owner = grams(distinct)
-    norm = 1 / np.sqrt(np.bincount(owner, minlength=len(distinct)))
-    ends = np.searchsorted(np.sort(owner), np.arange(len(distinct) + 1))
-    order = np.argsort(owner, kind="stable")
-    g = g[order]
+    parts = []
+    for at in range(0, len(distinct), 4096):
+        own, owner = grams(distinct[at : at + 4096])
+        parts.append((own[np.argsort(owner, kind="stable")].astype(np.int32), np.bincount(owner, minlength=len(distinct[at : at + 4096]))))
+    g, n_grams = (np.concatenate(x) for x in zip(*parts))
+    norm = 1 / np.sqrt(n_grams)
+    ends = np.concatenate([[0], np.cumsum(n_grams)])
+    del parts, vocab, distinct
 
     k = len(langs)
     gram, lex, move = np.zeros((BUCKETS, k)), np.zeros((len(lex_words) + 1, k)), np.zeros((k, k))
@@ -175,7 +182,7 @@ def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 4, words: int = 4
         for part in np.array_split(todo, max(1, len(todo) // 256)):
             x, y, mask = np.zeros((len(part), t), np.int64), np.zeros((len(part), t), np.int64), np.zeros((len(part), t), bool)
             for r, i in enumerate(part):
-                x[r, : len(ids[i])], y[r, : len(ids[i])], mask[r, : len(ids[i])] = ids[i], seqs[i][1], True
+                x[r, : len(ids[i])], y[r, : len(ids[i])], mask[r, : len(ids[i])] = *seqs[i], True
             used, inv = np.unique(x[mask], return_inverse=True)
             size = ends[used + 1] - ends[used]
             pos = np.repeat(ends[used] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
