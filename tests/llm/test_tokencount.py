@@ -26,11 +26,32 @@ def test_any_edits(text, edits):
     try:
         chars, tokens, _ = tokencount.build(to, text)
         got = tokencount.apply_edits(to, text, chars, tokens, edits)
+        want = edited(text, edits)
+        assert got.text == want
+        assert got.tokens == len(to.encoding.encode_ordinary(want)) == sum(got.leaf_tokens)
+        assert sum(got.leaf_chars) == len(want)
+        assert got.more == len(to.pattern.findall(want)) - len(to.pattern.findall(text))
+        again = tokencount.apply_edits(to, got.text, got.leaf_chars, got.leaf_tokens, edits)
     finally:
         tokencount.LEAF = leaf
-    want = edited(text, edits)
-    assert got.text == want
-    assert got.tokens == len(to.encoding.encode_ordinary(want))
+    want = edited(want, edits)
+    assert again.text == want
+    assert again.tokens == len(to.encoding.encode_ordinary(want))
+
+
+def test_leaves_stay_small():
+    to = tokencount.Counter.get(RANKS)
+    text, leaves = "", ([], [])
+    for n in range(60):  # each edit adds 40 pre-tokens at one place
+        done = tokencount.apply_edits(to, text, *leaves, [{"start": len(text) // 2, "length": 0, "text": " word" * 40}])
+        text, leaves = done.text, (done.leaf_chars, done.leaf_tokens)
+        at = 0
+        for size in leaves[0]:
+            assert len(to.pattern.findall(text[at : at + size])) <= 2 * tokencount.LEAF
+            at += size
+        assert done.remade < 50
+    assert sum(leaves[1]) == len(to.encoding.encode_ordinary(text))
+    assert len(leaves[0]) >= 60 * 40 // (2 * tokencount.LEAF)
 
 
 def test_query_matches_full_count(docs):
@@ -55,6 +76,19 @@ def test_edit_tables_and_stored_trees(spark, docs, tmp_path):
     assert {r.id for r in got if r.n_edits == 3} == set(range(8, 60))
 
 
+def test_second_round_over_stored_trees(spark, docs, tmp_path):
+    first = tokencount.recount(tokencount.build_trees(docs.select("doc_id", "text", tokencount.sample_edits().alias("edits"))))
+    first.select("id", "text", "tree.*").write.parquet(str(tmp_path / "first"))
+    stored = spark.read.parquet(str(tmp_path / "first"))
+    second = tokencount.recount(stored.withColumn("edits", tokencount.sample_edits()), id_col="id").collect()
+    to = tokencount.Counter.get(RANKS)
+    assert len(second) == docs.count()
+    for r in second:
+        pieces = to.pattern.findall(r.text)
+        assert r.n_tokens_after == r.tree.n_tokens == sum(r.tree.leaf_tokens) == len(to.encoding.encode_ordinary(r.text))
+        assert (r.tree.n_chars, sum(r.tree.leaf_chars), r.tree.n_pieces) == (len(r.text), len(r.text), len(pieces))
+
+
 def test_empty_table(nothing):
     assert tokencount.digests(nothing).count() == 0
 
