@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
+from . import decontaminate, filteraudit, hardneg, langid, packing, pagediff, quality, sharding, simhash, substring, tokencount, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +70,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op11_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its markup and by what it shares with the nearest pages of its host."""
+    return pagediff.digests(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, in all orders."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    return hardneg.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_archive, op2_substring_dedup, op3_mixture_packing, op4_simhash_dedup, op5_token_recount, op6_kd_sharding, op7_decontamination, op8_language_id, op9_quality_rules, op10_url_filter)
+    for f in (op1_warc_archive, op2_substring_dedup, op3_mixture_packing, op4_simhash_dedup, op5_token_recount, op6_kd_sharding, op7_decontamination, op8_language_id, op9_quality_rules, op10_url_filter, op11_page_differencing, op12_filter_interaction, op13_pivot_negatives)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +162,55 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
     """,
+    "op12_filter_interaction": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), d AS (
+            SELECT doc_id, part, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+            FROM w
+        ), l AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS x FROM labels GROUP BY doc_id
+        ), m AS (
+            SELECT part, mask, count(*) AS n, sum(coalesce(q, 0)) AS good, sum(coalesce(x, 0)) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY part, mask
+        ), f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+            FROM f a JOIN f b ON a.bit & b.bit = 0 JOIN f c ON (a.bit | b.bit) & c.bit = 0 JOIN f d ON (a.bit | b.bit | c.bit) & d.bit = 0
+            JOIN f e ON (a.bit | b.bit | c.bit | d.bit) & e.bit = 0
+        ), s AS (
+            SELECT filter_order, step, f.bit, (SELECT coalesce(sum(g.bit), 0) FROM f g WHERE instr(filter_order, g.letter) < step) AS before
+            FROM o, unnest(range(1, 6)) AS t(step), f WHERE f.letter = substr(filter_order, step, 1)
+        ), r AS (
+            SELECT part, filter_order, step, bit,
+                sum(CASE WHEN mask & (before::INT | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN mask & before::INT = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN mask & before::INT > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN mask & before::INT = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN mask & before::INT = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM m, s GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+    """,
+    "op13_pivot_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+    """,
 }
