@@ -13,8 +13,9 @@ in those, with their source coordinates (document key, first word). Where a run
 there are compared with those at the coordinates of the path's representative. Runs are put together to long
 spans, and their words are cut.
 
-Keys that occur in many documents are pre-aggregated before they are shuffled, and joins with them are plain equi-joins that
-adaptive execution can split; windows in Spark's sense hold one path of at most PATH edges."""
+Rows of one text are one text with its number of copies: copies add to how often a window occurs, and to nothing else until the
+result is dealt to the rows. Keys that occur in many documents are pre-aggregated before they are shuffled, and joins with them are plain equi-joins that
+adaptive execution can split; windows in Spark's sense hold one path of at most PATH edges, or the paths of one text."""
 
 from __future__ import annotations
 
@@ -24,10 +25,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, send_if_small
 from .tokens import pieces
 from .words import Spans, hash_words, sliding
 
@@ -35,9 +37,9 @@ PATH = 60  # edges in a path at most
 
 
 class Repeats(NamedTuple):
-    """base: a row per document; texts: a row per document with an anchor found elsewhere too; runs: for each
-    document key its verified runs (s: first word, len: windows, unit and at: the nonbranching path and the place in it).
-    k1, k2: the key."""
+    """base: a row per document; texts: a row per different text with an anchor found elsewhere too; runs: for each
+    text its verified runs (s: first word, len: windows, unit and at: the nonbranching path and the place in it).
+    k1, k2: the text's key."""
 
     base: DataFrame
     texts: DataFrame
@@ -50,6 +52,11 @@ def document_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
 
 
+def text_key(text_col: str) -> list[Column]:
+    """128 bits of the text."""
+    return [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2")]
+
+
 def anchors(x: Spans, k: int, a: int) -> tuple[np.ndarray, np.ndarray]:
     """Least hash of each window's a-word runs, and the hashes of all a-word runs."""
     h = x.windows(a)
@@ -81,8 +88,17 @@ def _scan(batches, k: int, a: int):
 
 
 def _paths(batches, k: int, a: int):
+    """The paths of each different text of a task; rid numbers the rows of all tasks."""
     squeeze = zstandard.ZstdCompressor()
+    seen: set[tuple[int, int]] = set()
+    rid = TaskContext.get().partitionId() << 40
     for b in pieces(batches, "text"):
+        new = []
+        for row, key in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist())):
+            if key not in seen:
+                seen.add(key)
+                new.append(row)
+        b = b.take(pa.array(new, pa.int64()))
         out = []
         for t, hit in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("hit")):
             words = t.split()
@@ -103,9 +119,10 @@ def _paths(batches, k: int, a: int):
         z, path, start, anchor, nodes = zip(*out) if out else [()] * 5
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in ("id", "k1", "k2")), pa.array(z, pa.binary()), pa.array(path, pa.list_(pa.binary())), pa.array([s.astype(np.int32) for s in start], pa.list_(pa.int32())), pa.array(anchor, longs), pa.array(nodes, pa.list_(longs))],
-            ["id", "k1", "k2", "ztext", "path", "start", "anchor", "nodes"],
+            [pa.array(np.arange(rid, rid + len(out))), *(b.column(c) for c in ("k1", "k2", "copies")), pa.array(z, pa.binary()), pa.array(path, pa.list_(pa.binary())), pa.array([s.astype(np.int32) for s in start], pa.list_(pa.int32())), pa.array(anchor, longs), pa.array(nodes, pa.list_(longs))],
+            ["rid", "k1", "k2", "copies", "ztext", "path", "start", "anchor", "nodes"],
         )
+        rid += len(out)
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -122,7 +139,7 @@ def edges_of(paths: DataFrame) -> DataFrame:
 def compact(edges: DataFrame, lone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places in repeated nonbranching paths (unit, at): of edges (path, n, i, u, v) that occur twice or more as u, v, home (the
     commonest path that holds the edge), h (its place there), start (where its segment starts there), unit, at; and of lone, whole
-    repeated paths (path, u, v, len), as path, len, unit, at."""
+    repeated paths (path, u, v, len, and k1, k2, start, where they stand first), as path, len, unit, at."""
     home = F.min(F.struct((-F.col("n")).alias("rare"), "path", "i")).alias("x")  # the commonest path: most occurrences are its own
     again = edges.groupBy("u", "v").agg(F.sum("n").alias("times"), home).where("times > 1")
     again = materialize(again.select("u", "v", F.col("x.path").alias("home"), F.col("x.i").alias("h")), "substring-edges")
@@ -136,24 +153,34 @@ def compact(edges: DataFrame, lone: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = materialize(joined.withColumn("seg", F.xxhash64("home", "start")), "substring-segments")
 
     segs = joined.groupBy("seg").agg(F.count("*").alias("len"), F.min_by("u", "h").alias("u"), F.max_by("v", "h").alias("v"))
-    whole = lone.select(F.xxhash64("path", F.lit(0)).alias("seg"), F.col("len").cast("long").alias("len"), "u", "v")
+    # lone paths that follow one another where they stand first are a segment from the outset
+    line = Window.partitionBy("k1", "k2").orderBy("start")
+    lone = lone.join(through, lone.u == through.node, "left").drop("node")
+    follows = F.col("through").isNotNull() & (F.lag(F.col("start") + F.col("len")).over(line) == F.col("start"))
+    lone = lone.withColumn("follows", F.coalesce(follows, F.lit(False))).withColumn("first", F.max(F.when(~F.col("follows"), F.col("start"))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    lone = lone.select("path", "len", "u", "v", "start", "first", F.xxhash64("k1", "k2", "first", F.lit("lone")).alias("seg"))
+    lone = materialize(lone, "substring-lone")
+    whole = lone.groupBy("seg").agg(F.sum("len").alias("len"), F.min_by("u", "start").alias("u"), F.max_by("v", "start").alias("v"))
     segs = segs.unionByName(whole)
     last = segs.select(F.col("v").alias("node"), F.col("seg").alias("head"), F.col("len").alias("far")).join(through, "node")
     after = segs.select("seg", F.col("u").alias("node")).join(last, "node").select("seg", "head", "far")
-    moving = materialize(after, "substring-pointers")  # segments with one before; all others are heads
-    known, left, before, done = moving, moving.count(), -1, None
+    count = Observation()
+    moving = materialize(after.observe(count, F.count("*").alias("left")), "substring-pointers")  # segments with one before; all others are heads
+    known, left, before, done = moving, count.get["left"], -1, None
     while left and left != before:  # each round ends some segments of every chain; when none ends, circles are left
         further = known.select(F.col("seg").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
-        met = materialize(moving.join(further, "head", "left").select("seg", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far"), F.col("next").isNotNull().alias("moves")), "substring-pointers")
+        met = moving.join(further, "head", "left").select("seg", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far"), F.col("next").isNotNull().alias("moves"))
+        count = Observation()
+        met = materialize(met.observe(count, F.count_if("moves").alias("left")), "substring-pointers")
         at_end = met.where("not moves").drop("moves")
         done = at_end if done is None else done.unionByName(at_end)
         moving = met.where("moves").drop("moves")
-        known, before, left = done.unionByName(moving), left, moving.count()
+        known, before, left = done.unionByName(moving), left, count.get["left"]
     # segments of circles stay as they are
     heads = done if done is not None else moving
     far = F.coalesce("far", F.lit(0).cast("long"))
     placed = joined.join(heads, "seg", "left").select("u", "v", "home", "h", "start", F.coalesce("head", "seg").alias("unit"), (far + F.col("h") - F.col("start")).cast("int").alias("at"))
-    lone = lone.select("path", "len", F.xxhash64("path", F.lit(0)).alias("seg")).join(heads, "seg", "left").select("path", "len", F.coalesce("head", "seg").alias("unit"), far.cast("int").alias("at"))
+    lone = lone.join(heads, "seg", "left").select("path", "len", F.coalesce("head", "seg").alias("unit"), (far + F.col("start") - F.col("first")).cast("int").alias("at"))
     return placed, lone
 
 
@@ -187,16 +214,15 @@ def _digests(batches, k: int):
 RUN = "k1 bigint, k2 bigint, s int, len int, home binary, h int, unit bigint, at int, shows boolean, dig binary"
 
 
-def verified(texts: DataFrame, each: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """k1, k2, s, len, unit, at of runs in documents. Runs of the home path itself are known by its digest; of any other path
-    those whose words are those of the home path's representative, the occurrence with the least document key and first word."""
+def verified(texts: DataFrame, each: DataFrame, firsts: DataFrame, runs: DataFrame, k: int) -> DataFrame:
+    """k1, k2, s, len, unit, at of runs in texts. firsts: where each path stands first (path, k1, k2, start). Runs of the home path itself are known by its digest; of any other path
+    those whose words are those of the home path's representative, the occurrence with the least key and first word."""
     placed = lambda r: each.join(r, "path")
     own = placed(runs.where("path = home")).select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "unit", "at")
     runs = runs.where("path != home")
     found = placed(runs).select("k1", "k2", (F.col("start") + F.col("i")).alias("s"), "len", "home", "h", "unit", "at", F.lit(False).alias("shows"))
     shown = runs.groupBy("home", "h", "len").agg(F.first("unit").alias("unit"), F.first("at").alias("at"))
-    homes = each.join(shown.select(F.col("home").alias("path")).distinct(), "path").groupBy(F.col("path").alias("home")).agg(F.min(F.struct("k1", "k2", "start")).alias("x"))
-    shown = shown.join(homes, "home").select("x.k1", "x.k2", (F.col("x.start") + F.col("h")).alias("s"), "len", "home", "h", "unit", "at", F.lit(True).alias("shows"))
+    shown = shown.join(firsts.withColumnRenamed("path", "home"), "home").select("k1", "k2", (F.col("start") + F.col("h")).alias("s"), "len", "home", "h", "unit", "at", F.lit(True).alias("shows"))
     asked = found.unionByName(shown).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "len", "home", "h", "unit", "at", "shows")).alias("asked"))
     digs = texts.select("k1", "k2", "ztext").join(asked, ["k1", "k2"]).mapInArrow(lambda it: _digests(it, k), RUN)
     digs = materialize(digs, "substring-digests")
@@ -208,33 +234,39 @@ def verified(texts: DataFrame, each: DataFrame, runs: DataFrame, k: int) -> Data
 def find_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Repeats:
     """Windows of k words that start at two places or more of all texts, the same text included.
 
-    Null texts have no words; texts under k words have no window; rows alike in id and text are repeats
-    of each other; any other columns are ignored, whatever their names; an empty table gives empty results."""
+    Null texts have no words; texts under k words have no window; rows alike in text, or in id and text, are repeats
+    of each other, one text with a count in all that follows; any other columns are ignored, whatever their names; an empty table gives empty results."""
     if not 1 <= anchor <= k or k < 2:
         raise ValueError("k must be two words at least, and anchor between 1 and k")
-    rows = docs.select(F.col(id_col).alias("id"), *document_key(id_col, text_col), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), *text_key(text_col), F.col(text_col).alias("text"))
     of_id = f"id {docs.schema[id_col].dataType.simpleString()}, k1 bigint, k2 bigint"
     base = materialize(rows.mapInArrow(lambda it: _scan(it, k, anchor), f"{of_id}, n_words bigint, sha string, anchors array<bigint>, twice array<bigint>"), "substring-base")
 
     found = base.select("k1", "k2", F.explode("anchors").alias("anchor"))
     often = base.select(F.explode(F.concat("anchors", "twice")).alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
-    hit = found.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("hit"))
+    hit = found.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("hit"), F.count("*").alias("n"))
+    hit = hit.select("k1", "k2", "hit", F.expr("n div size(hit)").alias("copies"))  # every row of a text has all its anchors once
     texts = rows.where(F.octet_length("text") >= 2 * k - 1).join(hit, ["k1", "k2"])
-    texts = materialize(texts.mapInArrow(lambda it: _paths(it, k, anchor), f"{of_id}, ztext binary, path array<binary>, start array<int>, anchor array<bigint>, nodes array<array<bigint>>"), "substring-paths")
-
-    zipped = lambda *c: texts.select("k1", "k2", F.explode(F.arrays_zip(*c)).alias("p")).select("k1", "k2", "p.*")
-    paths = zipped("path", "anchor", "nodes").groupBy("path").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("nodes").alias("nodes"))
+    kinds = "rid bigint, k1 bigint, k2 bigint, copies bigint, ztext binary, path array<binary>, start array<int>, anchor array<bigint>, nodes array<array<bigint>>"
+    texts = materialize(texts.mapInArrow(lambda it: _paths(it, k, anchor), kinds), "substring-paths")
+    turn = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("rid"))  # a row for each task that met the text
+    surplus = materialize(texts.select("rid", "k1", "k2").withColumn("turn", turn).where("turn > 1").select("rid"), "substring-surplus")
+    texts = texts.join(send_if_small(surplus), "rid", "left_anti")
+
+    zipped = lambda *c: texts.select("k1", "k2", "copies", F.explode(F.arrays_zip(*c)).alias("p")).select("k1", "k2", "copies", "p.*")
+    stands = F.min(F.struct("k1", "k2", "start")).alias("at")
+    paths = zipped("path", "start", "anchor", "nodes").groupBy("path").agg(F.sum("copies").alias("n"), stands, F.first("anchor").alias("anchor"), F.first("nodes").alias("nodes"))
     paths = materialize(paths, "substring-distinct")
     branching = paths.groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("parts"))
     circles = F.size(F.array_distinct("nodes")) < F.size("nodes")
     ends = [F.get("nodes", F.lit(0)).alias("u"), F.element_at("nodes", -1).alias("v"), (F.size("nodes") - 1).alias("len")]
     paths = paths.join(branching, "anchor", "left").withColumn("parts", F.coalesce("parts", circles)).where("parts or n > 1")
-    paths = materialize(paths.select("path", "n", "parts", *ends, F.when(F.col("parts"), F.col("nodes")).alias("nodes")), "substring-kinds")
-    lone = paths.where("not parts").select("path", "u", "v", "len")
+    paths = materialize(paths.select("path", "n", "parts", "at.*", *ends, F.when(F.col("parts"), F.col("nodes")).alias("nodes")), "substring-kinds")
+    lone = paths.where("not parts").select("path", "u", "v", "len", "k1", "k2", "start")
     edges = edges_of(paths.where("parts"))
     placed, lone = compact(edges, lone)
-    each = zipped("path", "start")
-    runs = verified(texts, each, materialize(runs_of(edges, placed), "substring-runs"), k)
+    each = zipped("path", "start").drop("copies")
+    runs = verified(texts, each, paths.select("path", "k1", "k2", "start"), materialize(runs_of(edges, placed), "substring-runs"), k)
     runs = runs.unionByName(each.join(lone, "path").select("k1", "k2", F.col("start").alias("s"), "len", "unit", "at"))
     runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "len", "unit", "at")).alias("runs"))
     return Repeats(base, texts, materialize(runs, "substring-spans"), k)
@@ -268,16 +300,16 @@ def _cut(batches, k: int):
             words = grow.decompress(z).split()
             gone = covered(len(words), runs, k)
             kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-        n, r, s, t = zip(*out) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], ["id", "k1", "k2", "n_words", "n_removed", "sha", "kept"])
+            out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        r, s, t = zip(*out) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2")), pa.array(r, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], ["k1", "k2", "n_removed", "cut_sha", "kept"])
 
 
 def cut_texts(found: Repeats) -> DataFrame:
-    """id, k1, k2, n_words, n_removed, sha and kept (the words left, joined by one space) of every document that loses words."""
-    k, of_id = found.k, f"id {found.base.schema['id'].dataType.simpleString()}, k1 bigint, k2 bigint"
-    both = found.texts.select("id", "k1", "k2", "ztext").join(found.runs, ["k1", "k2"])
-    return both.mapInArrow(lambda it: _cut(it, k), f"{of_id}, n_words bigint, n_removed bigint, sha string, kept string")
+    """k1, k2, n_removed, cut_sha and kept (the words left, joined by one space) of every text that loses words; empty where none does."""
+    k = found.k
+    both = found.texts.select("k1", "k2", "ztext").join(found.runs, ["k1", "k2"])
+    return both.mapInArrow(lambda it: _cut(it, k), "k1 bigint, k2 bigint, n_removed bigint, cut_sha string, kept string")
 
 
 def repeated_spans(found: Repeats) -> DataFrame:
@@ -291,19 +323,18 @@ def repeated_spans(found: Repeats) -> DataFrame:
             row = pa.array(np.repeat(np.arange(b.num_rows), [len(s) for s in spans]), pa.int64())
             flat = [x for s in spans for x in s]
             longs = [pa.array([x[j] + (k - 1 if j == 1 else 0) for x in flat], pa.int64()) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(row), *longs], ["id", "first_word", "n_words", "unit", "place"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("k1", "k2")), *longs], ["k1", "k2", "first_word", "n_words", "unit", "place"])
 
-    both = found.texts.select("id", "k1", "k2").join(found.runs, ["k1", "k2"])
-    return both.mapInArrow(run, f"id {found.base.schema['id'].dataType.simpleString()}, first_word bigint, n_words bigint, unit bigint, place bigint")
+    spans = found.runs.mapInArrow(run, "k1 bigint, k2 bigint, first_word bigint, n_words bigint, unit bigint, place bigint")
+    return found.base.select("id", "k1", "k2").join(spans, ["k1", "k2"]).drop("k1", "k2")
 
 
 def remove_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated windows cut from text_col and n_removed added, in place of a column of that name; texts that lose
-    none stay as they are, null texts too. Rows alike in id and text are repeats of each other and lose all their windows;
+    none stay as they are, null texts too. Rows alike in text are repeats of each other and lose all their windows;
     rows of one id with unlike texts are documents of their own; an empty table stays empty."""
-    found = find_repeats(docs, k, anchor, id_col, text_col)
-    cut = cut_texts(found).select(F.struct("k1", "k2").alias("cut_key"), "kept", F.col("n_removed").alias("gone")).dropDuplicates(["cut_key"])
-    keyed = docs.select(F.struct("*").alias("row"), F.struct(*document_key(id_col, text_col)).alias("key"))
+    cut = cut_texts(find_repeats(docs, k, anchor, id_col, text_col)).select(F.struct("k1", "k2").alias("cut_key"), "kept", F.col("n_removed").alias("gone"))
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(*text_key(text_col)).alias("key"))
     joined = keyed.join(cut, F.col("key") == F.col("cut_key"), "left")
     of = lambda c: F.col("row").getField(c)
     return joined.select(*((F.coalesce("kept", of(c)) if c == text_col else of(c)).alias(c) for c in docs.columns if c != "n_removed"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))
@@ -312,5 +343,6 @@ def remove_repeats(docs: DataFrame, k: int = 35, anchor: int = 12, id_col: str =
 def digests(docs: DataFrame, k: int = 35, anchor: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     found = find_repeats(docs, k, anchor)
-    left = found.base.join(found.runs.select("k1", "k2"), ["k1", "k2"], "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
-    return left.unionByName(cut_texts(found).select("id", "n_words", "n_removed", "sha")).toDF("doc_id", "n_words", "n_removed", "kept_sha256")
+    cut = cut_texts(found).select("k1", "k2", "n_removed", "cut_sha")
+    rows = found.base.select("id", "k1", "k2", "n_words", "sha").join(cut, ["k1", "k2"], "left")
+    return rows.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

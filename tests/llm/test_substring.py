@@ -35,6 +35,19 @@ def test_empty_table(nothing):
     assert substring.digests(nothing).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 2000, list(range(2000))])
+def test_rows_alike_in_text_are_one_text(spark, ids):
+    """2000 rows of one text, with null ids or their own: work and intermediate rows don't grow with their number."""
+    text, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(90, 130))
+    rows = [(i, text) for i in ids] + [(-1, f"{other} end"), (-2, "w1 w2"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = substring.find_repeats(docs)
+    assert found.texts.count() == 2 and found.runs.count() == 2
+    assert found.runs.selectExpr("max(size(runs))").first()[0] < 40
+    got = sorted(map(tuple, substring.digests(docs).collect()), key=str)
+    assert got == sorted(brute(rows, 35), key=str)
+
+
 def test_long_spans_are_places_of_one_nonbranching_path(spark):
     """A passage of 300 words in three texts, of 120 of them in a fourth, and a text that repeats ten words for long."""
     passage = [f"p{i}" for i in range(300)]
