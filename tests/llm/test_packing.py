@@ -72,16 +72,53 @@ def test_every_window_has_the_mixture(docs):
     assert max(off) < 0.02
 
 
-def test_deficits_are_carried_across_buckets(spark):
-    """A bucket that begins with a source in arrears serves it first."""
-    sums = spark.createDataFrame([(0, "a", 100), (0, "b", 300), (1, "a", 300), (1, "b", 100), (1030, "a", 10)], "bucket long, source string, n long")
-    got = {(r.bucket, r.source): (r.base, round(r.deficit, 6)) for r in packing.plan_buckets(sums, None).collect()}
-    assert got[0, "a"] == (0, 0) and got[1, "a"][0] == 400 and got[1030, "a"][0] == 800
-    assert got[1, "a"][1] == round(410 / 810 * 400 - 100, 6) and got[1, "b"][1] == round(400 / 810 * 400 - 300, 6)
-    docs = pa.table({"id": [1, 2], "source": ["a", "b"], "n": [40, 40], "ids": [np.arange(40, dtype="<u2").tobytes()] * 2})
-    plan = pa.table({"source": ["a", "b"], "weight": [0.5, 0.5], "deficit": [12.0, -12.0], "base": [0, 0]})
-    first = packing._pack(docs, plan, 32, np.dtype("<u2")).to_pylist()
-    assert sum(r["length"] for r in first if r["sequence_id"] == 0 and r["source"] == "a") == 28
+@pytest.mark.parametrize("bucket", [700, 5000, 1 << 20])
+def test_targets_other_than_the_corpus_hold_until_a_source_ends(spark, bucket):
+    """Nine in ten documents are of a: every window is half and half until b runs out, in any number of buckets; c has no target."""
+    rows = [(i, "word " * (20 + i % 7), "a" if i % 10 else "b") for i in range(1000)] + [(i, "last " * 10, "c") for i in range(1000, 1010)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(df, 256, {"a": 0.5, "b": 0.5, "none": 1.0}, bucket).collect()
+    by, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in got:
+        by[r.sequence_id][r.source] += r.length
+        total[r.source] += r.length
+    until = 2 * total["b"] // 256
+    assert until > 10 and all(abs(by[k]["b"] / 256 - 0.5) < 0.02 for k in range(until))
+    assert all(by[k]["a"] == 256 for k in range(until + 1, (total["a"] + total["b"]) // 256))
+    assert all(sum(by[k].values()) == 256 for k in range(len(by) - 1))
+    assert sum(by[k]["c"] for k in range((total["a"] + total["b"]) // 256)) == 0 and total["c"]
+
+
+def test_pieces_follow_a_plain_round_robin(spark):
+    """In each window a source's tokens are those of a plain loop over windows with deficits, one token at most apart."""
+    rows = [(i, "x " * (i % 40), f"s{i % 5 % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    weights = {"s0": 1.0, "s1": 2.0, "s2": 5.0}
+    got = defaultdict(lambda: defaultdict(int))
+    left = defaultdict(int)
+    for r in packing.pack(df, 128, weights, 1000).collect():
+        got[r.sequence_id][r.source] += r.length
+        left[r.source] += r.length
+    owed = dict.fromkeys(weights, 0.0)
+    for k in range(len(got) - 1):
+        if min(left.values()) < 128:
+            break
+        for s, w in weights.items():
+            owed[s] += 128 * w / 8
+            assert abs(owed[s] - got[k][s]) < 4
+            owed[s] -= got[k][s]
+            left[s] -= got[k][s]
+    assert k > 10
+
+
+def test_knots():
+    xs, ys, rest = packing.knots({"a": 900, "b": 100}, {"a": 1.0, "b": 1.0}, 50)
+    assert xs == [0, 200, 1000, 1050] and ys == {"a": [0, 100, 900, 900], "b": [0, 100, 100, 100]} and rest == [0, 0, 0, 50]
+    assert packing.knots({}, {"a": 1.0}, 7) == ([0, 7], {}, [0, 7])
+    plan = packing.Plan(xs, ys["a"])
+    for size in (7, 64, 999, 5000):
+        at = [plan.bucket(t, size) for t in range(900)]
+        assert at == sorted(at) and all(plan.upto(k * size) <= t < plan.upto((k + 1) * size) for t, k in enumerate(at))
 
 
 def test_shares():
