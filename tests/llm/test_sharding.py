@@ -48,5 +48,13 @@ def test_slots(docs, per_block):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_many_leaves(spark):
+    """512 leaves of 20,000 rows, none over its part by more than a document a level; ids of equal rows spread over the blocks of slots."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', cast(20 + id % 61 AS int)) AS text", "concat('l', id % 3) AS lang", "concat('s', id % 7) AS source")
+    got = sharding.kd_tree(df, 512).groupBy("shard").agg({"size": "sum", "*": "count"}).toDF("shard", "size", "n").toPandas()
+    assert len(got) == 512 and got.n.sum() == 20_000
+    assert (got["size"] - got["size"].sum() / 512).abs().max() <= 9 * 81
+
+
 def test_empty_table(nothing):
     assert sharding.digests(nothing).count() == 0
