@@ -1,8 +1,8 @@
 """Readers of grids and tables, named reader settings, and the format that a path holds.
 
 Text and Parquet go through Spark's own readers. Flat binary rasters come as whole files and are decoded in Arrow batches.
-GeoTIFF is decoded file by file in the tasks where rasterio is there, classic NetCDF without any library. NetCDF-4, HDF and GRIB are
-recognised but not decoded here: convert them to Parquet first; the error says so."""
+GeoTIFF is decoded file by file in the tasks where rasterio is there, NetCDF and HDF5 without any library, in blocks of time steps. HDF4 and
+GRIB are recognised but not decoded here: convert them to Parquet first; the error says so."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import finite
-from .netcdf import read_netcdf
+from .gridfile import read_file_grids
 
 #: Formats by file ending: fixed values.
 ENDINGS = {"nc": "netcdf", "nc4": "netcdf", "tif": "geotiff", "tiff": "geotiff", "grb": "grib", "grb2": "grib", "grib": "grib", "grib2": "grib", "h5": "hdf", "hdf5": "hdf", "hdf": "hdf", "he5": "hdf", "bin": "raw", "dat": "raw", "raw": "raw", "parquet": "parquet", "csv": "csv"}
-LIBRARY = {"netcdf": "netCDF4", "hdf": "h5py", "grib": "cfgrib", "geotiff": "rasterio"}
+LIBRARY = {"grib": "cfgrib", "geotiff": "rasterio"}
 _registry: dict[str, dict] = {}
 
 
@@ -192,8 +192,8 @@ def read_grid(spark: SparkSession, path: str, product: str | None = None, meta:
         return read_binary(spark, path, meta, spec.get("pattern"))
     if kind == "geotiff":
         return read_geotiff(spark, path, **spec)
-    if kind in ("netcdf", "netcdf_gz"):
-        return read_netcdf(spark, path, **spec)
+    if kind in ("netcdf", "netcdf_gz", "hdf"):
+        return read_file_grids(spark, path, **spec)
     raise ValueError(f"no reader for {path} ({kind}); convert it to Parquet with {LIBRARY[kind]} first" if kind in LIBRARY else f"no reader for {path} ({kind})")
 
 

@@ -42,8 +42,8 @@ def test_flat_rasters(spark, tmp_path):
     assert {(r.lat, r.lon) for r in rows if r.cell_id == 5} == {(10.5, 3.0)}
     with pytest.raises(Exception, match="asks for"):
         readers.read_binary(spark, str(tmp_path / "*.bin"), meta | {"shape": [3, 3], "lat_start": 0, "lon": [1, 2, 3]}).collect()
-    with pytest.raises(ValueError, match="h5py"):
-        readers.read_grid(spark, "x.h5")
+    with pytest.raises(ValueError, match="cfgrib"):
+        readers.read_grid(spark, "x.grb2")
     with pytest.raises(ValueError):
         readers.read_grid(spark, "x.bin")
 
