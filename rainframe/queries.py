@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lineage import written
 from .operators import align, charts, drought, evaluate, extremes, fusion, learn, ranking, regions, regrid, resample, select, windows
 from .plans import views as v
 from .plans.views import OFF_TIES
-from .sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -520,12 +520,41 @@ def fused_in_two_stages(spark, d):
     return learn.fuse_two_stage(v.monthly_wide(spark, d), v.FLAGS, v.zones(spark, d), cfg=cfg).withColumn("time", F.to_date("time"))
 
 
+@query()
+def fused_by_forest(spark, d):
+    wide, zones = v.monthly_wide(spark, d), v.zones(spark, d)
+    models = written(learn.fit_by_zone(wide, v.FLAGS, zones, least=100), "zone-forests")
+    return learn.predict_by_zone(wide, v.FLAGS, zones, models).withColumn("time", F.to_date("time"))
+
+
+@query()
+def corrected_product(spark, d):
+    return learn.correct_product(v.sim(spark, d), v.obs(spark, d), v.cells(spark, d)).withColumn("time", F.to_date("time"))
+
+
+@query()
+def bayesian_weights(spark, d):
+    got = fusion.bayesian_average(v.monthly_wide(spark, d), v.FLAGS, v.zones(spark, d), LEAST)
+    return got.select("zone_id", "month", "weights", "sig2")
+
+
+PLACES = ", ".join(str(i / 20) for i in range(21))
+OF_COLUMN = "SELECT zone_id, mon, {i} AS k, unnest(quantile_cont({c}, [{at}])) AS value, unnest(range(21)) AS i FROM full_ GROUP BY 1, 2 HAVING count(*) >= {least}"
+
+
+@query(f"WITH {ZM}, q AS ({' UNION ALL '.join(OF_COLUMN.format(i=i, c=c, at=PLACES, least=LEAST) for i, c in enumerate(('a', 'n', 'r', 'ref')))}) SELECT zone_id, mon::INT AS month, k, i::INT AS i, round(value, 6) + 0.0 AS value FROM q")
+def quantiles_by_zone_and_month(spark, d):
+    got = fusion.quantile_tables(v.monthly_wide(spark, d), v.FLAGS, v.zones(spark, d), LEAST, 21)
+    flat = got.select("zone_id", "month", F.posexplode(F.concat("xq", F.array("yq"))).alias("k", "q"))
+    return flat.select("zone_id", "month", "k", F.posexplode("q").alias("i", "value"))
+
+
 @query(f"WITH {PAIRS}, s AS (SELECT cell_id, month(d) AS mon, CASE WHEN sum(sim) < 0.1 AND sum(obs) < 0.1 THEN 1 ELSE least(greatest(sum(obs) / (sum(sim) + 1e-6), 0.3), 3) END AS k FROM pairs GROUP BY 1, 2) SELECT d AS time, cell_id, round(sim * k, 6) AS value FROM pairs JOIN s ON pairs.cell_id = s.cell_id AND month(d) = mon".replace("SELECT d AS time, cell_id,", "SELECT d AS time, pairs.cell_id,"))
 def monthly_volume_constraint(spark, d):
     return learn.volume_scale(v.sim(spark, d), v.obs(spark, d)).withColumn("time", F.to_date("time"))
 
 
-# ---- frames for charts, and the catalogue of sources
+# ---- frames for charts
 
 @query(f"WITH {PPAIRS} SELECT product, round(stddev_samp(obs), 6) AS ref_std, round(stddev_samp(sim), 6) AS std, round({CORR}, 6) AS corr, round(acos(least(greatest({CORR}, -1), 1)), 6) AS theta FROM pp GROUP BY 1")
 def taylor_frame(spark, d):
@@ -549,6 +578,3 @@ def daily_event_totals(spark, d):
     return daily_totals(v.table(spark, d, "events"))
 
 
-@query()
-def precipitation_sources(spark, d):
-    return catalog.sources(spark, "precipitation")

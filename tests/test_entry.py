@@ -28,7 +28,7 @@ def test_queries_match_their_sql(spark, name):
 
 def test_all_sql_can_be_run():
     con = duckdb.connect()
-    for t in ("lineitem", "supplier", "nation", "region", "orders", "customer", "events", "documents", "pages", "benchmark"):
+    for t in ("lineitem", "supplier", "nation", "region", "orders", "customer", "events", "documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in entry.oracle_sql().items():
         con.execute("EXPLAIN " + sql), name
