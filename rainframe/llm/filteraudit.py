@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE = 32 << 20  # characters of different texts that a task chains at once before they are routed
+ROUTED = 64 << 20  # bytes of text that a partition of the routed pairs holds on average at most
 
 
 class Text(NamedTuple):
@@ -98,11 +99,13 @@ def _settled(pairs: Iterator, seen: int) -> Iterator[tuple]:
 
 
 def masks(docs: DataFrame, filters: dict = FILTERS, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", partitions: int | None = None) -> RDD:
-    """(id, part, mask, rows) of all documents; rows alike in id, part and text may be one entry."""
+    """(id, part, mask, rows) of all documents; rows alike in id, part and text may be one entry. The texts' bytes are counted first, and
+    set the number of partitions at least."""
     conditions = list(filters.values())
     seen = sum(1 << b for b, fails in enumerate(conditions) if fails is None)
     rows = docs.select(F.col(id_col), F.col(text_col), F.col(part_col).cast("string")).rdd
-    n = partitions or max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = 0 if partitions else docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = partitions or max(-(-size // ROUTED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     most = SLICE
     pairs = rows.mapPartitions(lambda x: _chained(x, conditions, seen, most))
     return pairs.repartitionAndSortWithinPartitions(n, lambda key: key[0] % n).mapPartitions(lambda x: _settled(x, seen))
