@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+_made: list[str] = []  # tables of this process, oldest first
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, below a folder of this application, so that clear() finds it."""
-    return f"{shared_dir(spark)}/rainframe/{_session(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/rainframe/{_session(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def _session(spark: SparkSession) -> str:
@@ -49,8 +51,23 @@ def send_if_small(written: DataFrame, row_bytes: int = 24) -> DataFrame:
     return F.broadcast(written) if written.count() * row_bytes <= MOST_SENT else written
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove all tables that this session's operators wrote to the shared folder; their results must be written by then."""
-    where = f"{shared_dir(spark)}/rainframe/{_session(spark)}"
+def written() -> int:
+    """How many tables this process has written so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Remove the tables written since then, but for the last one, on which what follows rests."""
+    for path in _made[since:-1]:
+        _remove(spark, path)
+    _made[since:-1] = []
+
+
+def _remove(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this session's operators wrote to the shared folder; their results must be written by then."""
+    _remove(spark, f"{shared_dir(spark)}/rainframe/{_session(spark)}")
