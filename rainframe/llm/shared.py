@@ -33,12 +33,13 @@ def _session(spark: SparkSession) -> str:
     return spark.sparkContext.applicationId
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later stages start from files that
-    outlive any executor, and nothing before them runs twice."""
+def materialize(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder (in folders by a column, if one is named) and read it back: later stages start from
+    files that outlive any executor, and nothing before them runs twice."""
     spark = df.sparkSession
     path = fresh_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

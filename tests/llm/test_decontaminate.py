@@ -96,3 +96,31 @@ def test_empty_tables(spark, docs, nothing):
     none = spark.createDataFrame([], ITEM)
     assert decontaminate.digests(nothing, none).count() == 0
     assert decontaminate.digests(docs, none).where("n_hit != 0 or contaminated").count() == 0
+
+
+def test_a_search_reads_ranges_of_the_lists(spark, docs):
+    index = decontaminate.build_index(docs)
+    terms = {b"nation", b"rain", b"the"}
+    plan = decontaminate.asked_lists(index, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "kind#" in plan.split("PartitionFilters: [")[1].split("]")[0] and plan.count("EqualTo(term,") + plan.count("EqualTo(term,[") >= 3
+    got = decontaminate.asked_lists(index, terms).collect()
+    want = index.where("term is null or term in (cast('nation' as binary), cast('rain' as binary), cast('the' as binary))").collect()
+    key = lambda r: (r.seg, bytes(r.term or b""), bytes(r.places or b""), r.n_words)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and any(r.term for r in got)
+    assert all(r.term is None for r in decontaminate.asked_lists(index, set()).collect())
+
+
+def test_ranges_hold_all_terms():
+    terms = sorted(str(i).encode() for i in range(1000))
+    for most in (1, 7, 128, 5000):
+        ranges = decontaminate.ranges_of(terms, most)
+        assert len(ranges) <= most and all(any(a <= t <= b for a, b in ranges) for t in terms)
+    assert decontaminate.ranges_of([]) == [] and decontaminate.ranges_of(terms[:3]) == [(t, t) for t in terms[:3]]
+
+
+def test_items_by_windows_whose_words_are_there():
+    items = [("a", b"p q r s t".split()), ("b", b"q".split()), ("c", b"r s x".split()), ("d", b"p q x".split())]
+    w = decontaminate.Windows(items, 3)
+    assert w.items_in({b"q", b"r", b"s"}) == [0, 1] and w.items_in({b"x", b"r", b"s", b"z"}) == [2] and w.items_in(set()) == []
+    assert w.items_in({b"p", b"q", b"r", b"x"}) == [0, 1, 3]
+    assert decontaminate.Windows([], 3).items_in({b"q"}) == []
