@@ -2,8 +2,8 @@
 
 Texts are cut into segments of a few megabytes, in which a word's place is a number (with a gap after each text, so
 that no match runs over an end). The index has a row for each term and segment with the term's places, a posting list,
-and for each segment a row that names its texts, in a folder of its own. The lists are dealt by term, a frequent term's
-segments to several partitions, sorted by term and written once to the shared folder.
+and for each segment a row that names its texts. The lists are dealt by term, a frequent term's
+segments to several partitions, sorted by term (segments' own rows first) and written once to the shared folder.
 
 A search takes a block of test items. Of the lists, the scan gets ranges of terms and skips pages of files without any (a
 block of up to RANGES terms has a range for each). The lists meet again by segment; there the items with a window
@@ -28,11 +28,11 @@ from .tokens import slices
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
 SEGMENT_BYTES = 4 << 20  # of text in a segment, or one text
-RANGES = 128  # ranges of terms that a scan of the index takes
+RANGES = 16  # ranges of terms that a scan of the index takes
 GAP = 2  # places between two texts of a segment
 SPREAD = 16  # partitions that share a term's lists
 MOST_SENT = 64 << 20  # bytes of a block's terms up to which they are broadcast
-INDEX = "kind string, seg bigint, term binary, places binary, ids array<{id}>, n_words array<bigint>"
+INDEX = "seg bigint, term binary, places binary, ids array<{id}>, n_words array<bigint>"
 HITS = "seg bigint, i int, spans array<struct<s:bigint,e:bigint>>, items array<string>, near array<string>"
 
 
@@ -76,23 +76,23 @@ def _index(batches, segment_bytes: int):
             order = np.argsort(term, kind="stable")
             terms = coded.dictionary.cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["segment"]), pa.array([seg]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([n.tolist()], pa.list_(pa.int64()))],
-                ["kind", "seg", "term", "places", "ids", "n_words"],
+                [pa.array([seg]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([n.tolist()], pa.list_(pa.int64()))],
+                ["seg", "term", "places", "ids", "n_words"],
             )
             if len(terms):
                 lists = pack_lists(place[order], np.cumsum(np.bincount(term, minlength=len(terms))))
                 none = [pa.nulls(len(terms), pa.list_(k)) for k in (own.type, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(["list"]).take(pa.array(np.zeros(len(terms), np.int64))), pa.array(np.full(len(terms), seg)), terms, lists, *none], ["kind", "seg", "term", "places", "ids", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), seg)), terms, lists, *none], ["seg", "term", "places", "ids", "n_words"])
             seg += 1
 
 
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of all words of all texts, written in folders by kind (list or segment) and read back. Null and wordless texts are named and have no word; rows that
+    """The index of all words of all texts, written and read back. Null and wordless texts are named and have no word; rows that
     repeat an id are texts of their own; other columns are ignored; an empty table has no segment."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = rows.mapInArrow(lambda it: _index(it, segment_bytes), INDEX.format(id=docs.schema[id_col].dataType.simpleString()))
     share = F.when(F.col("term").isNull(), F.col("seg")).otherwise(F.pmod("seg", F.lit(SPREAD)))
-    return materialize(made.repartition("term", share).sortWithinPartitions("kind", "term", "seg"), "decontaminate-index", "kind")
+    return materialize(made.repartition("term", share).sortWithinPartitions("term", "seg"), "decontaminate-index")
 
 
 def ranges_of(terms: list[bytes], most: int = RANGES) -> list[tuple[bytes, bytes]]:
@@ -102,12 +102,13 @@ def ranges_of(terms: list[bytes], most: int = RANGES) -> list[tuple[bytes, bytes
 
 
 def _in_ranges(ranges: list[tuple[bytes, bytes]]) -> Column:
-    """Whether a term lies in a range; halves are joined, so that the expression is as deep as the ranges' logarithm."""
-    if len(ranges) < 2:
-        own = [F.col("term") == F.lit(bytearray(a)) if a == b else (F.col("term") >= F.lit(bytearray(a))) & (F.col("term") <= F.lit(bytearray(b))) for a, b in ranges]
-        return own[0] if own else F.lit(False)
+    """Whether a term lies in a range. Halves are asked only within their own bounds, so a row meets as many as the ranges' logarithm."""
+    if not ranges:
+        return F.lit(False)
+    first, last = ranges[0][0], ranges[-1][1]
+    own = F.col("term") == F.lit(bytearray(first)) if first == last else (F.col("term") >= F.lit(bytearray(first))) & (F.col("term") <= F.lit(bytearray(last)))
     mid = len(ranges) // 2
-    return _in_ranges(ranges[:mid]) | _in_ranges(ranges[mid:])
+    return own & (_in_ranges(ranges[:mid]) | _in_ranges(ranges[mid:])) if mid else own
 
 
 def asked_lists(index: DataFrame, terms: set[bytes]) -> DataFrame:
@@ -116,8 +117,8 @@ def asked_lists(index: DataFrame, terms: set[bytes]) -> DataFrame:
     asked = index.sparkSession.createDataFrame([(bytearray(t),) for t in order], "term binary")
     if sum(map(len, order)) <= MOST_SENT:
         asked = F.broadcast(asked)
-    lists = index.where(F.col("kind") == "list").where(_in_ranges(ranges_of(order))).select("seg", "term", "places", "n_words").join(asked, "term", "left_semi")
-    own = index.where(F.col("kind") == "segment").select("seg", "term", "places", "n_words")
+    lists = index.where(_in_ranges(ranges_of(order))).select("seg", "term", "places", "n_words").join(asked, "term", "left_semi")
+    own = index.where("term is null").select("seg", "term", "places", "n_words")
     return own.unionByName(lists).repartition("seg").sortWithinPartitions("seg", F.col("term").asc_nulls_first())
 
 
@@ -312,7 +313,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shar
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     add = lambda a, x: F.struct(F.greatest(a["upto"], x["e"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["upto"], x["s"]))).alias("n"))
     met = met.select("seg", "i", F.aggregate("spans", start, add)["n"].alias("n_hit"), "items", "n_near")
-    texts = index.where(F.col("kind") == "segment").select("seg", F.posexplode(F.arrays_zip("ids", "n_words")).alias("i", "x")).select("seg", "i", F.col("x.ids").alias("id"), F.col("x.n_words").alias("n_words"))
+    texts = index.where("term is null").select("seg", F.posexplode(F.arrays_zip("ids", "n_words")).alias("i", "x")).select("seg", "i", F.col("x.ids").alias("id"), F.col("x.n_words").alias("n_words"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = texts.join(met, ["seg", "i"], "left").select("id", "n_words", zero("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), zero("n_near"))
     return out.select("id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near")
@@ -337,7 +338,7 @@ def find_near(docs: DataFrame, phrases: dict[str, str], slop: int, id_col: str =
 
     index = build_index(docs, id_col=id_col, text_col=text_col)
     found = asked_lists(index, {w for ws in asked.values() for w in ws}).mapInArrow(search, "seg bigint, i int, phrase string, first bigint, last bigint")
-    texts = index.where(F.col("kind") == "segment").select("seg", F.posexplode("ids").alias("i", "id"))
+    texts = index.where("term is null").select("seg", F.posexplode("ids").alias("i", "id"))
     return texts.join(found, ["seg", "i"]).select("id", "phrase", "first", "last")
 
 
