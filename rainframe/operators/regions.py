@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import finite
+from ..functions.projections import Projection, crs_of, to_degrees
 
 REGIONS = "region_id bigint, name string, rings array<array<struct<x:double,y:double>>>, attrs map<string,string>"
 #: Points that all polygons together may have: they are sent to the tasks whole.
@@ -21,8 +22,10 @@ MOST_POINTS = 5_000_000
 
 
 def read_geojson(spark: SparkSession, path: str, name_field: str | None = None, id_field: str | None = None) -> DataFrame:
-    """Regions from a GeoJSON file in longitude and latitude; names and ids from fields, else the row's number."""
-    features = json.loads(spark.read.text(path, wholetext=True).first()[0])["features"]
+    """Regions from a GeoJSON file in longitude and latitude, or in what its crs names, turned to them; names and ids from fields,
+    else the row's number."""
+    document = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    features = document["features"]
     rows = []
     for i, f in enumerate(features):
         attrs, shape = f.get("properties") or {}, f["geometry"]
@@ -32,7 +35,26 @@ def read_geojson(spark: SparkSession, path: str, name_field: str | None = None,
                 raise KeyError(f"no field {want!r} in {sorted(attrs)}")
         rings = [[(float(x), float(y)) for x, y, *_ in ring] for part in parts for ring in part]
         rows.append((int(attrs[id_field]) if id_field else i, str(attrs[name_field]) if name_field else str(i), rings, {k: str(v) for k, v in attrs.items() if v is not None}))
-    return spark.createDataFrame(rows, REGIONS)
+    return in_degrees(spark.createDataFrame(rows, REGIONS), crs_of(document))
+
+
+def in_degrees(regions: DataFrame, crs: Projection) -> DataFrame:
+    """Regions with their rings turned to longitude and latitude."""
+    if crs.kind is None and crs.degrees == 1.0:
+        return regions
+
+    def turned(p):
+        lon, lat = to_degrees(crs, p["x"], p["y"])
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return regions.withColumn("rings", F.transform("rings", lambda r: F.transform(r, turned)))
+
+
+def read_regions(spark: SparkSession, path: str, name_field: str | None = None, id_field: str | None = None) -> DataFrame:
+    """Regions from a shapefile (.shp) or a GeoJSON file."""
+    from ..sources.shapes import read_shapefile
+
+    return (read_shapefile if path.lower().endswith(".shp") else read_geojson)(spark, path, name_field, id_field)
 
 
 def fields(regions: DataFrame) -> list[str]:

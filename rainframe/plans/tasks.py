@@ -89,7 +89,7 @@ def prepare_basin(spark: SparkSession, task: dict) -> dict:
     if box := task.get("bbox"):
         cells = select.box(cells, *box)
     if path := task.get("regions"):
-        shapes = regions.read_geojson(spark, path)
+        shapes = regions.read_regions(spark, path)
         if task.get("region_values"):
             shapes = regions.with_field(shapes, task["region_field"], task["region_values"])
         cells = cells.join(regions.containment(cells, shapes).select("cell_id").distinct(), "cell_id", "left_semi")
