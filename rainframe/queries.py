@@ -5,6 +5,7 @@ OFF_TIES, so that means of decimal numbers, which often end in a 5 at the sevent
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lineage import written
+from .functions.projections import from_epsg
 from .operators import align, charts, drought, evaluate, extremes, fusion, learn, ranking, regions, regrid, resample, select, windows
 from .plans import views as v
 from .plans.views import OFF_TIES
@@ -265,6 +267,15 @@ def cells_in_polygons(spark, d):
     return regions.zone_table(v.cells(spark, d), shapes)
 
 
+@query(f"WITH {CELLS} SELECT cell_id, CASE WHEN lat < 31.3 AND lon < 102.3 THEN 1 ELSE 2 END AS zone_id, CASE WHEN lat < 31.3 AND lon < 102.3 THEN 'a' ELSE 'b' END AS zone_name FROM cells WHERE (lat < 31.3 AND lon < 102.3) OR (lat > 31.3 AND lat < 33.7 AND lon > 101.2 AND lon < 103.8)")
+def cells_in_projected_polygons(spark, d):
+    """The same polygons, given in metres of Web Mercator."""
+    x, y = (lambda lon: math.radians(lon) * 6378137.0), (lambda lat: math.asinh(math.tan(math.radians(lat))) * 6378137.0)
+    box = lambda a, b, c, d: [[(x(a), y(b)), (x(c), y(b)), (x(c), y(d)), (x(a), y(d)), (x(a), y(b))]]
+    shapes = spark.createDataFrame([(0, "b", box(101.2, 31.3, 103.8, 33.7), {}), (1, "a", box(99.0, 29.0, 102.3, 31.3), {})], regions.REGIONS)
+    return regions.zone_table(v.cells(spark, d), regions.in_degrees(shapes, from_epsg(3857)))
+
+
 @query(f"WITH {PAIRS}, {CELLS} SELECT d AS time, (lat_idx // 2)::INT AS lat_block, (lon_idx // 2)::INT AS lon_block, round(avg(obs), 6) AS value FROM pairs JOIN cells USING (cell_id) WHERE lat_idx // 2 < (SELECT (max(lat_idx) + 1) // 2 FROM cells) GROUP BY 1, 2, 3")
 def coarsened_grid(spark, d):
     return regrid.coarsen(v.obs(spark, d), v.cells(spark, d), 2, 2, "mean").withColumn("time", F.to_date("time"))

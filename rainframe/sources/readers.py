@@ -1,7 +1,7 @@
 """Readers of grids and tables, named reader settings, and the format that a path holds.
 
 Text and Parquet go through Spark's own readers. Flat binary rasters come as whole files and are decoded in Arrow batches.
-GeoTIFF is decoded file by file in the tasks where rasterio is there, NetCDF and HDF5 without any library, in blocks of time steps. HDF4 and
+GeoTIFF is decoded in runs of strips or tiles, NetCDF and HDF5 in blocks of time steps, all without a library. HDF4 and
 GRIB are recognised but not decoded here: convert them to Parquet first; the error says so."""
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import finite
+from .geotiff import read_geotiff
 from .gridfile import read_file_grids
 
 #: Formats by file ending: fixed values.
 ENDINGS = {"nc": "netcdf", "nc4": "netcdf", "tif": "geotiff", "tiff": "geotiff", "grb": "grib", "grb2": "grib", "grib": "grib", "grib2": "grib", "h5": "hdf", "hdf5": "hdf", "hdf": "hdf", "he5": "hdf", "bin": "raw", "dat": "raw", "raw": "raw", "parquet": "parquet", "csv": "csv"}
-LIBRARY = {"grib": "cfgrib", "geotiff": "rasterio"}
+LIBRARY = {"grib": "cfgrib"}
 _registry: dict[str, dict] = {}
 
 
@@ -159,27 +160,6 @@ def read_binary(spark: SparkSession, path: str, meta: dict, pattern: str | None
     return files.mapInPandas(decode, "time timestamp_ntz, time_idx int, cell_id bigint, lat double, lon double, value double")
 
 
-def read_geotiff(spark: SparkSession, path: str, pattern: str | None = None, nodata: float | None = None) -> DataFrame:
-    """A folder or glob of rasters, first band, as read_binary's columns; pixel centres from the transform, times from names."""
-    need("rasterio", "reading GeoTIFF")
-
-    def decode(batches):
-        from rasterio.io import MemoryFile
-
-        for b in batches:
-            for at, raw in zip(b["at"], b["content"]):
-                with MemoryFile(raw) as m, m.open() as f:
-                    band, tr = f.read(1).astype(float), f.transform
-                    gone = nodata if nodata is not None else f.nodata
-                v = band.ravel()
-                v = np.where(np.isfinite(v) & (v != gone if gone is not None else True), v, np.nan)
-                rows, cols = band.shape
-                yield pd.DataFrame({"time": at, "time_idx": 0, "cell_id": np.arange(rows * cols), "lat": np.repeat(tr.f + tr.e * (np.arange(rows) + 0.5), cols), "lon": np.tile(tr.c + tr.a * (np.arange(cols) + 0.5), rows), "value": pd.Series(v).astype(object).where(np.isfinite(v), None)})
-
-    files = spark.read.format("binaryFile").load(path).select(date_in_name(F.element_at(F.split("path", "/"), -1), pattern).alias("at"), "content")
-    return files.mapInPandas(decode, "time timestamp_ntz, time_idx int, cell_id bigint, lat double, lon double, value double")
-
-
 def read_grid(spark: SparkSession, path: str, product: str | None = None, meta: dict | None = None, **hints) -> DataFrame:
     """path by its format; settings registered for product win over what the path says."""
     spec = (registered(product) if product is not None else {}) | hints
