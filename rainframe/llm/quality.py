@@ -105,44 +105,44 @@ def _pairs(d: int) -> list[tuple[int, int]]:
 
 
 def _sums(dims: list[str]) -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(c).alias(f"t_{i}") for i, c in enumerate(dims)), *(F.sum(F.col(dims[i]) * F.col(dims[j])).alias(f"q_{i}_{j}") for i, j in _pairs(len(dims)))]
+    sums = [f"sum({c}) AS t_{i}" for i, c in enumerate(dims)] + [f"sum({dims[i]} * {dims[j]}) AS q_{i}_{j}" for i, j in _pairs(len(dims))]
+    return [F.expr(x) for x in ("count(*) AS n", *sums)]
 
 
 def _estimates(sums: DataFrame, floor: list[float], factor: float = 1.0) -> DataFrame:
     """g, s, m_i, the Cholesky factor l_i_j of covariance * factor with variances of floor**2 at least, and log_det, from sums."""
-    d, n = len(floor), F.col("n")
-    cov = {(i, j): (F.col(f"q_{i}_{j}") / n - F.col(f"t_{i}") * F.col(f"t_{j}") / n / n) * factor for i, j in _pairs(d)}
-    moments = [F.greatest(v, F.lit(floor[i] ** 2)).alias(f"s_{i}_{j}") if i == j else v.alias(f"s_{i}_{j}") for (i, j), v in cov.items()]
-    return _factored(sums.select("g", "s", *((F.col(f"t_{i}") / n).alias(f"m_{i}") for i in range(d)), *moments), floor)
+    d = len(floor)
+    cov = {(i, j): f"(q_{i}_{j} / n - t_{i} * t_{j} / n / n) * {factor!r}D" for i, j in _pairs(d)}
+    moments = [f"greatest({v}, {floor[i] ** 2!r}D) AS s_{i}_{j}" if i == j else f"{v} AS s_{i}_{j}" for (i, j), v in cov.items()]
+    return _factored(sums.selectExpr("g", "s", *(f"t_{i} / n AS m_{i}" for i in range(d)), *moments), floor)
 
 
 def _factored(est: DataFrame, floor: list[float]) -> DataFrame:
+    """One select, in which each entry of the factor names those before it."""
     d = len(floor)
+    minus = lambda i, j: "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+    factor = []
     for j in range(d):
-        own = F.sqrt(F.greatest(sum((-F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.col(f"s_{j}_{j}")), F.lit((floor[j] / 100) ** 2)))
-        est = est.withColumn(f"l_{j}_{j}", own)
-        for i in range(j + 1, d):
-            est = est.withColumn(f"l_{i}_{j}", sum((-F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.col(f"s_{i}_{j}")) / F.col(f"l_{j}_{j}"))
-    log_det = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, d)), 2 * F.log("l_0_0"))
-    return est.select("g", "s", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j in _pairs(d)), log_det.alias("log_det"))
+        factor.append(f"sqrt(greatest(s_{j}_{j}{minus(j, j)}, {(floor[j] / 100) ** 2!r}D)) AS l_{j}_{j}")
+        factor += [f"(s_{i}_{j}{minus(i, j)}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, d)]
+    return est.selectExpr("g", "s", *(f"m_{i}" for i in range(d)), *factor, " + ".join(f"2 * ln(l_{i}_{i})" for i in range(d)) + " AS log_det")
 
 
 def _distances(rows: DataFrame, est: DataFrame, dims: list[str], send) -> DataFrame:
     """rows with s and d2, the squared Mahalanobis distance to each of their group's estimates."""
-    out = rows.join(send(est), "g")
-    for i, c in enumerate(dims):
-        out = out.withColumn(f"y_{i}", sum((-F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.col(c) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}"))
-    return out.select(*rows.columns, "s", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, len(dims))), F.col("y_0") * F.col("y_0")).alias("d2"))
+    columns = [*rows.columns, "s"]
+    solved = [f"({c} - m_{i}{''.join(f' - l_{i}_{k} * y_{k}' for k in range(i))}) / l_{i}_{i} AS y_{i}" for i, c in enumerate(dims)]
+    d2 = " + ".join(f"y_{i} * y_{i}" for i in range(len(dims)))
+    return rows.join(send(est), "g").selectExpr(*columns, *solved, f"{d2} AS d2").select(*columns, "d2")
 
 
 def _concentrated(far: DataFrame, dims: list[str], share: float) -> DataFrame:
     """Sums over the `share` of each group's rows with the least d2, whole bins of which BINS make a doubling."""
-    at = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * BINS).cast("int")
-    binned = far.groupBy("g", "s", at.alias("bin")).agg(*_sums(dims))
-    own = Window.partitionBy("g", "s")
-    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    core = binned.withColumn("before", before).withColumn("all", F.sum("n").over(own)).where(F.col("before") < F.col("all") * share)
-    return core.groupBy("g", "s").agg(*(F.sum(c).alias(c) for c in binned.columns if c not in ("g", "s", "bin")))
+    binned = far.groupBy("g", "s", F.expr(f"CAST(floor(log2(greatest(d2, 1e-9D)) * {BINS}) AS INT) AS bin")).agg(*_sums(dims))
+    own = "OVER (PARTITION BY g, s"
+    before = f"coalesce(sum(n) {own} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"
+    core = binned.selectExpr("*", before, f"sum(n) {own}) AS total").where(f"before < total * {share!r}D")
+    return core.groupBy("g", "s").agg(*(F.expr(f"sum({c}) AS {c}") for c in binned.columns if c not in ("g", "s", "bin")))
 
 
 def _starts(rows: DataFrame, dims: list[str], floor: list[float], send) -> DataFrame:
