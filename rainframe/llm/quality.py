@@ -3,8 +3,8 @@
 All of it is DataFrame functions. The statistics come from one pass over the texts, without an explode. The outlier
 rule estimates location and covariance by minimum covariance determinant for each language and source: from three
 starts, concentration steps keep the h nearest rows of every group and estimate again, until the determinant falls no
-more; the least determinant of the three wins. A step is one aggregation of a narrow table, of sums and cross products by
-group, start and bin of squared distance; the bins up to the h-th row add up to the next estimate. Groups of any size reduce
+more; the least determinant of all steps wins. A step is one aggregation of a narrow table, of sums and cross products by
+group, start and bin of squared distance; the bins up to the h-th row, the last one in part, add up to the next estimate. Groups of any size reduce
 to a row for each bin before they move; no group is ever gathered."""
 
 from __future__ import annotations
@@ -137,12 +137,14 @@ def _distances(rows: DataFrame, est: DataFrame, dims: list[str], send) -> DataFr
 
 
 def _concentrated(far: DataFrame, dims: list[str], share: float) -> DataFrame:
-    """Sums over the `share` of each group's rows with the least d2, whole bins of which BINS make a doubling."""
+    """Sums over the `share` of each group's rows with the least d2, by bins of which BINS make a doubling. Of the bin that holds
+    the last of these rows all count, each by the part of the bin that is still due, so n is that share of the group exactly."""
     binned = far.groupBy("g", "s", F.expr(f"CAST(floor(log2(greatest(d2, 1e-9D)) * {BINS}) AS INT) AS bin")).agg(*_sums(dims))
     own = "OVER (PARTITION BY g, s"
     before = f"coalesce(sum(n) {own} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"
     core = binned.selectExpr("*", before, f"sum(n) {own}) AS total").where(f"before < total * {share!r}D")
-    return core.groupBy("g", "s").agg(*(F.expr(f"sum({c}) AS {c}") for c in binned.columns if c not in ("g", "s", "bin")))
+    due = f"least(1D, (total * {share!r}D - before) / n)"
+    return core.groupBy("g", "s").agg(*(F.expr(f"sum({c} * {due}) AS {c}") for c in binned.columns if c not in ("g", "s", "bin")))
 
 
 def _starts(rows: DataFrame, dims: list[str], floor: list[float], send) -> DataFrame:
@@ -158,23 +160,21 @@ def _starts(rows: DataFrame, dims: list[str], floor: list[float], send) -> DataF
 
 
 def minimum_determinant(rows: DataFrame, dims: list[str], floor: list[float], h: float, send, most: int = 50) -> DataFrame:
-    """The estimate of each group g of rows: of three starts the one whose concentration steps end in the least determinant.
-    Covariances are scaled to what the nearest share h of normal rows would have in all."""
+    """The estimate of each group g of rows: of the steps from three starts the one with the least determinant. Steps from a start end
+    with the first that lowers it no more; as rows of a bin count alike, that one may be worse than the one before it. Covariances are scaled to what the nearest share h of normal rows would have in all."""
     d = len(dims)
     factor = h / chi2_cdf(chi2_quantile(h, d), d + 2)
     now = materialize(_starts(rows, dims, floor, send).withColumn("log_det", F.lit(math.inf)), "quality-starts")
-    ended = None
-    for step in range(most):
+    found = None
+    for _ in range(most):
         new = _estimates(_concentrated(_distances(rows, now, dims, send), dims, h), floor, factor)
         new = materialize(new.join(now.select("g", "s", F.col("log_det").alias("old")), ["g", "s"]), "quality-estimate")
-        falls = F.col("log_det") < F.col("old") - 1e-6
-        at_end = new.where(~falls) if step < most - 1 else new
-        ended = at_end if ended is None else ended.unionByName(at_end)
-        now = new.where(falls).drop("old")
+        found = new if found is None else found.unionByName(new)
+        now = new.where("log_det < old - 1e-6").drop("old")
         if now.isEmpty():
             break
-    ended = ended.drop("old")
-    return ended.groupBy("g").agg(F.min_by(F.struct(*(c for c in ended.columns if c != "g")), F.struct("log_det", "s")).alias("x")).select("g", "x.*")
+    found = found.drop("old")
+    return found.groupBy("g").agg(F.min_by(F.struct(*(c for c in found.columns if c != "g")), F.struct("log_det", "s")).alias("x")).select("g", "x.*")
 
 
 #: Groups whose estimates (some 200 bytes each) are sent to all tasks; of more, they are joined by a shuffle.

@@ -102,6 +102,20 @@ def test_least_determinant_wins_over_a_bad_start(spark):
     assert len(best) == 1 and abs(best[0].m_0) < 0.3 and abs(best[0].m_1) < 0.3
 
 
+def test_a_last_step_that_is_worse_does_not_win(spark, monkeypatch):
+    """Few rows, so that whole bins are far from exactly h rows and steps may raise the determinant."""
+    import numpy as np
+
+    steps, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, what: steps.append(write(df, what)) or steps[-1] if what == "quality-estimate" else write(df, what))
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(f"g{g}", *map(float, v)) for g in range(6) for v in rng.normal(0, 1 + g, (40, 2))], "g string, a double, b double")
+    best = {r.g: r.log_det for r in quality.minimum_determinant(rows, ["a", "b"], [0.01, 0.01], 0.75, lambda df: df).collect()}
+    dets = [(r.g, r.log_det, r.old) for t in steps for r in t.collect()]
+    assert any(new > old for _, new, old in dets)
+    assert best == {g: min(new for k, new, _ in dets if k == g) for g in best} and len(best) == 6
+
+
 def test_chi_squared():
     assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(quality.chi2_quantile(0.99, 5) - 15.086272) < 1e-5
     assert abs(quality.chi2_cdf(3.0, 4) - 0.442175) < 1e-5
