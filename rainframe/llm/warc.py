@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, materialize
+from .shared import fresh_dir, materialize, send_if_small
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the frame that carries a dictionary in .warc.zst
 DICTIONARY = b"\x37\xa4\x30\xec"  # fixed value: how a trained dictionary starts
@@ -149,20 +149,25 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     """id, url, payload, n_bytes, digest (hexadecimal) and first_id; payload is null in revisits.
 
     Null html is an empty payload; a null id counts as larger than any other; of rows alike in id and payload the first by url is
-    the response; equal rows are a record each; other columns are ignored. Pages whose payload occurs once stay where they
-    are. Of the others keys and digests are counted, a hot payload or row in parts, and one page of each is kept."""
+    the response; equal rows are a record each; other columns are ignored. Keys and digests are
+    counted, a hot payload or row in parts; pages meet the digests that occur more than once, which are sent to them where the
+    longest URL bounds them well enough, so no payload moves but those of responses that are equal rows."""
     payload = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("n_bytes"), F.sha1(payload).alias("digest"))
     key = F.struct(F.col("id").isNull().alias("none"), "id", F.col("url").isNull().alias("bare"), "url")
     counted = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes", key.alias("key")).agg(F.count("*").alias("copies"))
     counted = materialize(counted, "warc-counts")
-    heads = materialize(counted.groupBy("digest").agg(F.min("key").alias("head"), F.sum("copies").alias("all")).where("all > 1").select("digest", "head"), "warc-heads")
-    single = rows.join(heads.select("digest"), "digest", "left_anti").withColumn("first_id", F.lit(None).cast(pages.schema[id_col].dataType))
-    shown = rows.join(heads, "digest").where(key.eqNullSafe(F.col("head"))).groupBy("digest").agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("n_bytes").alias("n_bytes"))
+    least = counted.groupBy("digest").agg(F.min(F.struct("key", "copies")).alias("least"), F.sum("copies").alias("all")).where("all > 1")
+    heads = materialize(least.select("digest", F.col("least.key").alias("head"), (F.col("least.copies") > 1).alias("twins")), "warc-heads")
+    longest = heads.agg(F.max(F.octet_length("head.url"))).first()[0] or 0
+    marked = rows.join(send_if_small(heads, 120 + longest), "digest", "left").withColumn("is_head", key.eqNullSafe(F.col("head")))
+    marked = marked.withColumn("first_id", F.lit(None).cast(pages.schema[id_col].dataType))
+    columns = ["id", "url", "payload", "n_bytes", "digest", "first_id"]
+    out = marked.where("head is null or (is_head and not twins)").select(columns)
+    if not heads.where("twins").isEmpty():  # responses that are equal rows: one of each
+        out = out.unionByName(marked.where("is_head and twins").groupBy("digest").agg(*(F.first(c).alias(c) for c in columns if c != "digest")).select(columns))
     again = counted.join(heads, "digest").withColumn("left", F.col("copies") - F.col("key").eqNullSafe(F.col("head")).cast("int")).where("left > 0")
     again = again.select("digest", "n_bytes", F.col("key.id").alias("id"), F.col("key.url").alias("url"), F.col("head.id").alias("first_id"), F.explode(F.sequence(F.lit(1).cast("long"), "left")).alias("turn"))
-    columns = ["id", "url", "payload", "n_bytes", "digest", "first_id"]
-    out = single.select(columns).unionByName(shown.withColumn("first_id", F.lit(None).cast(pages.schema[id_col].dataType)).select(columns))
     return out.unionByName(again.withColumn("payload", F.lit(None).cast("binary")).select(columns))
 
 

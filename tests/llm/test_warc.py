@@ -63,3 +63,9 @@ def test_dictionary_leads_the_archive_and_records_stand_alone(pages, tmp_path):
 
 def test_empty_table(spark):
     assert warc.digests(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_no_payload_is_shuffled_for_its_digest(pages):
+    rows = pages.where("page_id < 300").dropDuplicates(["page_id"])
+    plan = warc.plan_records(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(digest" not in plan
