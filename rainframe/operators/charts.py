@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,60 @@ from pyspark.sql import functions as F
 from ..functions.metrics import scores
 from ..functions.missing import finite
 
-#: What suits which result.
-SUGGESTED = {"spatial": ["spatial_map", "multi_spatial_map"], "timeseries": ["timeseries"], "metrics": ["heatmap", "grouped_bar"], "distribution": ["boxplot", "violin"], "ranking": ["ranking_bar", "ranking_heatmap"], "pairs": ["density_scatter", "taylor", "performance"]}
+#: What suits which result. Fixed values.
+SUGGESTED = {
+    "spatial_nc": ["spatial_map", "multi_spatial_map"],
+    "metric_table": ["heatmap", "grouped_bar", "boxplot", "violin"],
+    "timeseries": ["line"],
+    "grid_compare": ["density_scatter", "taylor", "sal"],
+    "performance": ["performance_diagram_seasons", "performance_diagram_months", "performance_diagram_regions"],
+    "ranking": ["ranking_bar", "ranking_heatmap"],
+}
 
 
 def suggest(result: str) -> list[str]:
     return SUGGESTED.get(result.lower(), [])
 
 
+def field(cube: DataFrame, cells: DataFrame, by: tuple[str, ...] = (), at: str | None = None, within: DataFrame | None = None, value: str = "value") -> DataFrame:
+    """Maps: a panel for each value of `by`, of its rows at the time `at` or else at its first time; cell_id, lon, lat, value, and
+    the least and greatest value of the panel (vmin, vmax). Cubes without a time are maps as they are. within: the cells to show,
+    by cell_id. Missing values stay as cells without a value; a panel without rows has none."""
+    rows = cube if within is None else cube.join(within.select("cell_id"), "cell_id", "left_semi")
+    if "time" in cube.columns:
+        if at is not None:
+            rows = rows.where(F.col("time") == F.lit(at).cast(cube.schema["time"].dataType))
+        elif by:
+            keys = {c: f"_{c}" for c in by}
+            first = cube.groupBy(*by).agg(F.min("time").alias("_first")).withColumnsRenamed(keys)
+            rows = rows.join(first, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()] + [F.col("time") == F.col("_first")], "left_semi")
+        else:
+            rows = rows.join(cube.agg(F.min("time").alias("_first")), F.col("time") == F.col("_first"), "left_semi")
+    shown = rows.join(cells.select("cell_id", "lon", "lat"), "cell_id").select(*by, "cell_id", "lon", "lat", finite(value).alias("value"))
+    keys = {c: f"_{c}" for c in by}
+    span = shown.groupBy(*by).agg(F.min("value").alias("vmin"), F.max("value").alias("vmax")).withColumnsRenamed(keys)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()] or [F.lit(True)]
+    return shown.join(F.broadcast(span) if not by else span, same).drop(*keys.values())
+
+
+def points(stations: DataFrame, value: str | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Stations on a map: lon, lat (and value) of the rows that have a place."""
+    out = stations.select(finite(lon).alias("lon"), finite(lat).alias("lat"), *([finite(value).alias("value")] if value else []))
+    return out.where("lon is not null and lat is not null")
+
+
+def frame(kind: str, **how) -> DataFrame | list[str]:
+    """The frame of a kind of chart, of the keywords that its function here takes. timeseries: `inputs`, a table for each name. suggest:
+    the kinds that suit a `result`. Other kinds are an error."""
+    if kind == "timeseries":
+        value, time = how.get("value", "value"), how.get("time", "time")
+        named = [df.select(F.lit(n).alias("name"), time, finite(value).alias(value)).dropna() for n, df in how["inputs"].items()]
+        return reduce(DataFrame.unionByName, named).orderBy("name", time)
+    if kind not in FRAMES:
+        raise ValueError(f"unknown kind of chart {kind!r}: {', '.join(sorted([*FRAMES, 'timeseries']))}")
+    return FRAMES[kind](**how)
+
+
 def taylor(pairs: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:
     """ref_std, std, corr and the angle whose cosine corr is."""
     own = pairs.where("obs is not null and sim is not null").groupBy(*by).agg(F.stddev_samp("obs").alias("ref_std"), F.stddev_samp("sim").alias("std"), scores(("CORR",))["CORR"].alias("corr"))
@@ -77,3 +124,20 @@ def top(df: DataFrame, score: str = "score", n: int | None = None, ascending: bo
 
 def series(df: DataFrame, value: str = "value", time: str = "time") -> DataFrame:
     return df.select(time, finite(value).alias(value)).dropna().orderBy(time)
+
+
+FRAMES = {
+    "spatial_map": field,
+    "multi_spatial_map": field,
+    "stations": points,
+    "heatmap": pivoted,
+    "grouped_bar": pivoted,
+    "ranking_heatmap": pivoted,
+    "boxplot": quartiles,
+    "violin": quartiles,
+    "ranking_bar": top,
+    "density_scatter": density,
+    "taylor": taylor,
+    "performance": performance,
+    "suggest": suggest,
+}

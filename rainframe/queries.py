@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.lineage import written
 from .functions.projections import from_epsg
-from .operators import align, charts, drought, evaluate, extremes, fusion, learn, ranking, regions, regrid, resample, select, windows
+from .operators import align, charts, drought, evaluate, extremes, fusion, inputs, learn, ranking, regions, regrid, resample, select, windows
 from .plans import views as v
 from .plans.views import OFF_TIES
 
@@ -565,6 +565,14 @@ def monthly_volume_constraint(spark, d):
     return learn.volume_scale(v.sim(spark, d), v.obs(spark, d)).withColumn("time", F.to_date("time"))
 
 
+@query(f"WITH {PAIRS}, {PRODUCTS}, {ZONES}, days AS (SELECT d FROM prods GROUP BY 1 HAVING count(DISTINCT product) = 3) SELECT d AS time, cell_id, round(max(obs), 6) AS ref, round(max(value) FILTER (product = 'A'), 6) AS a, round(max(value) FILTER (product = 'N'), 6) AS n, round(max(value) FILTER (product = 'R'), 6) AS wet, round(max(s_acctbal), 6) AS dem, max(zone_id)::INT AS zone_id FROM pairs JOIN days USING (d) JOIN prods USING (cell_id, d) LEFT JOIN supplier ON s_suppkey = cell_id LEFT JOIN zones USING (cell_id) GROUP BY 1, 2")
+def inputs_together(spark, d):
+    cells = v.cells(spark, d)
+    cube = lambda flag: v.products(spark, d).where(F.col("product") == flag)
+    dem = v.elevation(spark, d).withColumnRenamed("dem", "value")
+    return inputs.together(v.obs(spark, d), cells, {"a": (cube("A"), cells), "n": (cube("N"), None)}, {"dem": (dem, None)}, {"wet": (cube("R"), None)}, v.zones(spark, d))
+
+
 # ---- frames for charts
 
 @query(f"WITH {PPAIRS} SELECT product, round(stddev_samp(obs), 6) AS ref_std, round(stddev_samp(sim), 6) AS std, round({CORR}, 6) AS corr, round(acos(least(greatest({CORR}, -1), 1)), 6) AS theta FROM pp GROUP BY 1")
@@ -582,6 +590,11 @@ def quartiles_by_product(spark, d):
     return charts.quartiles(v.products(spark, d), "product", "value")
 
 
+@query(f"WITH {PRODUCTS}, {CELLS}, f AS (SELECT product, min(d) AS d FROM prods GROUP BY 1), s AS (SELECT product, cell_id, lon, lat, value FROM prods JOIN f USING (product, d) JOIN cells USING (cell_id)) SELECT product, cell_id, lon, lat, round(value, 6) AS value, round(min(value) OVER (PARTITION BY product), 6) AS vmin, round(max(value) OVER (PARTITION BY product), 6) AS vmax FROM s")
+def first_maps(spark, d):
+    return charts.frame("multi_spatial_map", cube=v.products(spark, d), cells=v.cells(spark, d), by=("product",))
+
+
 @query("SELECT event_type, window_start, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT event_type, value, date_trunc('day', ts)::DATE AS window_start FROM events) GROUP BY 1, 2")
 def daily_event_totals(spark, d):
     from .streaming.daily import daily_totals

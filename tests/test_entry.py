@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["scores_by_month", "detection_by_season_and_month", "detection_by_region_and_season", "all_extreme_indices", "nearest_regrid", "station_evaluation_by_product", "own_score_by_cell", "detection_rollup", "nearest_in_time", "longest_dry_spell", "spei_3", "very_wet_days_p95", "rank_by_critic_topsis"]
+SOME = ["scores_by_month", "detection_by_season_and_month", "detection_by_region_and_season", "all_extreme_indices", "nearest_regrid", "station_evaluation_by_product", "own_score_by_cell", "detection_rollup", "nearest_in_time", "longest_dry_spell", "spei_3", "very_wet_days_p95", "rank_by_critic_topsis", "inputs_together", "first_maps"]
 
 
 def test_flagship(spark):
