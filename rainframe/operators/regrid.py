@@ -127,10 +127,12 @@ def _in_blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str])
 def idw(samples: DataFrame, cells: DataFrame, power: float = 2.0, eps: float = 1e-12, keys: tuple[str, ...] = (), value: str = "value", block: int = 4096) -> DataFrame:
     """Inverse-distance weighting in planar degrees of samples (keys, lat, lon, value) at cells, over all samples of a key.
 
-    Blocks of samples meet blocks of cells in the tasks; numerators and denominators of each cell are summed over a key's
-    blocks. Cells without coordinates are NULL."""
+    Samples of one place weigh alike, so they are summed and counted first, however many they are. Blocks of places meet
+    blocks of cells in the tasks; numerators and denominators of each cell are summed over a key's blocks. The work grows with
+    places times cells, as the method's does. Cells without coordinates are NULL."""
     rows = samples.select(*keys, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), finite(value).alias("_v")).where("_v is not null and _lat is not null and _lon is not null")
-    points = _in_blocks(rows, list(keys), block, ["_lat", "_lon", "_v"])
+    places = rows.groupBy(*keys, "_lat", "_lon").agg(F.sum("_v").alias("_v"), F.count("*").cast("double").alias("_m"))
+    points = _in_blocks(places, list(keys), block, ["_lat", "_lon", "_v", "_m"])
     at = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     targets = _in_blocks(at, [], block, ["cell_id", "lat", "lon"])
     kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keys)
@@ -138,13 +140,13 @@ def idw(samples: DataFrame, cells: DataFrame, power: float = 2.0, eps: float = 1
     def spread(batches):
         for b in batches:
             for i in range(b.num_rows):
-                ids, lat, lon, p_lat, p_lon, v = (b.column(c)[i].values for c in ("cell_id", "lat", "lon", "_lat", "_lon", "_v"))
-                x, y, p, q, w_of = (c.to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon, p_lat, p_lon, v))
+                ids, lat, lon, p_lat, p_lon, v, m = (b.column(c)[i].values for c in ("cell_id", "lat", "lon", "_lat", "_lon", "_v", "_m"))
+                x, y, p, q, w_of, times = (c.to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon, p_lat, p_lon, v, m))
                 top, low = np.zeros(len(x)), np.zeros(len(x))
                 for j in range(0, len(p), 512):
                     w = 1 / ((x[:, None] - p[None, j : j + 512]) ** 2 + (y[:, None] - q[None, j : j + 512]) ** 2 + eps) ** (power / 2)
                     top += w @ w_of[j : j + 512]
-                    low += w.sum(axis=1)
+                    low += w @ times[j : j + 512]
                 own = [pa.array([b.column(k)[i].as_py()] * len(x), b.column(k).type) for k in keys]
                 yield pa.RecordBatch.from_arrays([*own, ids, pa.array(top), pa.array(low)], [*keys, "cell_id", "_top", "_low"])
 

@@ -40,6 +40,13 @@ def test_inverse_distance_takes_all_cells_in_blocks(spark):
             assert got[k, i] == pytest.approx((w @ p[:, 2]) / w.sum())
 
 
+def test_idw_of_samples_at_one_place(spark):
+    """Half of the samples are one row repeated, others share its place: each counts."""
+    rows = [(0.0, 0.0, 1.0)] * 500 + [(0.0, 0.0, 3.0)] * 300 + [(0.0, 2.0, 10.0)] * 200
+    got = regrid.idw(spark.createDataFrame(rows, "lat double, lon double, value double"), spark.createDataFrame([(1, 0.0, 1.0), (2, None, 1.0)], "cell_id long, lat double, lon double"), block=16)
+    assert {r.cell_id: r.value for r in got.collect()} == {1: pytest.approx((500 + 900 + 2000) / 1000), 2: None}
+
+
 def test_idw_has_no_row_limit(spark):
     many = spark.range(100_001).select((F.col("id") % 300 / 30).alias("lat"), (F.col("id") / 10_000).alias("lon"), F.lit(2.0).alias("value"))
     assert [r.value for r in regrid.idw(many, spark.createDataFrame([(1, 5.0, 5.0)], "cell_id long, lat double, lon double")).collect()] == [pytest.approx(2.0)]
