@@ -285,14 +285,15 @@ def _shingles(spans: Spans, words: int, n: int) -> np.ndarray:
     return np.unique(spans.windows(min(n, words)) ^ np.uint64(max(0, n - words)))
 
 
-def traits(text: bytes | None, shingle: int, print_shingle: int) -> tuple[int, int, int]:
-    """Of a text the hash of its words, the SimHash of its runs of print_shingle words, and the sketch of its shingles."""
+def traits(text: bytes | None, shingle: int, print_shingle: int) -> tuple[int, int, int, int, bytes]:
+    """Of a text the hash of its words, the SimHash of its runs of print_shingle words, and of its shingles sketch, number and bins."""
     words = (text or b"").lower().split()
     th = xxhash.xxh3_64_intdigest(b" ".join(words))
     if not words:
-        return th, 0, 0
+        return th, 0, 0, 0, b""
     spans = Spans(hash_words(words))
-    return th, majority(spans.windows(min(print_shingle, len(words)))), sketch(_shingles(spans, len(words), shingle))
+    terms = _shingles(spans, len(words), shingle)
+    return th, majority(spans.windows(min(print_shingle, len(words)))), sketch(terms), len(terms), spread(terms)
 
 
 def table_count(width: int, errors: int, recall: float) -> int:
@@ -391,6 +392,131 @@ def _check(batches, shingle: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], ["a", "b"])
 
 
+def reach(n: int, percent: int) -> int:
+    """Least size that a set similar to one of n elements can't have."""
+    return n * 100 // percent + 1
+
+
+def zone_sizes(n: int, percent: int) -> list[int]:
+    """Ends of the ranges of sizes up to n's: a similar set is in the same range as a set or in one next to it."""
+    ends = [1]
+    while ends[-1] <= n:
+        ends.append(reach(ends[-1], percent))
+    return ends
+
+
+def signatures(terms: np.ndarray, percent: int = 80) -> np.ndarray:
+    """Hashes of parts of a set of evenly spread hashes (sorted, distinct), such that any two sets with a Jaccard similarity of
+    percent / 100 or more have one in common.
+
+    A set of n can differ from such another in k elements at most. Hashes are dealt to parts, of which a pair differs in k at most, so among the
+    first parts up to the (k + 1)th that is not empty one is alike and not empty. Sets without so many give all they have, and their least
+    hashes, of which there is one more than they can miss: two of these share one of those. The number of parts goes by ranges of sizes: a set
+    is in pairs with its own range and, as the larger side, with the range below."""
+    n = len(terms)
+    if not n:
+        return np.zeros(0, np.uint64)
+    ends = zone_sizes(n, percent)
+    apart = lambda a, b: (a + b) * (100 - percent) // (100 + percent)
+    out = []
+    for zone in range(max(1, len(ends) - 2), len(ends)):
+        m = ends[zone] - 1
+        p = apart(m, m * 100 // percent)
+        p += 3 + p // 8
+        k = apart(n, m if m < n else n * 100 // percent)
+        part = (terms >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        with np.errstate(over="ignore"):
+            alike = mix(np.add.reduceat(mix(terms ^ _PART_KEY), first) + mix(np.uint64(zone << 32) + part[first]))
+        out.append(alike[: k + 1])
+        if len(first) <= k:
+            out.append(mix(mix(terms[: n - (n * percent + 99) // 100 + 1]) + np.uint64(zone)))
+    return np.concatenate(out)
+
+
+_PART_KEY = np.uint64(0x5851F42D4C957F2D)
+
+
+def spread(terms: np.ndarray) -> bytes:
+    """How many of a set of evenly spread hashes (sorted) stand in each of 2 ** i equal bins, some four to a bin; 255 stands for more."""
+    bits = max(4, int(len(terms) // 4).bit_length())
+    return np.minimum(np.bincount((terms >> np.uint64(BITS - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, percent: int) -> bool:
+    """Whether two sets of n elements together with these bins may have the similarity: bins differ by no more than the sets do."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.abs(x.reshape(len(y), -1).sum(axis=1) - y).sum()) * (100 + percent) <= n * (100 - percent)
+
+
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """The distinct rows (sig, th) whose signature several texts have. Rows of a signature are never held together: what goes from batch to
+    batch is one row."""
+
+    def scan(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig, th = b.column("sig").to_numpy(), b.column("th").to_numpy()
+            if last is not None:
+                sig, th = np.r_[last[0], sig], np.r_[last[1], th]
+            own = np.concatenate([[True], (sig[1:] != sig[:-1]) | (th[1:] != th[:-1])])
+            sig, th = sig[own], th[own]
+            equal = sig[1:] == sig[:-1]
+            out = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+            told = last is not None and last[2]
+            last = sig[-1], th[-1], bool(out[-1]) or (told and len(sig) == 1)
+            out[0] &= not told
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(th[out])], ["sig", "th"])
+
+    return rows.select("sig", "th").repartition("sig").sortWithinPartitions("sig", "th").mapInArrow(scan, "sig bigint, th bigint")
+
+
+def signed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(sig, th): the signatures of rows.text. They are worked out where they are dealt, as they are too many to be stored."""
+
+    def scan(batches):
+        for b in pieces(batches, "text"):
+            th, found = [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                words = (t or b"").lower().split()
+                if words:
+                    th.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                    found.append(signatures(_shingles(Spans(hash_words(words)), len(words), shingle), percent))
+            if th:
+                own = np.repeat(np.array(th, np.uint64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.concatenate(found), own)], ["sig", "th"])
+
+    return rows.select("text").mapInArrow(scan, "sig bigint, th bigint")
+
+
+def left_out(signed_: DataFrame, texts: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(a, b): texts of different roots (tied: th, root; others are their own) that may have the similarity. None that has it is missing: such
+    texts share a signature (sig, th), and only pairs go of which sizes or bins show that they can't have it."""
+    shared = shared_signatures(signed_)
+    known = texts.select("th", "n").join(tied, "th", "left").select("th", "n", F.coalesce("root", "th").alias("root"))
+    rows = materialize(shared.join(known, "th"), "similar-signed")
+    mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    rows = rows.join(mixed, "sig")
+    side = lambda x: rows.select("sig", *(F.col(c).alias(x + c) for c in ("th", "n", "root")))
+    sized = F.greatest("an", "bn") * percent <= F.least("an", "bn") * 100
+    pairs = side("a").join(side("b"), "sig").where("ath < bth and aroot != broot").where(sized).select(F.col("ath").alias("a"), F.col("bth").alias("b"), (F.col("an") + F.col("bn")).alias("n")).distinct()
+    pairs = materialize(pairs, "similar-pairs")
+    bins = materialize(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "th", "left_semi").select("th", "bins"), "similar-bins")
+    met = pairs.join(bins.select(F.col("th").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("th").alias("b"), F.col("bins").alias("y")), "b")
+
+    def scan(batches):
+        for b in batches:
+            x, y, n = (b.column(c).to_pylist() for c in ("x", "y", "n"))
+            ok = pa.array([may_be_similar(*v, percent) for v in zip(x, y, n)], pa.bool_())
+            yield b.select(["a", "b"]).filter(ok)
+
+    return met.select("a", "b", "x", "y", "n").mapInArrow(scan, "a bigint, b bigint")
+
+
 CELL = ("root", "bi", "bj")
 
 
@@ -432,13 +558,14 @@ def similar_links(texts: DataFrame, block: int, shingle: int, percent: int) -> D
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget: int = 12, print_shingle: int = 2, recall: float = 0.95, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (row_key), component_id (the least row_key of its group) and copies (rows with that key) of every row_key. Groups are what
-    chains of texts with a Jaccard similarity of percent / 100 on `shingle` words connect, among candidates.
+    """id (row_key), component_id (the least row_key of its group) and copies (rows with that key) of every row_key. Groups are exactly
+    what chains of texts with a Jaccard similarity of percent / 100 on `shingle` words connect.
 
     Candidates: texts whose fingerprints (of print_shingle words) differ in `budget` bits or fewer, found by walking pairs of nodes of
     binary tries over differently ordered bits. A trie is entered at nodes of some 64 texts, so work grows with the texts,
     not with their square; there are so many tries that a pair with eight differing bits meets in one with probability
-    `recall`, nearer ones more surely. Pairs with unlike sketches are passed over. Within what chains of candidates
+    `recall`, nearer ones more surely. Pairs with unlike sketches are passed over. What this leaves out is found by signatures:
+    every pair with the similarity has one in common, whatever its fingerprints. Within what chains of candidates
     connect, texts are compared exactly (similar_links). Texts with the same words (A-Z as a-z, by a 64-bit hash) are one;
     wordless and null texts are alike; other columns are ignored; an empty table gives an empty result."""
     rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
@@ -447,13 +574,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget:
         for b in pieces(batches, "text"):
             found = [traits(t, shingle, print_shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
             th = np.array([x[0] for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(th), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["id", "th", "fp", "sk"])
+            more = [pa.array([x[i] for x in found], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(th), *more], ["id", "th", "fp", "sk", "n", "bins"])
 
-    prints = materialize(rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, fp bigint, sk bigint"), "similar-prints")
-    texts = materialize(prints.groupBy("th").agg(F.first("fp").alias("fp"), F.first("sk").alias("sk"), F.min("id").alias("id")), "similar-texts")
+    prints = materialize(rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, th bigint, fp bigint, sk bigint, n bigint, bins binary"), "similar-prints")
+    texts = materialize(prints.groupBy("th").agg(*(F.first(c).alias(c) for c in ("fp", "sk", "n", "bins")), F.min("id").alias("id")), "similar-texts")
     cells = deal(texts, texts.count(), recall=recall)
     links_ = cells.repartition("t", "level", "cell").sortWithinPartitions("t", "level", "cell").mapInArrow(lambda it: _linked(it, budget), "a bigint, b bigint")
-    tied = materialize(components(links_).select(F.col("node").alias("th"), "root"), "similar-candidates")
+    tied = materialize(components(links_).select(F.col("node").alias("th"), "root"), "similar-near-prints")
+    more = left_out(signed(rows, shingle, percent), texts, tied, percent)
+    tied = materialize(components(more.unionByName(tied.select(F.col("th").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("th"), "root"), "similar-candidates")
     asked = tied.join(tied.groupBy("root").agg(F.count("*").alias("n")), "root").join(texts.select("th", "id.k1", "id.k2"), "th")
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     held = materialize(keyed.join(send_if_small(materialize(asked, "similar-asked"), 48), ["k1", "k2"]).dropDuplicates(["th"]).select("root", "th", "n", "text"), "similar-held")

@@ -138,3 +138,47 @@ def test_one_contaminated_row_takes_no_other(spark):
     bench = spark.createDataFrame([(1, texts("b")), (2, texts("d"))], "item_id long, text string")
     kept = decontaminate.clean(frame(spark, [(i, texts(s)) for i, s in ODD]), bench).collect()
     assert sorted((r.text for r in kept)) == [texts(s) for s in "acef"]
+
+
+def test_no_pair_is_left_out(spark):
+    """Short texts, of which fingerprints differ in many bits, that have the similarity: each pair becomes one."""
+    rng, rows = random.Random(12), []
+    for g in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(8, 30))]
+        n = len(words) - 4
+        more = [f"x{rng.randrange(10**6)}" for _ in range(n // 4)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(more + words))]
+        assert n < 4 or jaccard(rows[-1][1], rows[-2][1]) >= 0.8
+    assert [r.doc_id for r in simhash.keep_one_similar(frame(spark, rows)).orderBy("doc_id").collect()] == list(range(0, 300, 2))
+
+
+def test_signatures_miss_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hashes = lambda n: simhash.mix(rng.integers(0, 2**63, n).astype(np.uint64))
+    seen = 0
+    for percent in (60, 80, 95):
+        for _ in range(3000):
+            n = int(rng.choice([1, 2, 3, 4, 5, 8, 10, 15, 20, 30, 60, 200]))
+            base, most = hashes(n), max(1, n * (100 - percent) // percent)
+            x, y = (np.unique(np.r_[base, hashes(int(rng.integers(0, most + 1)))]) for _ in range(2))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                seen += 1
+                assert len(np.intersect1d(simhash.signatures(x, percent), simhash.signatures(y, percent)))
+                assert simhash.may_be_similar(simhash.spread(x), simhash.spread(y), len(x) + len(y), percent)
+    assert seen > 3000
+
+
+def test_shared_signatures_over_batches(spark):
+    """Runs of equal signatures that go over many batches, with repeated rows."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(40) ** 2 // 40, rng.randrange(60)) for _ in range(900)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [tuple(r) for r in simhash.shared_signatures(spark.createDataFrame(rows + [(99, 1)] * 9, "sig long, th long")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {s: {t for k, t in rows if k == s} for s, _ in rows}
+    assert sorted(got) == sorted((s, t) for s, ts in held.items() if len(ts) > 1 for t in ts)
