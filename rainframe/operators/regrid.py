@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.missing import finite
 from .align import axis_ticks
 from .resample import HOW
@@ -113,42 +114,70 @@ def resample(cube: DataFrame, cells: DataFrame, target_resolution: float | None
     return interpolate(cube, cells, *to, method, value)
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str]) -> DataFrame:
-    """keys, and the columns of about `size` rows of a key as arrays."""
-    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("_n")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    met = F.lit(True)
-    for k in keys:
-        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    dealt = rows.join(n, met).withColumn("_b", F.pmod(F.xxhash64(*columns), F.col("_n")))
-    held = dealt.groupBy(*keys, "_b").agg(F.collect_list(F.struct(*columns)).alias("_s"))
-    return held.select(*keys, *(F.col(f"_s.{c}").alias(c) for c in columns))
+def _in_blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str], of: list[str]) -> DataFrame:
+    """keys, _block, and the columns of about `size` rows of a key as arrays; rows alike in `of` are in one block."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("_n"))
+    dealt = (rows.join(n, keys) if keys else rows.crossJoin(n)).withColumn("_block", F.pmod(F.xxhash64(*of), F.col("_n")))
+    held = dealt.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*columns)).alias("_s"))
+    return held.select(*keys, "_block", *(F.col(f"_s.{c}").alias(c) for c in columns))
 
 
-def idw(samples: DataFrame, cells: DataFrame, power: float = 2.0, eps: float = 1e-12, keys: tuple[str, ...] = (), value: str = "value", block: int = 4096) -> DataFrame:
+SIDE_BY_SIDE = 32  # keys whose samples are weighted together
+
+
+def idw(samples: DataFrame, cells: DataFrame, power: float = 2.0, eps: float = 1e-12, keys: tuple[str, ...] = (), value: str = "value", block: int = 2048) -> DataFrame:
     """Inverse-distance weighting in planar degrees of samples (keys, lat, lon, value) at cells, over all samples of a key.
 
     Samples of one place weigh alike, so they are summed and counted first, however many they are. Blocks of places meet
-    blocks of cells in the tasks; numerators and denominators of each cell are summed over a key's blocks. The work grows with
-    places times cells, as the method's does. Cells without coordinates are NULL."""
+    blocks of cells in the tasks, where a place's distance to a cell is worked out once for some SIDE_BY_SIDE keys; numerators and denominators
+    of each cell are summed over the blocks. The work grows with places times cells, as the method's does. Cells without coordinates are NULL."""
+    kind = [f.name for f in samples.select(*keys).schema]
     rows = samples.select(*keys, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), finite(value).alias("_v")).where("_v is not null and _lat is not null and _lon is not null")
-    places = rows.groupBy(*keys, "_lat", "_lon").agg(F.sum("_v").alias("_v"), F.count("*").cast("double").alias("_m"))
-    points = _in_blocks(places, list(keys), block, ["_lat", "_lon", "_v", "_m"])
+    own = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_all"), *kind), {"ignoreNullFields": "false"}))
+    places = written(rows.groupBy(*keys, "_lat", "_lon").agg(F.sum("_v").alias("_v"), F.count("*").cast("double").alias("_m")).withColumn("_k", own), "idw-places")
+    named = places.select("_k", *kind).distinct()
+    together = -(-max(1, n := named.count()) // SIDE_BY_SIDE)
+    dealt = places.select(F.pmod("_k", F.lit(together)).alias("_deal"), "_k", "_lat", "_lon", "_v", "_m")
+    points = _in_blocks(dealt, ["_deal"], block * max(1, min(n, SIDE_BY_SIDE)), ["_k", "_lat", "_lon", "_v", "_m"], ["_lat", "_lon"]).drop("_deal", "_block")
     at = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    targets = _in_blocks(at, [], block, ["cell_id", "lat", "lon"])
-    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keys)
+    targets = _in_blocks(at, [], block, ["cell_id", "lat", "lon"], ["cell_id", "lat", "lon"])
 
     def spread(batches):
+        held, now = {}, None  # sums of the block of cells at hand, by key
+
+        def out():
+            for k, (top, low) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), k)), now[1], pa.array(top), pa.array(low)], ["_k", "cell_id", "_top", "_low"])
+
         for b in batches:
             for i in range(b.num_rows):
-                ids, lat, lon, p_lat, p_lon, v, m = (b.column(c)[i].values for c in ("cell_id", "lat", "lon", "_lat", "_lon", "_v", "_m"))
-                x, y, p, q, w_of, times = (c.to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon, p_lat, p_lon, v, m))
-                top, low = np.zeros(len(x)), np.zeros(len(x))
-                for j in range(0, len(p), 512):
-                    w = 1 / ((x[:, None] - p[None, j : j + 512]) ** 2 + (y[:, None] - q[None, j : j + 512]) ** 2 + eps) ** (power / 2)
-                    top += w @ w_of[j : j + 512]
-                    low += w @ times[j : j + 512]
-                own = [pa.array([b.column(k)[i].as_py()] * len(x), b.column(k).type) for k in keys]
-                yield pa.RecordBatch.from_arrays([*own, ids, pa.array(top), pa.array(low)], [*keys, "cell_id", "_top", "_low"])
-
-    parts = targets.crossJoin(points).mapInArrow(spread, f"{kind}cell_id bigint, _top double, _low double")
-    return parts.groupBy(*keys, "cell_id").agg(finite(F.sum("_top") / F.nullif(F.sum("_low"), F.lit(0.0))).alias(value))
+                if now is None or now[0] != b.column("_block")[i].as_py():
+                    yield from out()
+                    held, now = {}, (b.column("_block")[i].as_py(), b.column("cell_id")[i].values)
+                x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
+                k, p, q, v, m = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("_k", "_lat", "_lon", "_v", "_m"))
+                place, of_place = np.unique(p + 1j * q, return_inverse=True)
+                key, of_key = np.unique(k, return_inverse=True)
+                sums = np.zeros((len(place), 2 * len(key)))
+                sums[of_place, of_key] = v
+                sums[of_place, of_key + len(key)] = m
+                made = np.zeros((len(x), 2 * len(key)))
+                for j in range(0, len(place), 256):
+                    w = np.subtract.outer(x, place.real[j : j + 256])
+                    w *= w
+                    d = np.subtract.outer(y, place.imag[j : j + 256])
+                    d *= d
+                    w += d
+                    w += eps
+                    if power != 2:
+                        w **= power / 2
+                    np.reciprocal(w, out=w)
+                    made += w @ sums[j : j + 256]
+                for j, name in enumerate(key.tolist()):
+                    top, low = held.get(name, (0.0, 0.0))
+                    held[name] = top + made[:, j], low + made[:, j + len(key)]
+        yield from out()
+
+    parts = targets.crossJoin(points).mapInArrow(spread, "_k bigint, cell_id bigint, _top double, _low double")
+    made = parts.groupBy("_k", "cell_id").agg(finite(F.sum("_top") / F.nullif(F.sum("_low"), F.lit(0.0))).alias(value))
+    return made.join(F.broadcast(named) if n <= 10_000 else named, "_k").select(*kind, "cell_id", value)
