@@ -458,8 +458,8 @@ LEAST = 40
 
 
 def _fit(spark, d):
-    wide = v.monthly_wide(spark, d)
-    return wide, v.zones(spark, d), fusion.fit_weights(wide, v.FLAGS, v.zones(spark, d), LEAST)
+    wide = written(v.monthly_wide(spark, d), "wide")
+    return wide, v.zones(spark, d), written(fusion.fit_weights(wide, v.FLAGS, v.zones(spark, d), LEAST), "weights")
 
 
 ZM = f"{WIDE}, {ZONES}, zm AS (SELECT *, month(m) AS mon FROM wide JOIN zones USING (cell_id)), full_ AS (SELECT * FROM zm WHERE ref IS NOT NULL AND a IS NOT NULL AND n IS NOT NULL AND r IS NOT NULL), mse AS (SELECT zone_id, mon, avg((a - ref) ** 2) AS ea, avg((n - ref) ** 2) AS en, avg((r - ref) ** 2) AS er FROM full_ GROUP BY 1, 2 HAVING count(*) >= {LEAST})"
@@ -533,7 +533,7 @@ def fused_in_two_stages(spark, d):
 
 @query()
 def fused_by_forest(spark, d):
-    wide, zones = v.monthly_wide(spark, d), v.zones(spark, d)
+    wide, zones = written(v.monthly_wide(spark, d), "wide"), v.zones(spark, d)
     models = written(learn.fit_by_zone(wide, v.FLAGS, zones, least=100), "zone-forests")
     return learn.predict_by_zone(wide, v.FLAGS, zones, models).withColumn("time", F.to_date("time"))
 
