@@ -14,12 +14,13 @@ number more than the fingerprints dealt out, while no connection is lost."""
 from __future__ import annotations
 
 import math
-from itertools import repeat
+from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, send_if_small
@@ -493,17 +494,63 @@ def signed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(scan, "sig bigint, th bigint")
 
 
-def left_out(signed_: DataFrame, texts: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """(a, b): texts of different roots (tied: th, root; others are their own) that may have the similarity. None that has it is missing: such
-    texts share a signature (sig, th), and only pairs go of which sizes or bins show that they can't have it."""
-    shared = shared_signatures(signed_)
-    known = texts.select("th", "n").join(tied, "th", "left").select("th", "n", F.coalesce("root", "th").alias("root"))
-    rows = materialize(shared.join(known, "th"), "similar-signed")
-    mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    rows = rows.join(mixed, "sig")
-    side = lambda x: rows.select("sig", *(F.col(c).alias(x + c) for c in ("th", "n", "root")))
+def rooted(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """rows (sig, th, n) with their root (tied: th, root; other texts are their own)."""
+    return rows.join(tied, "th", "left").select("sig", "th", "n", F.coalesce("root", "th").alias("root"))
+
+
+def of_several_roots(rows: DataFrame) -> DataFrame:
+    """The rows (sig, th, n, root) whose signature texts of several roots have."""
+    return rows.join(rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig"), "sig")
+
+
+def alone(texts: DataFrame, shingle: int, one_in: int = 1) -> DataFrame:
+    """th and alone (how many of its shingles no text of another root has) of different texts (th, root, text). Only a shingle in
+    one_in is looked at, by its hash; the others don't count as alone."""
+
+    def scan(batches):
+        for b in pieces(batches, "text"):
+            terms = [shingles(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            terms = [x[x % np.uint64(one_in) == 0].view(np.int64) for x in terms]
+            size = [len(x) for x in terms]
+            if any(size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms)), *(pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("th", "root"))], ["term", "th", "root"])
+
+    by_term = Window.partitionBy("term")
+    terms = texts.select("th", "root", "text").mapInArrow(scan, "term bigint, th bigint, root bigint")
+    return terms.select("th", F.min("root").over(by_term).alias("lo"), F.max("root").over(by_term).alias("hi")).where("lo = hi").groupBy("th").agg(F.count("*").alias("alone"))
+
+
+def still_open(rows: DataFrame, held: DataFrame, shingle: int, percent: int, first: int = 1) -> DataFrame:
+    """Of rows (sig, th, n, root) those of texts that may have the similarity with one of another root. held: th and text of all of them.
+
+    A similar text has percent of a hundred of a text's shingles, so texts go of whose shingles too many are in no open text of
+    another root: common passages alone keep no text open. When texts go, others have more shingles alone, so this is repeated while a quarter goes.
+    At first one shingle in `first` is looked at."""
+    last = None
+    for one_in in chain([first], repeat(1)):
+        texts = materialize(rows.select("th", "n", "root").distinct(), "similar-open")
+        n = texts.count()
+        if not n or (last and 4 * n > 3 * last):
+            return rows
+        last = n if one_in == 1 else None
+        found = alone(held.join(send_if_small(texts.select("th", "root"), 16), "th"), shingle, one_in)
+        stay = texts.join(found, "th", "left").where(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * (100 - percent))
+        rows = materialize(of_several_roots(rows.join(send_if_small(materialize(stay.select("th"), "similar-stay"), 8), "th", "left_semi")), "similar-rows")
+
+
+def sharing(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b, n): texts of different roots with a signature (rows: sig, th, n, root) in common whose sizes allow the similarity, and their
+    sizes together. Of a signature each text is paired with one of the least root; with `every`, all with all."""
+    side = lambda x, of: of.select("sig", *(F.col(c).alias(x + c) for c in ("th", "n", "root")))
+    first = rows if every else rows.groupBy("sig").agg(F.min(F.struct("root", "th", "n")).alias("x")).select("sig", "x.*")
     sized = F.greatest("an", "bn") * percent <= F.least("an", "bn") * 100
-    pairs = side("a").join(side("b"), "sig").where("ath < bth and aroot != broot").where(sized).select(F.col("ath").alias("a"), F.col("bth").alias("b"), (F.col("an") + F.col("bn")).alias("n")).distinct()
+    pairs = side("a", first).join(side("b", rows), "sig").where("aroot < broot").where(sized)
+    return pairs.select(F.least("ath", "bth").alias("a"), F.greatest("ath", "bth").alias("b"), (F.col("an") + F.col("bn")).alias("n")).distinct()
+
+
+def with_like_bins(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, n) whose bins allow the similarity."""
     pairs = materialize(pairs, "similar-pairs")
     bins = materialize(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "th", "left_semi").select("th", "bins"), "similar-bins")
     met = pairs.join(bins.select(F.col("th").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("th").alias("b"), F.col("bins").alias("y")), "b")
@@ -517,6 +564,25 @@ def left_out(signed_: DataFrame, texts: DataFrame, tied: DataFrame, percent: int
     return met.select("a", "b", "x", "y", "n").mapInArrow(scan, "a bigint, b bigint")
 
 
+def left_out(signed_: DataFrame, texts: DataFrame, tied: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, percent: int) -> DataFrame:
+    """tied (th, root) with the roots joined of all texts that have the similarity, and of some that don't: similar texts share a signature
+    (signed_: sig, th), and only texts and pairs go that can't have it.
+
+    Texts that share one are first tied to one text of each signature: what is like it needs no pairs among itself. All pairs are
+    made of the texts that this leaves open only."""
+    rows = materialize(rooted(shared_signatures(signed_).join(texts.select("th", "n"), "th"), tied), "similar-signed")
+    rows = materialize(of_several_roots(rows), "similar-rows")
+    held = texts_of(rows.select("th").distinct())
+    for every in (False, True):
+        rows = still_open(rows, held, shingle, percent, 1 if every else 3)  # a third of the shingles settles most texts
+        if rows.isEmpty():
+            break
+        more = with_like_bins(sharing(rows, percent, every), texts, percent)
+        tied = materialize(components(more.unionByName(tied.select(F.col("th").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("th"), "root"), "similar-candidates")
+        rows = of_several_roots(rooted(rows.select("sig", "th", "n"), tied))
+    return tied
+
+
 CELL = ("root", "bi", "bj")
 
 
@@ -582,15 +648,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, budget:
     cells = deal(texts, texts.count(), recall=recall)
     links_ = cells.repartition("t", "level", "cell").sortWithinPartitions("t", "level", "cell").mapInArrow(lambda it: _linked(it, budget), "a bigint, b bigint")
     tied = materialize(components(links_).select(F.col("node").alias("th"), "root"), "similar-near-prints")
-    more = left_out(signed(rows, shingle, percent), texts, tied, percent)
-    tied = materialize(components(more.unionByName(tied.select(F.col("th").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("th"), "root"), "similar-candidates")
-    asked = tied.join(tied.groupBy("root").agg(F.count("*").alias("n")), "root").join(texts.select("th", "id.k1", "id.k2"), "th")
     keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
-    held = materialize(keyed.join(send_if_small(materialize(asked, "similar-asked"), 48), ["k1", "k2"]).dropDuplicates(["th"]).select("root", "th", "n", "text"), "similar-held")
+
+    def texts_of(asked):  # asked: some ths and what goes with them
+        keys = send_if_small(materialize(asked.join(texts.select("th", "id.k1", "id.k2"), "th"), "similar-asked"), 48)
+        return materialize(keyed.join(keys, ["k1", "k2"]).dropDuplicates(["th"]).select(*asked.columns, "text"), "similar-held")
+
+    tied = left_out(signed(rows, shingle, percent), texts, tied, texts_of, shingle, percent)
+    held = texts_of(tied.join(tied.groupBy("root").agg(F.count("*").alias("n")), "root").select("root", "th", "n"))
     tied = components(similar_links(held, block, shingle, percent)).select(F.col("node").alias("th"), "root")
-    rooted = materialize(texts.join(tied, "th", "left").select("th", "id", F.coalesce("root", "th").alias("root")), "similar-roots")
-    names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.select("root", "th").join(names, "root").select("th", "component_id")
+    roots = materialize(texts.join(tied, "th", "left").select("th", "id", F.coalesce("root", "th").alias("root")), "similar-roots")
+    names = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = roots.select("root", "th").join(names, "root").select("th", "component_id")
     return prints.groupBy("id", "th").agg(F.count("*").alias("copies")).join(named, "th").select("id", "component_id", "copies")
 
 

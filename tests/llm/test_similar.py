@@ -182,3 +182,30 @@ def test_shared_signatures_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     held = {s: {t for k, t in rows if k == s} for s, _ in rows}
     assert sorted(got) == sorted((s, t) for s, ts in held.items() if len(ts) > 1 for t in ts)
+
+
+def passages(n, seed=5):
+    """Texts of which half is a passage that all have, a pair of near copies among them, and a text of the passage and little else."""
+    rng = random.Random(seed)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    common = words(60)
+    rows = [words(rng.randint(30, 60)) + common + words(5) for _ in range(n)]
+    rows += [rows[3][:-2], common + words(5), common + words(9)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Pairs that are compared don't grow with the square of the texts that share a passage, nor of a family whose copies are far apart in bits."""
+    made, sharing = [], simhash.sharing
+    monkeypatch.setattr(simhash, "sharing", lambda rows, *a: made.append(sharing(rows, *a).count()) or sharing(rows, *a))
+    rows = passages(150)
+    kept = [r.doc_id for r in simhash.keep_one_similar(frame(spark, rows)).orderBy("doc_id").collect()]
+    out = {j for i, x in rows for j, y in rows if i < j and jaccard(x, y) >= 0.8}
+    assert kept == [i for i, _ in rows if i not in out] and out == {150, 152}
+    assert sum(made) < 20
+    made.clear()
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    rows = [(i, " ".join([*base[i % 4 :], f"x{i}"])) for i in range(100)]
+    kept = [r.doc_id for r in simhash.keep_one_similar(frame(spark, rows), budget=0).collect()]  # the tries link none of them
+    assert kept == [0] and 0 < sum(made) < 20 * len(rows)
