@@ -32,7 +32,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of documents linked by a similarity of 0.8 on five words, the one with the least doc_id stays (null ids last, then by a hash of
     the text). Null and wordless texts are alike; rows alike in id and text are one, unlike rows of one id are not."""
     in_small_batches(spark)
-    return simhash.keep_one_similar(docs.select(COLUMNS))
+    begin = written()
+    kept = simhash.keep_one_similar(docs.select(COLUMNS))
+    release(spark, begin)  # kept rests on the last table only
+    return kept
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

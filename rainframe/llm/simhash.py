@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -218,15 +219,13 @@ def links(fps: DataFrame, budget: int = 2, leaf: int = 200_000) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node reachable. Alternating
-    large and small stars; every round starts from a written table. Nodes in many edges are
-    pre-aggregated to a minimum, then joined."""
+    large and small stars; every round starts from a written table, until each node has one edge or
+    is a root. Nodes in many edges are pre-aggregated to a minimum, then joined."""
     edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    seen = None
     while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        if not ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0").agg(F.count("*")).first()[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = mark
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -309,25 +308,32 @@ def table_count(width: int, errors: int, recall: float) -> int:
 def deal(texts: DataFrame, n: int, errors: int = 8, recall: float = 0.95, per_cell: int = 64, leaf: int = 256, step: int = 8, seed: int = 7) -> DataFrame:
     """(t, level, cell, th, fp, sk): texts (th, fp, sk) in the cells of tries over differently ordered bits, each cell
     a node with about per_cell of n texts. A node with over `leaf` texts is left for its descendants `step` bits further down,
-    until nodes are small or hold one fingerprint."""
+    until nodes are small or hold one fingerprint. Fingerprints in such nodes are written and counted from there, and a fingerprint's
+    levels meet its texts before these are spread over the tries, once."""
     width = min(BITS, math.ceil(math.log2(n / per_cell))) if n > per_cell else 0
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(BITS) for _ in range(table_count(width, errors, recall))]
     signed = lambda bits: int(np.array(sum(1 << int(b) for b in bits), np.uint64).view(np.int64))
-    of = lambda upto: F.get(F.array(*(F.lit(signed(o[:upto])) for o in orders)), F.col("t"))
-    now = texts.select(F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1))).alias("t"), "th", "fp", "sk")
-    out = None
-    for level in range(BITS):
-        upto = min(BITS, width + level * step)
-        now = now.select("t", F.lit(level).alias("level"), F.col("fp").bitwiseAND(of(upto)).alias("cell"), "th", "fp", "sk")
-        hot = None
-        if upto < BITS:
-            hot = materialize(now.groupBy("t", "cell").count().where(F.col("count") > leaf).select("t", "cell"), "similar-hot")
-        if hot is None or hot.isEmpty():
-            return now if out is None else out.unionByName(now)
-        rest = now.join(hot, ["t", "cell"], "left_anti").select(now.columns)
-        out = rest if out is None else out.unionByName(rest)
-        now = now.join(hot, ["t", "cell"], "left_semi")
+    cell = lambda upto: F.col("fp").bitwiseAND(F.get(F.array(*(F.lit(signed(o[:upto])) for o in orders)), F.col("t")))
+    tries = F.sequence(F.lit(0), F.lit(len(orders) - 1))
+    widths = [min(BITS, width + level * step) for level in range(BITS)]
+    now, below = texts.select(F.explode(tries).alias("t"), "fp", F.lit(1).alias("n")), []
+    for upto in widths[: widths.index(BITS)]:
+        now = now.withColumn("cell", cell(upto))
+        hot = materialize(now.groupBy("t", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > leaf).select("t", "cell"), "similar-hot")
+        if hot.isEmpty():
+            break
+        now = materialize(now.join(send_if_small(hot), ["t", "cell"], "left_semi").groupBy("t", "fp").agg(F.sum("n").alias("n")), "similar-below")
+        below.append(now.select("fp", "t"))
+    if not below:
+        out = texts.select(F.explode(tries).alias("t"), F.lit(0).alias("level"), "th", "fp", "sk")
+    else:
+        levels = reduce(DataFrame.unionByName, below).groupBy("fp", "t").agg(F.count("*").cast("int").alias("level"))
+        levels = materialize(levels.groupBy("fp").agg(F.map_from_entries(F.collect_list(F.struct("t", "level"))).alias("levels")), "similar-levels")
+        out = texts.join(levels, "fp", "left").select(F.explode(tries).alias("t"), "th", "fp", "sk", "levels")
+        out = out.select("t", F.coalesce(F.try_element_at("levels", F.col("t")), F.lit(0)).alias("level"), "th", "fp", "sk")
+    at = reduce(lambda other, i: F.when(F.col("level") == i, cell(widths[i])).otherwise(other), range(1, len(below) + 1), cell(width))
+    return out.select("t", "level", at.alias("cell"), "th", "fp", "sk")
 
 
 def _linked(batches, budget: int):
@@ -521,14 +527,21 @@ def alone(texts: DataFrame, shingle: int, one_in: int = 1) -> DataFrame:
     return terms.select("th", F.min("root").over(by_term).alias("lo"), F.max("root").over(by_term).alias("hi")).where("lo = hi").groupBy("th").agg(F.count("*").alias("alone"))
 
 
-def still_open(rows: DataFrame, held: DataFrame, shingle: int, percent: int, first: int = 1) -> DataFrame:
+def most_pairs(rows: DataFrame, every: bool) -> int:
+    """How many rows `sharing` makes of rows at most."""
+    return rows.groupBy("sig").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0 if every else rows.count()
+
+
+def still_open(rows: DataFrame, held: DataFrame, shingle: int, percent: int, every: bool, few: int, first: int = 1) -> DataFrame:
     """Of rows (sig, th, n, root) those of texts that may have the similarity with one of another root. held: th and text of all of them.
 
     A similar text has percent of a hundred of a text's shingles, so texts go of whose shingles too many are in no open text of
-    another root: common passages alone keep no text open. When texts go, others have more shingles alone, so this is repeated while a quarter goes.
-    At first one shingle in `first` is looked at."""
+    another root: common passages alone keep no text open. When texts go, others have more shingles alone, so this is repeated while a quarter
+    goes, or until the pairs that `sharing` makes are no more than `few`. At first one shingle in `first` is looked at."""
     last = None
     for one_in in chain([first], repeat(1)):
+        if most_pairs(rows, every) <= few:
+            return rows
         texts = materialize(rows.select("th", "n", "root").distinct(), "similar-open")
         n = texts.count()
         if not n or (last and 4 * n > 3 * last):
@@ -572,14 +585,14 @@ def left_out(signed_: DataFrame, texts: DataFrame, tied: DataFrame, texts_of: Ca
     made of the texts that this leaves open only."""
     rows = materialize(rooted(shared_signatures(signed_).join(texts.select("th", "n"), "th"), tied), "similar-signed")
     rows = materialize(of_several_roots(rows), "similar-rows")
-    held = texts_of(rows.select("th").distinct())
+    held, few = texts_of(rows.select("th").distinct()), texts.count()
     for every in (False, True):
-        rows = still_open(rows, held, shingle, percent, 1 if every else 3)  # a third of the shingles settles most texts
+        rows = still_open(rows, held, shingle, percent, every, few, 1 if every else 3)  # a third of the shingles settles most texts
         if rows.isEmpty():
             break
         more = with_like_bins(sharing(rows, percent, every), texts, percent)
         tied = materialize(components(more.unionByName(tied.select(F.col("th").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("th"), "root"), "similar-candidates")
-        rows = of_several_roots(rooted(rows.select("sig", "th", "n"), tied))
+        rows = materialize(of_several_roots(rooted(rows.select("sig", "th", "n"), tied)), "similar-rows")
     return tied
 
 
@@ -608,7 +621,8 @@ def similar_links(texts: DataFrame, block: int, shingle: int, percent: int) -> D
     large = texts.where(F.col("n") > block)
     if large.isEmpty():
         return near
-    named = large.select("root", "th", "n").join(components(near).select(F.col("node").alias("th"), F.col("root").alias("class")), "th", "left").withColumn("class", F.coalesce("class", "th"))
+    near = components(near).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    named = large.select("root", "th", "n").join(near.select(F.col("a").alias("th"), F.col("b").alias("class")), "th", "left").withColumn("class", F.coalesce("class", "th"))
     sizes = named.groupBy("root", "class").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     main = sizes.groupBy("root").agg(F.max_by("class", F.struct("c", "class")).alias("main"), (F.first("n") - F.max("c")).alias("n_rest")).where("n_rest > 0")
     main = materialize(main, "similar-main")

@@ -1,11 +1,13 @@
 """The pipeline's near-dedup stage: a similarity of 0.8 on five words, and rows decided one by one."""
 
 import random
+import time
 
 import pytest
 
 import corpus_pipeline
 from rainframe.llm import decontaminate, simhash
+from rainframe.llm.shared import CLEANED, materialize, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -209,3 +211,31 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
     rows = [(i, " ".join([*base[i % 4 :], f"x{i}"])) for i in range(100)]
     kept = [r.doc_id for r in simhash.keep_one_similar(frame(spark, rows), budget=0).collect()]  # the tries link none of them
     assert kept == [0] and 0 < sum(made) < 20 * len(rows)
+
+
+def test_texts_are_spread_over_the_tries_once(spark):
+    """However many levels of nodes are too full, the dealt rows come from one explode; and each text is once in each trie."""
+    rows = [(i, (i % 3) << 61 | i, 7) for i in range(600)]
+    cells = simhash.deal(spark.createDataFrame(rows, "th long, fp long, sk long"), len(rows), per_cell=16, leaf=32, step=4)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Generate ") for line in plan.splitlines()) == 1
+    assert cells.agg({"level": "max"}).first()[0] > 1
+    assert cells.count() == cells.select("t", "th").distinct().count() == 600 * (cells.agg({"t": "max"}).first()[0] + 1)
+
+
+def test_stars_take_no_further_round(spark):
+    edges = spark.createDataFrame([(i, i % 5) for i in range(5, 60)] + [(7, 7)], "a long, b long")
+    begin = written()
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: i % 5 for i in range(60)} and written() == begin + 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(disk.getAllFiles().apply(i)) for i in range(disk.getAllFiles().size())}
+    before = files()
+    materialize(spark.range(1000, numPartitions=4).selectExpr("id % 10 as k").groupBy("k").count(), "test")
+    until = time.time() + 20
+    while (left := {f for f in files() - before if "shuffle_" in f}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANED) == "false"
