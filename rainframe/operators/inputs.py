@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.missing import finite
 from .align import axis_ticks, common_dates
 from .regrid import interpolate
 
+MOST_DAYS = 1_000_000  # common days that are sent to the tasks
+ROWS_A_TASK = 1_000_000
+
 #: A cube or table by cell_id, and its cells; None: it is on the reference's cells already.
 Placed = tuple[DataFrame, DataFrame | None]
 
@@ -30,18 +34,24 @@ def together(ref: DataFrame, ref_cells: DataFrame, products: dict[str, Placed],
     Times are floored to days; of several rows of a day and cell the mean counts. Days are those that the reference, all products
     and all dynamic covariates have; no such day is an error, and so are two inputs of one name. A row stands for every cell that any
     of them has on such a day; what others lack there is NULL. Of a static covariate with times each cell's first counts.
-    All that varies in time takes one shuffle by day and cell."""
+    Inputs that vary in time are written once each, for the common days and for the rows, so a task holds the groups of one input, not of all.
+    Then they take one shuffle by day and cell, to so many partitions that a task has some ROWS_A_TASK rows however many there are."""
     static, moving = static or {}, {"ref": (ref, None), **products, **(dynamic or {})}
     names = ["ref", *products, *(dynamic or {}), *static]
     if len({n.lower() for n in [*names, "time", "cell_id", "zone_id"]}) < len(names) + 3:
         raise ValueError(f"each input needs a name of its own: {names}")
     place = lambda df, cells: df if cells is None else on_cells(df, cells, ref_cells, method)
-    days = common_dates(*(cube for cube, _ in moving.values()))
-    parts = []
-    for name, (cube, cells) in moving.items():
-        met = cube.select("time", "cell_id", "value").withColumn("date", F.to_date("time")).join(days, "date", "left_semi").drop("date")
-        parts.append(place(met, cells).select(F.to_date("time").alias("time"), "cell_id", finite("value").alias("value"), F.lit(name).alias("_name")))
-    out = reduce(DataFrame.unionByName, parts).groupBy("time", "cell_id").pivot("_name", list(moving)).agg(F.avg("value"))
+    moving = {name: (written(cube.select("time", "cell_id", "value"), f"inputs-{i}"), cells) for i, (name, (cube, cells)) in enumerate(moving.items())}
+    days = written(common_dates(*(cube for cube, _ in moving.values())), "inputs-days")
+    days = F.broadcast(days) if days.count() <= MOST_DAYS else days
+    parts, n_rows = [], 0
+    for i, (cube, cells) in enumerate(moving.values()):
+        met = cube.withColumn("date", F.to_date("time")).join(days, "date", "left_semi").drop("date")
+        part = place(met, cells) if cells is None else written(place(met, cells), f"inputs-placed-{i}")
+        n_rows += (cube if cells is None else part).count()
+        parts.append(part.select(F.to_date("time").alias("time"), "cell_id", finite("value").alias("value"), F.lit(i).alias("_input")))
+    n_tasks = max(ref.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_A_TASK))
+    out = reduce(DataFrame.unionByName, parts).repartition(n_tasks, "time", "cell_id").groupBy("time", "cell_id").agg(*(F.avg(F.when(F.col("_input") == i, F.col("value"))).alias(name) for i, name in enumerate(moving)))
     for name, (table, cells) in static.items():
         value = finite("value")
         first = table.groupBy("cell_id").agg(F.min_by(value, "time").alias("value")) if "time" in table.columns else table.select("cell_id", value.alias("value"))

@@ -33,6 +33,15 @@ def test_products_come_to_the_references_cells_and_common_days(spark):
     assert rows[3, 105].q == 7.0 and rows[2, 105].q is None and rows[2, 108].p == 30 + 2 + 1 and rows[2, 100].dem is None
 
 
+def test_tasks_have_so_many_rows_however_many_there_are(spark, monkeypatch):
+    """Rows are dealt by day and cell to more tasks as they grow; and no task takes rows of several inputs before that."""
+    ref = spark.createDataFrame([(at(t), c, float(c)) for t in (1, 2) for c in range(50)], CUBE)
+    monkeypatch.setattr(inputs, "ROWS_A_TASK", 4, raising=False)
+    got = inputs.together(ref.groupBy("time", "cell_id").agg(F.sum("value").alias("value")), grid(spark, [0.0], [1.0]), {"p": (ref.groupBy("time", "cell_id").agg(F.max("value").alias("value")), None)})
+    assert got.rdd.getNumPartitions() == 50
+    assert sorted((r.time.day, r.cell_id, r.ref, r.p) for r in got.collect()) == [(t, c, float(c), float(c)) for t in (1, 2) for c in range(50)]
+
+
 def test_inputs_that_cannot_be_brought_together(spark):
     cells = grid(spark, [0.0, 1.0], [10.0, 11.0])
     ref = spark.createDataFrame([(at(1), 0, 1.0)], CUBE)
