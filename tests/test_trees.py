@@ -146,3 +146,48 @@ def test_expectation_maximisation_over_all_rows_is_that_of_small_groups(spark):
         r = got[k]
         assert r.weights == pytest.approx(w, abs=1e-9) and r.sig2 == pytest.approx(var, rel=1e-9) and r.trace == pytest.approx(trace)
         assert all(b >= a - 1e-7 * abs(a) for a, b in zip(r.trace, r.trace[1:]))
+
+
+def test_two_stages_learn_from_all_rows(spark):
+    """Both sides of a cut must weigh 120,000, which they do over all 260,000 rows alone, not over 200,000 of them."""
+    rows = spark.range(260_000).select(F.lit(1).alias("zone_id"), F.lit(dt.datetime(2001, 1, 1)).alias("time"), F.col("id").alias("cell_id"), (F.col("id") % 2).cast("double").alias("x"))
+    rows = rows.withColumn("_y", F.col("x"))
+    models, fills = learn.fit_two_stage(rows, ["zone_id"], ["x"], "_y", F.col("x"), learn.TwoStageConfig(trees=3, depth=2, least_leaf=120_000))
+    assert models.where("stage = 'wet' and feature[0] = 0").count() == 3
+    assert {r.x: r.p_wet for r in learn.apply_two_stage(rows.limit(100), models, fills, ["zone_id"], ["x"]).collect()} == {0.0: 0.0, 1.0: 1.0}
+
+
+def test_groups_that_no_task_holds_have_the_trees_of_those_that_one_holds(spark, monkeypatch):
+    """Labels are whole numbers, so that sums are the same in any order. A task holds 1500 (one group is larger) or 90 rows."""
+    rows = spark.createDataFrame([(None if g == 2 else g, a, b, c, d, float(round(y))) for g, a, b, c, d, y in made(3000, 6) + made(1000, 7, 1)], SCHEMA).repartition(4)
+    monkeypatch.setattr(trees, "PACKED", 300)
+    key = F.xxhash64(*NAMES)
+
+    def scored(held, at_once=10**9, depth=7):
+        monkeypatch.setattr(trees, "HELD", held)
+        monkeypatch.setattr(trees, "DEALT", at_once)
+        models = trees.fit(rows, ["g"], NAMES, "y", trees.Forest(trees=6, depth=depth, least=2), least=100, key=key)
+        models.persist()
+        assert sorted((r.g or -1, r.tree) for r in models.collect()) == sorted((g or -1, t) for g in (0, 1, None) for t in range(6))
+        nodes = models.select(F.sum(F.size("feature")), F.sum(F.aggregate("threshold", F.lit(0.0), lambda a, x: a + x))).first()
+        out = {(r.g, r.a): r.prediction for r in trees.predict(rows, models, ["g"], NAMES).collect()}
+        models.unpersist()
+        return nodes, out
+
+    nodes, want = scored(10**6)
+    for held, at_once in ((1500, 8_000), (90, 10**9)):
+        n, got = scored(held, at_once)
+        assert n[0] == nodes[0] and n[1] == pytest.approx(nodes[1]) and got == pytest.approx(want)
+    assert scored(90, depth=1)[1] == pytest.approx(scored(10**6, depth=1)[1])
+    monkeypatch.setattr(trees, "HELD", 90)
+    with pytest.raises(ValueError, match="samples"):
+        trees.fit(rows, ["g"], NAMES, "y", trees.Boosted(rounds=2))
+
+
+def test_what_is_drawn_is_of_poissons_law():
+    key = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 200_000)
+    one, two = (trees._times(key, trees._salts(trees.Forest(), t)[0]) for t in (0, 1))
+    for k, share in enumerate((0.36788, 0.36788, 0.18394, 0.06131)):
+        assert (one == k).mean() == pytest.approx(share, abs=0.005) and (two[one == k] == k).mean() == pytest.approx(share, abs=0.012)
+    looked = trees._looked(np.arange(1, 4000), 12, 4, trees._salts(trees.Forest(), 3)[1])
+    assert all(len(set(r)) == 4 for r in looked.tolist()) and np.bincount(looked.ravel(), minlength=12) / 3999 == pytest.approx(np.full(12, 1 / 3), abs=0.04)
